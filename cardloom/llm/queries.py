@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cardloom.llm.common import scratch_path
+from cardloom.llm.packing import pack_documents
 from cardloom.llm.token_records import read_token_records, write_token_records
 
 END_ID = 2
+CAPACITY = 1024
 
 
 def tokenizer_path() -> str:
@@ -27,8 +29,13 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(spark, path, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY, END_ID)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
+    "op3_packing": op3_packing,
 }
 
 SQL: dict[str, str] = {}
