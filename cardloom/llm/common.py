@@ -58,3 +58,23 @@ def text_views(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, n
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     base = int(places[0]) if len(places) else 0
     return raw[base : int(places[-1])] if len(places) else raw[:0], places - base
+
+
+#: Bits of a filter: 2 MB, broadcast whatever the input's size.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(keys: DataFrame, *key, bits: int = FILTER_BITS) -> DataFrame:
+    """A bitmap of the hashed keys, in rows of 4 KB: at most ``bits`` / 32768 + 1 of them, which bounds a broadcast."""
+    place = F.pmod(F.xxhash64(*key), F.lit(bits))
+    return keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
+
+
+def with_filter(df: DataFrame, held: DataFrame, *key, flag: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Adds ``flag``: true for each row whose key is in the filter, and for a few others (all, once the filter is full)."""
+    place = F.pmod(F.xxhash64(*key), F.lit(bits))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.expr("substring(bitmap, int(_bit div 8) + 1, 1)")), 16, 10).cast("int")
+    joined = df.withColumns({"_bit": bit, "_bucket": F.bitmap_bucket_number(place)}).join(F.broadcast(held.withColumnRenamed("bucket", "_bucket")), "_bucket", "left")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("int(shiftleft(1, int(_bit % 8)))")) != 0, F.lit(False))
+    return joined.withColumn(flag, hit).drop("_bit", "_bucket", "bitmap")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cardloom.llm.chunk_encoding import DIGESTS, digests, encode_with_reuse
 from cardloom.llm.common import scratch_path
 from cardloom.llm.packing import pack_documents
 from cardloom.llm.token_records import read_token_records, write_token_records
@@ -33,9 +34,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY, END_ID)
 
 
+def op7_chunk_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_with_reuse(table(spark, sf_dir, "documents"), tokenizer_path(), digests, DIGESTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op3_packing": op3_packing,
+    "op7_chunk_encoding": op7_chunk_encoding,
 }
 
 SQL: dict[str, str] = {}
