@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cardloom.llm.chunk_encoding import DIGESTS, digests, encode_with_reuse
 from cardloom.llm.common import scratch_path
+from cardloom.llm.exact_dedup import exact_groups, normalized
 from cardloom.llm.packing import pack_documents
 from cardloom.llm.token_records import read_token_records, write_token_records
 
@@ -30,6 +32,18 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(spark, path, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"), more={"text_sha256": F.sha2(normalized(F.col("text")), 256)})
+
+
+OP2_SQL = """
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g USING (t)
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY, END_ID)
 
@@ -40,8 +54,9 @@ def op7_chunk_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op7_chunk_encoding": op7_chunk_encoding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
