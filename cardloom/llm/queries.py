@@ -13,6 +13,7 @@ from cardloom.llm.common import scratch_path
 from cardloom.llm.exact_dedup import exact_groups, normalized
 from cardloom.llm.near_dedup import near_duplicates
 from cardloom.llm.packing import pack_documents
+from cardloom.llm.quality_rules import judge_quality
 from cardloom.llm.token_records import read_token_records, write_token_records
 
 END_ID = 2
@@ -49,6 +50,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY, END_ID)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 def op7_chunk_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_with_reuse(table(spark, sf_dir, "documents"), tokenizer_path(), digests, DIGESTS)
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_chunk_encoding": op7_chunk_encoding,
     "op9_near_dedup": op9_near_dedup,
 }
