@@ -235,13 +235,15 @@ def encode_with_reuse(docs: DataFrame, tokenizer: str, then: Callable = ids_and_
     held = materialize(texts.mapInArrow(_fingerprints, "doc_id long, print binary"), "prints")
     # A document counts a chunk once; documents with the same doc_id may each count it, which costs nothing.
     shared = materialize(held.groupBy("print").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).filter("n > 1").drop("n"), "shared")
-    holds = held.join(shared.select("print"), "print", "left_semi")
+    # Merge joins throughout: the same plan at every size, with two plain shuffles that can be split where a key is hot.
+    holds = held.join(shared.select("print").hint("merge"), "print", "left_semi")
     texts = with_filter(texts, bit_filter(holds, "doc_id"), "doc_id", flag="sharing")
     alone, sharing = texts.filter("not sharing").drop("sharing"), texts.filter("sharing").drop("sharing")
     owned = shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("print").alias("prints"))
-    once = sharing.join(owned, "doc_id").mapInArrow(_shared_encoder(tokenizer), "print binary, inner_ids binary, first int, last int")
-    once = materialize(once.dropDuplicates(["print"]), "chunks")
-    known = held.join(once, "print").groupBy("doc_id").agg(F.collect_list(F.struct("print", "inner_ids", "first", "last")).alias("known"))
+    owners = with_filter(sharing, bit_filter(shared, "owner"), "doc_id", flag="owning").filter("owning").drop("owning")
+    once = owners.join(owned.hint("merge"), "doc_id").mapInArrow(_shared_encoder(tokenizer), "print binary, inner_ids binary, first int, last int")
+    once = materialize(once, "chunks")  # twice, at most, where documents share the owner's doc_id
+    known = held.join(once.hint("merge"), "print").groupBy("doc_id").agg(F.collect_list(F.struct("print", "inner_ids", "first", "last")).alias("known"))
     run = _document_encoder(tokenizer, then, kinds)
-    joined = sharing.join(known, "doc_id", "left").mapInArrow(run, _ddl(kinds))
+    joined = sharing.join(known.hint("merge"), "doc_id", "left").mapInArrow(run, _ddl(kinds))
     return alone.mapInArrow(_whole_encoder(tokenizer, then, kinds), _ddl(kinds)).unionByName(joined)
