@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cardloom.llm.chunk_encoding import DIGESTS, digests, encode_with_reuse
 from cardloom.llm.common import scratch_path
 from cardloom.llm.exact_dedup import exact_groups, normalized
+from cardloom.llm.lm_scoring import score_documents
 from cardloom.llm.near_dedup import near_duplicates
 from cardloom.llm.packing import pack_documents
 from cardloom.llm.quality_rules import judge_quality
@@ -62,6 +63,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP9_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_chunk_encoding": op7_chunk_encoding,
     "op9_near_dedup": op9_near_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op9_near_dedup": OP9_SQL}
