@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cardloom.llm.chunk_encoding import DIGESTS, digests, encode_with_reuse
 from cardloom.llm.common import scratch_path
 from cardloom.llm.exact_dedup import exact_groups, normalized
+from cardloom.llm.language_id import identify_languages, train
 from cardloom.llm.lm_scoring import score_documents
 from cardloom.llm.near_dedup import near_duplicates
 from cardloom.llm.packing import pack_documents
@@ -51,6 +52,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY, END_ID)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify_languages(docs, train(docs))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).drop("lang", "source")
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_chunk_encoding": op7_chunk_encoding,
     "op9_near_dedup": op9_near_dedup,
