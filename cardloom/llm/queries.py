@@ -15,6 +15,7 @@ from cardloom.llm.language_id import identify_languages, train
 from cardloom.llm.lm_scoring import score_documents
 from cardloom.llm.near_dedup import near_duplicates
 from cardloom.llm.packing import pack_documents
+from cardloom.llm.pii import span_report
 from cardloom.llm.quality_rules import judge_quality
 from cardloom.llm.token_records import read_token_records, write_token_records
 
@@ -69,6 +70,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_chunk_encoding": op7_chunk_encoding,
+    "op8_pii": op8_pii,
     "op9_near_dedup": op9_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
 }
