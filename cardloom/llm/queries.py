@@ -18,6 +18,7 @@ from cardloom.llm.packing import pack_documents
 from cardloom.llm.pii import span_report
 from cardloom.llm.quality_rules import judge_quality
 from cardloom.llm.token_records import read_token_records, write_token_records
+from cardloom.llm.url_filters import judge_urls
 
 END_ID = 2
 CAPACITY = 1024
@@ -53,6 +54,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY, END_ID)
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify_languages(docs, train(docs))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_url_filters": op4_url_filters,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_chunk_encoding": op7_chunk_encoding,
