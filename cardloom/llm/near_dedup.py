@@ -9,7 +9,9 @@
    per pair.  Pairs whose sketches rule out the similarity (to about one in a million) go; the rest are confirmed on the
    full sets of the whole texts, streamed past their pivot in salted runs of bounded length.
 4. Buckets whose members then still lie in different components are compared among themselves, in square tiles of
-   bounded size, sketch by sketch; only pairs that pass and lie in different components are emitted and confirmed.
+   bounded size, sketch by sketch.  There a second odd sketch, of the whole sets, decides almost alone: the XOR of two
+   such bitmaps never has more bits set than the sets differ in, so a pair with too many is surely not similar.  Only
+   pairs that pass and lie in different components are emitted and confirmed.
 5. Components come from the confirmed links alone, over all rounds.
 
 With 32 bands of 4 samples a pair at similarity 0.75 shares no band with probability 5e-6.
@@ -39,8 +41,10 @@ SKETCH_BITS = 64 * SKETCH_WORDS
 #: XOR bits that a pair at similarity 0.75 exceeds about once in a million: 57 on average, standard deviation 10.4.
 SKETCH_LIMIT = 110
 #: Members that one run past a pivot holds, and classes in the side of a tile.
-RUN, TILE = 256, 512
+RUN, TILE = 256, 1024
 PERCENT = 75
+#: Bytes of the odd sketch of a whole set of up to 8 times as many shingles; larger sets have 2, 4, 8 ... times as many.
+PARITY = 512
 
 _RNG = np.random.Generator(np.random.PCG64(29))
 _A = (_RNG.integers(0, 1 << 32, SAMPLES, np.uint64) | 1).astype(np.uint32)
@@ -48,7 +52,7 @@ _B = _RNG.integers(0, 1 << 32, SAMPLES, np.uint64).astype(np.uint32)
 _SAMPLE = _RNG.integers(0, 1 << 64, SAMPLES, np.uint64)
 _ROW = _RNG.integers(0, 1 << 64, SAMPLES, np.uint64) | np.uint64(1)
 
-SIGNATURE = "doc_id long, content binary, n_shingles long, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, content binary, n_shingles long, bands array<long>, sketch array<long>, parity binary"
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
@@ -73,18 +77,41 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The odd sketch of a whole set."""
+    size = PARITY
+    while len(shingles) > 8 * size:
+        size *= 2
+    odd = np.bincount((mix(shingles) & np.uint64(8 * size - 1)).astype(np.int64), minlength=8 * size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def folded(parity: np.ndarray, size: int) -> np.ndarray:
+    """The same set's odd sketch of fewer bytes."""
+    while len(parity) > size:
+        half = len(parity) // 2
+        parity = parity[:half] ^ parity[half:]
+    return parity
+
+
+def may_be_similar(differ: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
+    """Whether sets of a and b shingles that differ in at least so many can have the similarity."""
+    return differ * (100 + PERCENT) <= (100 - PERCENT) * (a + b)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, places = text_views(batch)
-        content, sizes, bands, sketches = [], [], [], []
+        content, sizes, bands, sketches, parities = [], [], [], [], []
         for words, shingles in shingle_sets(data, places):
             content.append(sequence_hash(words, 3).to_bytes(8, "little") + sequence_hash(words, 5).to_bytes(8, "little"))
             sizes.append(len(shingles))
             samples = minhash(shingles) if len(shingles) else None
             bands.append(band_keys(samples) if samples is not None else None)
             sketches.append(odd_sketch(samples) if samples is not None else None)
-        arrays = [batch.column(0), pa.array(content, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "content", "n_shingles", "bands", "sketch"])
+            parities.append(parity_sketch(shingles).tobytes() if samples is not None else None)
+        arrays = [batch.column(0), pa.array(content, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(parities, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "content", "n_shingles", "bands", "sketch", "parity"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -144,17 +171,23 @@ def _by_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def _tile(table: pa.Table) -> pa.Table:
     """Pairs within one tile of a bucket that lie in different components and whose sketches pass."""
     table = table.combine_chunks()
-    ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
-    side = table.column("side").to_numpy()
+    ids, comp, sizes, side = (table.column(n).to_numpy() for n in ("id", "comp", "n_shingles", "side"))
     sketch = np.array(table.column("sketch").to_pylist(), np.int64).reshape(len(ids), SKETCH_WORDS).view(np.uint64)
+    parity = [np.frombuffer(x, np.uint8) for x in table.column("parity").to_pylist()]
+    short = np.array([folded(x, PARITY) for x in parity]).reshape(len(ids), PARITY).view(np.uint64)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     a, b = [], []
     for i in left.tolist():
-        bits = np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1)
-        hit = right[(bits <= SKETCH_LIMIT) & (comp[right] != comp[i])]
-        a += [np.minimum(ids[hit], ids[i])]
-        b += [np.maximum(ids[hit], ids[i])]
-    pairs = np.unique(np.stack([np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])]), axis=1)
+        other = right[comp[right] != comp[i]]
+        other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1) <= SKETCH_LIMIT]
+        other = other[may_be_similar(np.bitwise_count(short[other] ^ short[i]).sum(axis=1, dtype=np.int64), sizes[i], sizes[other])]
+        for j in other.tolist():
+            width = min(len(parity[i]), len(parity[j]))
+            differ = np.bitwise_count(folded(parity[i], width) ^ folded(parity[j], width)).sum(dtype=np.int64)
+            if width == PARITY or may_be_similar(differ, sizes[i], sizes[j]):
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
+    pairs = np.unique(np.array([a, b], np.int64).reshape(2, -1), axis=1)
     return pa.table({"pivot": pairs[0], "id": pairs[1]})
 
 
@@ -168,9 +201,9 @@ def _open_pairs(rows: DataFrame, known: DataFrame, sketches: DataFrame) -> DataF
     mine = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     dealt = held.join(buckets, "key").withColumn("t", mine).join(sketches, "id")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = dealt.select("key", "id", "comp", "sketch", "t", other.alias("u"))
+    dealt = dealt.select("key", "id", "comp", "n_shingles", "sketch", "parity", "t", other.alias("u"))
     tiles = dealt.select(
-        "key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "id", "comp", "sketch",
+        "key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "id", "comp", "n_shingles", "sketch", "parity",
         F.when(F.col("t") == F.col("u"), 2).when(F.col("t") < F.col("u"), 0).otherwise(1).alias("side"),
     )
     return tiles.groupBy("key", "i", "j").applyInArrow(_tile, "pivot long, id long").distinct()
@@ -183,8 +216,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = materialize(everything.mapInArrow(_signatures, SIGNATURE), "signatures")
     own = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(own.groupBy("content").agg(F.min("doc_id").alias("id")), "classes")
-    reps = materialize(own.join(classes.withColumnRenamed("id", "doc_id"), ["content", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "bands", "sketch"), "classes-signed")
-    sketches = reps.select("id", "sketch")
+    reps = materialize(own.join(classes.withColumnRenamed("id", "doc_id"), ["content", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sketch", "parity"), "classes-signed")
+    sketches = reps.select("id", "n_shingles", "sketch", "parity")
     rows = reps.select(F.explode("bands").alias("key"), "id")
     buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).filter("m > 1").select(F.col("key").bitwiseOR(F.lit(0)).alias("key"), "pivot")
     rows = materialize(rows.join(buckets, "key"), "buckets")
