@@ -16,7 +16,7 @@ CATALOG_SQL = """cat AS (
 LIBRARY_SQL = """lib AS (
   SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS card_id, CASE WHEN l_partkey % 17 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS scryfall_id,
     'part ' || l_partkey AS name, 'b' || (l_partkey % 25) AS set_code, CAST(l_suppkey AS VARCHAR) AS collector_number, l_returnflag = 'R' AS foil, CAST(l_quantity AS BIGINT) AS count,
-    l_shipdate AS created_at, l_shipdate AS updated_at, (l_orderkey * 1000000 + l_partkey) * 10 + l_linenumber AS ord,
+    l_shipdate AS created_at, l_shipdate AS updated_at, ((l_orderkey * 1000000 + l_partkey) * 1000 + l_suppkey) * 10 + l_linenumber AS ord,
     CASE WHEN l_linenumber = 1 THEN 'photo ' || l_orderkey END AS photo
   FROM (SELECT DISTINCT ON (l_orderkey, l_partkey, l_suppkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate)),
 held0 AS (SELECT * FROM lib WHERE created_at < TIMESTAMP '1998-01-01'), batch AS (SELECT * FROM lib WHERE created_at >= TIMESTAMP '1998-01-01'),
@@ -54,7 +54,7 @@ def library_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", *key).alias("card_id"), F.when(part % 17 != 0, part.cast("string")).alias("scryfall_id"), F.concat(F.lit("part "), part).alias("name"),
         F.concat(F.lit("b"), part % 25).alias("set_code"), F.col("l_suppkey").cast("string").alias("collector_number"), (F.col("l_returnflag") == "R").alias("foil"),
         F.col("l_quantity").cast("long").alias("count"), F.col("l_shipdate").alias("created_at"), F.col("l_shipdate").alias("updated_at"),
-        ((F.col("l_orderkey") * 1000000 + part) * 10 + F.col("l_linenumber")).alias("ord"), F.when(F.col("l_linenumber") == 1, F.concat(F.lit("photo "), F.col("l_orderkey"))).alias("photo"),
+        (((F.col("l_orderkey") * 1000000 + part) * 1000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("ord"), F.when(F.col("l_linenumber") == 1, F.concat(F.lit("photo "), F.col("l_orderkey"))).alias("photo"),
     )
 
 
