@@ -32,7 +32,7 @@ from cardloom.llm.common import documents, materialize, text_views
 from cardloom.llm.lattice import expected_counts, log_probabilities, pieces
 from cardloom.llm.words import LOWERED, slices, word_hashes, word_spans
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 FOLDS = 10
 #: Weight of the prior against the corpus' expected counts.
 PRIOR_COUNT = 1000.0
@@ -47,19 +47,31 @@ def is_held_out(doc_id: int | None) -> bool:
 def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The words as strings, copied from ``data`` at once."""
     sizes = ends - starts
-    offsets = np.zeros(len(starts) + 1, np.int64)
+    offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(sizes, out=offsets[1:])
-    where = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
-    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[where].tobytes())).cast(pa.string())
+    where = np.repeat(starts - offsets[:-1], sizes)
+    where += np.arange(offsets[-1], dtype=np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[where].tobytes()))
 
 
 def _block(number: int, ids: list, data: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
     data = LOWERED[data]
-    starts, ends, of = word_spans(data, places)
+    found = []
+    for lo, hi in slices(places):  # small parts: the hashes' tables are as long as what is hashed at once
+        at = int(places[lo])
+        own = data[at : places[hi]]
+        if len(own):
+            starts, ends, of = word_spans(own, places[lo : hi + 1] - at)
+            found.append((word_hashes(own, starts, ends), (starts + at).astype(np.int32), (ends + at).astype(np.int32), np.diff(of)))
+        else:
+            found.append((np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(hi - lo, np.int64)))
+    hashes, starts, ends, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+    of = np.concatenate([[0], np.cumsum(sizes)])
     held = np.array([is_held_out(d) for d in ids], bool)
     if len(starts):
-        hashes = word_hashes(data, starts, ends)
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        del hashes, found
+        inverse = inverse.astype(np.int32)
         training = ~np.repeat(held, np.diff(of))
         n_train = np.bincount(inverse[training], minlength=len(first))
         n = len(first)
