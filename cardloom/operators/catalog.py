@@ -82,10 +82,10 @@ def region_stats(pixels: DataFrame, rectangles: DataFrame) -> DataFrame:
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
     light, spread = (F.col("r") + F.col("g") + F.col("b")) / 3, F.greatest("r", "g", "b") - F.least("r", "g", "b")
     rows = pixels.join(F.broadcast(rectangles), inside).withColumns({"light": light, "spread": spread})
-    r6 = lambda c, n: F.round(c, 6).alias(n)
+    as_ = lambda c, n: c.alias(n)
     return rows.groupBy("image_id", "name").agg(
-        r6(F.avg("light"), "mean"), r6(F.stddev_pop("light"), "std"), r6(F.min("light"), "min"), r6(F.max("light"), "max"), r6(F.avg("spread"), "spread_mean"),
-        r6(F.stddev_pop("spread"), "spread_std"), F.max("spread").alias("spread_max"), r6(F.avg("r"), "r_mean"), r6(F.avg("g"), "g_mean"), r6(F.avg("b"), "b_mean"),
+        as_(F.avg("light"), "mean"), as_(F.stddev_pop("light"), "std"), as_(F.min("light"), "min"), as_(F.max("light"), "max"), as_(F.avg("spread"), "spread_mean"),
+        as_(F.stddev_pop("spread"), "spread_std"), F.max("spread").alias("spread_max"), as_(F.avg("r"), "r_mean"), as_(F.avg("g"), "g_mean"), as_(F.avg("b"), "b_mean"),
     )
 
 

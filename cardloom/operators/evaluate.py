@@ -38,11 +38,11 @@ def overall(results: DataFrame) -> DataFrame:
 
 def similarity_stats(results: DataFrame) -> DataFrame:
     s = "top1_sim"
-    return results.groupBy("top1_name").agg(F.count("*").alias("n"), F.round(F.avg(s), 6).alias("mean"), F.min(s).alias("min"), F.max(s).alias("max"), F.round(F.stddev_samp(s), 6).alias("std"))
+    return results.groupBy("top1_name").agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.min(s).alias("min"), F.max(s).alias("max"), F.stddev_samp(s).alias("std"))
 
 
 def gap_stats(results: DataFrame) -> DataFrame:
-    return results.groupBy("top1_name").agg(F.round(F.avg("name_gap"), 6).alias("mean"), F.min("name_gap").alias("min"), F.median("name_gap").alias("median"))
+    return results.groupBy("top1_name").agg(F.avg("name_gap").alias("mean"), F.min("name_gap").alias("min"), F.median("name_gap").alias("median"))
 
 
 def threshold_grid(results: DataFrame, least_accuracy: float = 99.0) -> DataFrame:
@@ -69,7 +69,7 @@ def breakdown(results: DataFrame, dimensions=DIMENSIONS) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions]))
     rows = results.select(pairs.alias("d"), "top1_name", "top1_exact", "top1_sim", "name_gap").select("d.*", "top1_name", "top1_exact", "top1_sim", "name_gap")
     rows = rows.filter(F.trim(F.coalesce("value", F.lit(""))) != "")
-    return rows.groupBy("dimension", "value").agg(F.count("*").alias("n"), _pct("top1_name").alias("name_pct"), _pct("top1_exact").alias("exact_pct"), F.round(F.avg("top1_sim"), 6).alias("mean_sim"), F.round(F.avg("name_gap"), 6).alias("mean_gap"))
+    return rows.groupBy("dimension", "value").agg(F.count("*").alias("n"), _pct("top1_name").alias("name_pct"), _pct("top1_exact").alias("exact_pct"), F.avg("top1_sim").alias("mean_sim"), F.avg("name_gap").alias("mean_gap"))
 
 
 def face_breakdown(results: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def face_breakdown(results: DataFrame) -> DataFrame:
 
 
 def compare_modes(results: DataFrame) -> DataFrame:
-    return results.groupBy("mode").agg(F.count("*").alias("n"), F.count_if(F.col("top1_name")).alias("names"), F.count_if(F.col("top1_exact")).alias("exacts"), F.round(F.avg("top1_sim"), 6).alias("mean_sim"), F.round(F.avg("name_gap"), 6).alias("mean_gap"))
+    return results.groupBy("mode").agg(F.count("*").alias("n"), F.count_if(F.col("top1_name")).alias("names"), F.count_if(F.col("top1_exact")).alias("exacts"), F.avg("top1_sim").alias("mean_sim"), F.avg("name_gap").alias("mean_gap"))
 
 
 def pair_modes(results: DataFrame, base: str, other: str, key: str = "query_id") -> DataFrame:
@@ -111,7 +111,7 @@ def failure_class(results: DataFrame, base: str, other: str) -> DataFrame:
     pairs = pair_modes(results, base, other).filter(F.col("o_top1_name").isNotNull())
     kind = F.when(~F.col("o_top1_name"), "name_wrong").when(~F.col("o_top1_exact"), "exact_wrong")
     caused = F.coalesce(F.col("b_top1_name") & ~F.col("o_top1_name"), F.lit(False))
-    return pairs.select("query_id", kind.alias("failure"), caused.alias("detection_caused"), F.round(F.col("b_top1_sim") - F.col("o_top1_sim"), 6).alias("sim_drop")).filter("failure is not null")
+    return pairs.select("query_id", kind.alias("failure"), caused.alias("detection_caused"), (F.col("b_top1_sim") - F.col("o_top1_sim")).alias("sim_drop")).filter("failure is not null")
 
 
 def similarity_percentiles(results: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def similarity_percentiles(results: DataFrame) -> DataFrame:
     right = results.filter("top1_name")
     q = F.percentile("top1_sim", F.array(*[F.lit(x) for x in (0.0, 0.05, 0.5, 0.95, 1.0)]))
     row = right.agg(q.alias("q"), F.count_if(F.col("top1_sim") < 0.9).alias("below_90"), F.count_if(F.col("top1_sim") < 0.85).alias("below_85"))
-    return row.select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("min", "p5", "median", "p95", "max"))], "below_90", "below_85")
+    return row.select(*[F.col("q")[i].alias(n) for i, n in enumerate(("min", "p5", "median", "p95", "max"))], "below_90", "below_85")
 
 
 def real_summary(results: DataFrame) -> DataFrame:
