@@ -13,15 +13,14 @@ falls into the same chunks in both.  Chunks are known by 128-bit fingerprints:
    with its neighbours, until one is reached.
 
 The hot chunk is one row until the last join, whose sides are plain shuffles that adaptive execution can split.  Null
-texts are empty (no ids); an empty table gives no rows; documents that repeat a doc_id are told apart by their text;
-other columns are not read.
+texts are empty (no ids); an empty table gives no rows; documents that repeat a doc_id, or have none, get their own ids
+each; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -92,11 +91,11 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[int]]]:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, prints = array("q"), []
+        ids, prints = [], []
         for doc_id, raw, ends in _chunks(batch):
             own = {fingerprint(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)}
             prints += own
-            ids.extend([doc_id] * len(own))
+            ids += [doc_id] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "print"])
 
 

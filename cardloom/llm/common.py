@@ -43,6 +43,21 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in the one column of ``gone``. The columns of ``docs`` stay as they are."""
+    name = free_name(docs, "gone")
+    gone = gone.toDF(name).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[name]), "left_anti")
+
+
 def lower_ascii(column) -> "F.Column":
     return F.translate(column, UPPER, LOWER)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import bit_filter, documents, materialize, text_views, with_filter
+from cardloom.llm.common import bit_filter, documents, materialize, text_views, with_filter, without
 from cardloom.llm.components import components
 from cardloom.llm.words import mix, sequence_hash, shingle_sets
 
@@ -237,5 +237,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component stays, with all its columns."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return without(docs, near_duplicates(docs).filter("not kept").select("doc_id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import documents, materialize, text_views
+from cardloom.llm.common import documents, materialize, text_views, without
 from cardloom.llm.words import SHINGLE, slices, window_hashes, word_hashes, word_spans
 
 DIMENSIONS = 5
@@ -260,5 +260,4 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is to stay, with all their columns. Rows that share a doc_id go together."""
-    bad = judge_quality(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, judge_quality(docs).filter("not kept").select("doc_id"))

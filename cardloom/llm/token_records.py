@@ -4,7 +4,7 @@ A shard file holds records one after another::
 
     length of the payload      8 bytes, little-endian
     masked CRC of the length   4 bytes
-    payload                    doc_id (8 bytes), bytes per id (1 byte: 2 or 4), ids
+    payload                    doc_id (8 bytes), bytes per id (1 byte: 2 or 4, plus 128 where doc_id is null), ids
     masked CRC of the payload  4 bytes
 
 The masked CRC is ``rotate_right(crc32, 15) + 0xa282ead8``, so that a record that itself holds checksums stays safe to
@@ -17,8 +17,8 @@ Used through Spark's data source API::
     write_token_records(docs, path, tokenizer)   # doc_id, text -> files
     read_token_records(spark, path)              # files -> doc_id, start, n_tokens, ids, ids_crc32
 
-Null texts are empty documents (the end id alone); an empty table makes an empty manifest; rows that repeat a doc_id stay
-apart, in any order among themselves; other columns are not read.  Any damaged byte raises ``ValueError``.
+Null texts are empty documents (the end id alone); null doc_ids come first; an empty table makes an empty manifest; rows
+that repeat a doc_id stay apart, in any order among themselves; other columns are not read.  Any damaged byte raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ import random
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,16 +74,16 @@ def unframe(data: memoryview, at: int) -> tuple[memoryview, int]:
     return payload, end + 4
 
 
-def pack_payload(doc_id: int, ids: bytes, narrow: bool) -> bytes:
+def pack_payload(doc_id: int | None, ids: bytes, narrow: bool) -> bytes:
     """ids: as 32-bit integers; narrow: the vocabulary fits 16 bits."""
     body = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids
-    return struct.pack("<qB", doc_id, 2 if narrow else 4) + body
+    return struct.pack("<qB", doc_id or 0, (2 if narrow else 4) | (0x80 if doc_id is None else 0)) + body
 
 
-def unpack_payload(payload: memoryview) -> tuple[int, bytes]:
+def unpack_payload(payload: memoryview) -> tuple[int | None, bytes]:
     doc_id, width = struct.unpack_from("<qB", payload)
     body = payload[9:]
-    return doc_id, np.frombuffer(body, "<u2").astype("<u4").tobytes() if width == 2 else bytes(body)
+    return None if width & 0x80 else doc_id, np.frombuffer(body, "<u2").astype("<u4").tobytes() if width & 0x7F == 2 else bytes(body)
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -137,7 +136,7 @@ class _Writer(DataSourceArrowWriter):
                 ids = enc.encode_bytes(text.as_py() or "") + end
                 record = frame(pack_payload(doc_id, ids, narrow))
                 out.write(record)
-                index += struct.pack("<qqq", doc_id, at, len(ids) // 4)
+                index += struct.pack("<qqq", doc_id or 0, at, len(ids) // 4)
                 at, tokens = at + len(record), tokens + len(ids) // 4
         close()
         return Shards(done)
@@ -186,7 +185,7 @@ class _Reader(DataSourceReader):
             rows, held, data = [], 0, memoryview(file.read_buffer())
             for k in order.tolist():
                 doc_id, ids = unpack_payload(unframe(data, int(index[k, 1]))[0])
-                if doc_id != index[k, 0] or len(ids) != 4 * index[k, 2]:
+                if (doc_id or 0) != index[k, 0] or len(ids) != 4 * index[k, 2]:
                     raise ValueError(f"{partition.name}: the index and record {k} differ")
                 rows.append((doc_id, int(starts[k]), len(ids) // 4, ids if self.with_ids else None, zlib.crc32(ids)))
                 held += len(ids)
@@ -236,8 +235,3 @@ def read_token_records(spark: SparkSession, path: str, ids: bool = True, shuffle
     reader = spark.read.format("token_records").option("ids", str(ids).lower())
     return (reader.option("shuffle_seed", shuffle_seed) if shuffle_seed is not None else reader).load(path)
 
-
-def ids_array(ids: bytes) -> array:
-    out = array("I")
-    out.frombytes(ids)
-    return out
