@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Names of languages in collection files, and their codes.
 LANGUAGES = {
@@ -120,7 +121,7 @@ def new_card_id(*key: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u0001", *[F.coalesce(k.cast("string"), F.lit("")) for k in key]), 256), 1, 32)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """How much of two texts is in matching blocks; null where either is."""
     from difflib import SequenceMatcher

@@ -11,7 +11,10 @@ from cardloom.plans.registry import query
 
 H = "WITH " + T.LIBRARY_SQL
 ALL = ", ".join(L.FIELDS)
-LATER = F.lit("2002-01-01").cast("timestamp")
+
+
+def later():
+    return F.lit("2002-01-01").cast("timestamp")
 
 
 @query("fold_duplicates", H + f" SELECT {ALL} FROM held")
@@ -91,7 +94,7 @@ def _changes(held):
     no, text = F.lit(False), F.lit(None).cast("string")
     flags = {"scryfall_id": F.col("ord") % 10 == 1, "name": no, "set_code": no, "collector_number": no, "foil": no, "count": F.col("ord") % 10 == 2}
     values = {"scryfall_id": text, "name": text, "set_code": text, "collector_number": text, "foil": F.lit(True), "count": F.lit(7).cast("long")}
-    return held.select("card_id", LATER.alias("now"), *[v.alias(f"set_{k}") for k, v in flags.items()], *[v.alias(k) for k, v in values.items()])
+    return held.select("card_id", later().alias("now"), *[v.alias(f"set_{k}") for k, v in flags.items()], *[v.alias(k) for k, v in values.items()])
 
 
 @query("delete_cards", H + " SELECT card_id FROM held WHERE count % 2 = 0")
@@ -122,7 +125,7 @@ def change_cards(spark, sf):
     no, text = F.lit(False), F.lit(None).cast("string")
     flags = {k: F.lit(k == "foil") for k in L.PATCH}
     values = {"foil": no, "count": F.lit(None).cast("long")}
-    changes = moved.select("card_id", LATER.alias("now"), *[v.alias(f"set_{k}") for k, v in flags.items()], *[values.get(k, text).alias(k) for k in L.PATCH])
+    changes = moved.select("card_id", later().alias("now"), *[v.alias(f"set_{k}") for k, v in flags.items()], *[values.get(k, text).alias(k) for k in L.PATCH])
     return L.change_cards(held, changes).select("card_id", "scryfall_id", "foil", "count")
 
 
@@ -247,7 +250,7 @@ def upsert_placeholders(spark, sf):
     held, _ = T.held_and_batch(spark, sf)
     names = ["name", "set_code", "collector_number", "foil"]
     cards = held.filter("scryfall_id is null").select(*names).distinct()
-    cards = cards.select(*[{"card_id": F.lit("new"), "count": F.lit(5).cast("long"), "ord": F.lit(0).cast("long"), "created_at": LATER, "updated_at": LATER}.get(c, F.col(c) if c in names else F.lit(None).cast("string")).alias(c) for c in L.FIELDS])
+    cards = cards.select(*[{"card_id": F.lit("new"), "count": F.lit(5).cast("long"), "ord": F.lit(0).cast("long"), "created_at": later(), "updated_at": later()}.get(c, F.col(c) if c in names else F.lit(None).cast("string")).alias(c) for c in L.FIELDS])
     return I.upsert_placeholders(held, cards, "add").select("card_id", "count")
 
 

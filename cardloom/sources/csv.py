@@ -38,7 +38,7 @@ def scan_moxfield_csv(spark: SparkSession, path: str, strict: bool = False) -> D
         F.monotonically_increasing_id().alias("line"), whole.alias("count"), text("name").alias("name"), F.lower(text("edition")).alias("set_code"), text("collector number").alias("collector_number"),
         (text("foil") != "").alias("foil"), language_code(text("language")).alias("lang"), parse_timestamp(text("last modified")).alias("modified_at"), error.alias("error"),
     )
-    return rows.withColumn("count", F.when(F.col("error").isNull(), F.col("count")).otherwise(F.raise_error("error").cast("long"))) if strict else rows
+    return rows.withColumn("count", F.when(F.col("error").isNull(), F.col("count")).otherwise(F.raise_error(F.col("error")).cast("long"))) if strict else rows
 
 
 def full_rows(cards: DataFrame) -> DataFrame:
