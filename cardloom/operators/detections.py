@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,26 +50,48 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
 
 
+def _greedy(boxes: np.ndarray, overlap: float, most: int | None) -> list[int]:
+    """Which of one image's boxes, best first, stay."""
+    kept: list[int] = []
+    for i in range(len(boxes)):
+        if most is not None and len(kept) == most:
+            break
+        if not kept or not (_iou(boxes[i], boxes[kept]) > overlap).any():
+            kept.append(i)
+    return kept
+
+
 def nms(dets: DataFrame, overlap: float = OVERLAP, most: int | None = None) -> DataFrame:
-    """Greedy by confidence (ties by det_id): a box stays if it overlaps no kept one of its image by more. Each image's
-    boxes are one group; detectors give some thousands at most."""
+    """Greedy by confidence (ties by det_id): a box stays if it overlaps no kept one of its image by more.
+
+    One shuffle by image; within a partition images follow one another, sorted, so a batch holds many of them, and only
+    the last one of a batch is carried over to the next.
+    """
     half_w, half_h = envelope(F.col("w"), F.col("h"), F.col("angle"))
     rows = dets.withColumns({"_hw": half_w, "_hh": half_h})
+    columns = dets.columns
 
-    def suppress(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["conf", "det_id"], ascending=[False, True], kind="stable")
+    def finished(frame: pd.DataFrame) -> pd.DataFrame:
         x, y, hw, hh = (frame[c].to_numpy() for c in ("cx", "cy", "_hw", "_hh"))
         boxes = np.stack([x - hw, y - hh, x + hw, y + hh], axis=1)
-        kept: list[int] = []
-        for i in range(len(boxes)):
-            if most is not None and len(kept) == most:
-                break
-            if not kept or not (_iou(boxes[i], boxes[kept]) > overlap).any():
-                kept.append(i)
-        return frame.iloc[kept][list(columns)]
-
-    columns = dets.columns
-    return rows.groupBy("image_id").applyInPandas(suppress, dets.schema)
+        image = frame["image_id"].to_numpy()
+        edges = [0, *(np.flatnonzero(image[1:] != image[:-1]) + 1).tolist(), len(image)]
+        kept = [a + i for a, b in zip(edges[:-1], edges[1:], strict=True) for i in ([0] if b - a == 1 else _greedy(boxes[a:b], overlap, most))]
+        return frame.iloc[kept][columns]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for frame in frames:
+            frame = frame if rest is None or not len(rest) else pd.concat([rest, frame], ignore_index=True)
+            if len(frame):
+                last = frame["image_id"].to_numpy() == frame["image_id"].iloc[-1]
+                rest, frame = frame[last], frame[~last]
+                if len(frame):
+                    yield finished(frame)
+        if rest is not None and len(rest):
+            yield finished(rest)
+
+    return rows.repartition("image_id").sortWithinPartitions("image_id", F.desc("conf"), "det_id").mapInPandas(run, dets.schema)
 
 
 def pairwise_iou(dets: DataFrame) -> DataFrame:
