@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import documents, materialize, text_views, without
+from cardloom.llm.common import documents, free_name, materialize, text_views
 from cardloom.llm.words import SHINGLE, slices, window_hashes, word_hashes, word_spans
 
 DIMENSIONS = 5
@@ -165,13 +165,19 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vectors(c)
         arrays = [batch.column(0), batch.column(2), batch.column(3)] + [pa.array(c[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         arrays.append(pa.array(list(v), pa.list_(pa.float64())))
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "v"])
+        names = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "v"]
+        yield pa.RecordBatch.from_arrays(arrays + batch.columns[4:], names + batch.schema.names[4:])
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the five counts, and the vector v. No shuffle."""
-    texts = documents(docs, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return texts.mapInArrow(_statistics, _SCHEMA)
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def text_statistics(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id, lang, source, the five counts, the vector v and, where it is asked for, the text's sha. No shuffle."""
+    more = [_sha(F.col("text")).alias("sha")] if hashed else []
+    texts = documents(docs, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *more)
+    return texts.mapInArrow(_statistics, _SCHEMA + (", sha binary" if hashed else ""))
 
 
 def _keyed(stats: DataFrame) -> DataFrame:
@@ -247,17 +253,24 @@ def robust_fits(rows: DataFrame) -> DataFrame:
     return materialize(best.select("key", "b.mean", "b.inverse"), "fit")
 
 
-def judge_quality(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the five counts, base_failed, distance (null without an estimate), kept."""
-    stats = materialize(_keyed(text_statistics(docs)), "statistics")
+def judge_quality(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id, lang, source, the five counts, base_failed, distance (null without an estimate), kept; and sha, where it is
+    asked for."""
+    stats = materialize(_keyed(text_statistics(docs, hashed)), "statistics")
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     fits = robust_fits(stats.filter(F.col("key").isNotNull()).select("key", "v"))
     judged = stats.join(fits, "key", "left").withColumn("base_failed", failed).withColumn("distance", _distance())
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))
     names = [x.split()[0] for x in COUNTS.split(", ")]
-    return judged.select("doc_id", "lang", "source", *names, "base_failed", "distance", kept.alias("kept"))
+    return judged.select("doc_id", "lang", "source", *names, "base_failed", "distance", kept.alias("kept"), *(["sha"] if hashed else []))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents whose verdict is to stay, with all their columns. Rows that share a doc_id go together."""
-    return without(docs, judge_quality(docs).filter("not kept").select("doc_id"))
+    """The documents whose verdict is to stay, with all their columns. Rows are told apart by doc_id, text, lang and source,
+    so that only rows of one verdict go together, whether their doc_id is null or repeats."""
+    names = {c: free_name(docs, f"gone_{c}") for c in ("doc_id", "sha", "lang", "source")}
+    gone = judge_quality(docs, hashed=True).filter("not kept").select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone[names["doc_id"]]) & (_sha(docs["text"]) == gone[names["sha"]])
+    for c in ("lang", "source"):
+        same = same & docs[c].cast("string").eqNullSafe(gone[names[c]])
+    return docs.join(gone, same, "left_anti")

@@ -242,6 +242,15 @@ def test_quality_outliers(spark):
     assert all(got[d] for d in range(900)) and not any(got[d] for d in range(900, 1200))
 
 
+def test_quality_keeps_clean_rows_of_shared_doc_ids(spark):
+    """A rejected row takes no other with it, whether they share a null doc_id or a number."""
+    junk = "one two three"
+    rows = [(None, words(60, d), "en", "s") for d in range(20)] + [(None, junk, "en", "s"), (None, None, "en", None), (7, junk, None, "s"), (7, words(60, 7), None, "s"), (8, junk, "en", "s"), (9, words(60, 9), "de", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = [r for r in rows if r[1] not in (junk, None)]
+    assert sorted(map(tuple, quality_rules.keep_good(docs).collect()), key=str) == sorted(want, key=str)
+
+
 def test_chi_square():
     assert quality_rules.chi_square_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
     assert quality_rules.chi_square_cdf(1.0, 2) == pytest.approx(1 - math.exp(-0.5), abs=1e-12)
