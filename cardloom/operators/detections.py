@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 
 CONFIDENCE, OVERLAP, MOST = 0.35, 0.5, 12
 BOX = ("cx", "cy", "w", "h", "angle", "conf")
+#: How an image was fitted into the model's square, and its own size in pixels.
+LETTERBOX = ("scale", "pad_x", "pad_y", "width", "height")
 
 
 def decode_detections(raw: DataFrame) -> DataFrame:
     """raw (image_id, dims, data) to image_id, det_id, cx, cy, w, h, angle, conf. Layouts: [1, n, 7] (confidence at 4, angle
-    at 6) and [1, 6, n] (confidence at 4, angle at 5); others raise."""
+    at 6) and [1, 6, n] (confidence at 4, angle at 5); others raise. Columns of ``LETTERBOX`` are carried along."""
     d = lambda i: F.col("dims")[i]
     rows_first, columns_first = d(2) == 7, d(1) == 6
     n = F.when(rows_first, d(1)).when(columns_first, d(2)).otherwise(F.raise_error(F.lit("unknown layout of detections")).cast("int"))
     rows = raw.withColumn("n", n).filter("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("det_id"))
     at = lambda i, j: F.element_at("data", (F.when(rows_first, F.col("det_id") * 7 + i).otherwise(F.lit(j) * F.col("n") + F.col("det_id")) + 1).cast("int")).cast("double")
-    return rows.select("image_id", "det_id", at(0, 0).alias("cx"), at(1, 1).alias("cy"), at(2, 2).alias("w"), at(3, 3).alias("h"), at(6, 5).alias("angle"), at(4, 4).alias("conf"))
+    return rows.select("image_id", "det_id", at(0, 0).alias("cx"), at(1, 1).alias("cy"), at(2, 2).alias("w"), at(3, 3).alias("h"), at(6, 5).alias("angle"), at(4, 4).alias("conf"), *[c for c in LETTERBOX if c in raw.columns])
 
 
 def filter_detections(dets: DataFrame, confidence: float = CONFIDENCE, size: float | None = None) -> DataFrame:
@@ -107,6 +109,12 @@ def pairwise_iou(dets: DataFrame) -> DataFrame:
     return rows.filter("_i > 0").select("image_id", "a", "b", F.when(F.col("_u") > 0, F.col("_i") / F.col("_u")).otherwise(0.0).alias("iou"))
 
 
+def unletterbox(dets: DataFrame) -> DataFrame:
+    """Boxes in the model's square to the image's own pixels."""
+    scaled = {c: F.col(c) / F.col("scale") for c in ("w", "h")}
+    return dets.withColumns({"cx": (F.col("cx") - F.col("pad_x")) / F.col("scale"), "cy": (F.col("cy") - F.col("pad_y")) / F.col("scale")} | scaled)
+
+
 def normalize_portrait(dets: DataFrame) -> DataFrame:
     """Wide boxes turn a quarter; angles come to lie in (-pi/2, pi/2]."""
     wide = F.col("w") > F.col("h")
@@ -115,10 +123,10 @@ def normalize_portrait(dets: DataFrame) -> DataFrame:
     return dets.withColumns({"w": F.least("w", "h"), "h": F.greatest("w", "h"), "angle": wrapped})
 
 
-def box_corners(dets: DataFrame, width: float | None = None, height: float | None = None) -> DataFrame:
+def box_corners(dets: DataFrame, width: Column | float | None = None, height: Column | float | None = None) -> DataFrame:
     """Adds corners: top left, top right, bottom right, bottom left of the rotated box, clamped to the image if it is given."""
     c, s = F.cos("angle"), F.sin("angle")
-    clamp = lambda v, most: v if most is None else F.least(F.greatest(v, F.lit(0.0)), F.lit(float(most)))
+    clamp = lambda v, most: v if most is None else F.least(F.greatest(v, F.lit(0.0)), most if isinstance(most, Column) else F.lit(float(most)))
 
     def corner(a: int, b: int) -> Column:
         dx, dy = a * F.col("w") / 2, b * F.col("h") / 2
@@ -128,8 +136,15 @@ def box_corners(dets: DataFrame, width: float | None = None, height: float | Non
 
 
 def detect_postprocess(raw: DataFrame, size: float, confidence: float = CONFIDENCE, overlap: float = OVERLAP, most: int = MOST) -> DataFrame:
+    """Oriented boxes in pixels of the image. ``size`` is the model's square; raw has the columns of ``LETTERBOX``, or none
+    of them where its images are such squares themselves."""
+    given = [c for c in LETTERBOX if c in raw.columns]
+    if given and len(given) < len(LETTERBOX):
+        raise ValueError(f"of {LETTERBOX}, only {given} are given")
     kept = nms(filter_detections(decode_detections(raw), confidence, size), overlap, most)
-    return box_corners(normalize_portrait(kept), size, size)
+    if not given:
+        return box_corners(normalize_portrait(kept), size, size)
+    return box_corners(normalize_portrait(unletterbox(kept)), F.col("width").cast("double"), F.col("height").cast("double")).drop(*LETTERBOX)
 
 
 def order_corners(corners: Column) -> Column:

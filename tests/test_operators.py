@@ -242,6 +242,22 @@ def test_detections(spark):
         detections.obb_to_keypoint(spark.createDataFrame([("1 2",)], "value string")).collect()
 
 
+def test_detections_in_image_pixels(spark):
+    """Images of 200 x 100 and 50 x 100, fitted into a square of 100; a box across an edge is clamped to its own image."""
+    one, edge = [50.0, 50.0, 10.0, 20.0, 0.9, 0.0, 0.0], [95.0, 50.0, 20.0, 30.0, 0.8, 0.0, 0.0]
+    schema = "image_id long, dims array<int>, data array<float>, scale double, pad_x int, pad_y int, width int, height int"
+    raw = spark.createDataFrame([(1, [1, 2, 7], one + edge, 0.5, 0, 25, 200, 100), (2, [1, 1, 7], one, 1.0, 25, 0, 50, 100)], schema)
+    rows = {(r.image_id, r.det_id): r for r in detections.detect_postprocess(raw, 100.0).collect()}
+    got = {k: (r.cx, r.cy, r.w, r.h, [tuple(p) for p in r.corners]) for k, r in rows.items()}
+    assert got == {
+        (1, 0): (100, 50, 20, 40, [(90, 30), (110, 30), (110, 70), (90, 70)]),
+        (1, 1): (190, 50, 40, 60, [(170, 20), (200, 20), (200, 80), (170, 80)]),
+        (2, 0): (25, 50, 10, 20, [(20, 40), (30, 40), (30, 60), (20, 60)]),
+    }
+    with pytest.raises(ValueError, match="only"):
+        detections.detect_postprocess(raw.drop("scale"), 100.0)
+
+
 def test_flat_vectors(spark, tmp_path):
     index = spark.createDataFrame([(i, [float(i), i / 2]) for i in range(10)], "pos long, embedding array<float>")
     path = f"file://{tmp_path}/v.bin"
