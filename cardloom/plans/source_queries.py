@@ -25,8 +25,8 @@ def scan_bulk_cards(spark, sf):
 @query("scan_latest_bulk", "SELECT count(*) AS n FROM part WHERE p_partkey % 2 = 0")
 def scan_latest_bulk(spark, sf):
     path = new_path(spark, "dated")
-    records(spark, sf).coalesce(1).write.json(f"{path}/bulk-20240101")
-    records(spark, sf).filter("cast(id as long) % 2 = 0").coalesce(1).write.json(f"{path}/bulk-20240202")
+    records(spark, sf).write.json(f"{path}/bulk-20240101")
+    records(spark, sf).filter("cast(id as long) % 2 = 0").write.json(f"{path}/bulk-20240202")
     return bulk.scan_latest_bulk(spark, path).agg(F.count("*").alias("n"))
 
 

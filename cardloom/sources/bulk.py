@@ -33,7 +33,15 @@ def latest_path(spark: SparkSession, folder: str, pattern: str) -> str:
 
 
 def scan_latest_bulk(spark: SparkSession, folder: str, pattern: str = "*.json*") -> DataFrame:
-    return scan_bulk_cards(spark, latest_path(spark, folder, pattern))
+    """The last file by name, or all files of its folder where it lies in one below ``folder``."""
+    last = latest_path(spark, folder, pattern)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(folder)
+    root = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(root).toUri().getPath()
+    parent = last.rsplit("/", 1)[0]
+    if path(parent).toUri().getPath() == root:
+        return scan_bulk_cards(spark, last)
+    return spark.read.schema(CARD).option("pathGlobFilter", pattern).json(parent)
 
 
 def scan_card_metadata(spark: SparkSession, path: str) -> DataFrame:

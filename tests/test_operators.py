@@ -227,6 +227,17 @@ def test_text_functions(spark):
     assert value(X.fuzzy_ratio(F.lit("abcd"), F.lit("bcde"))) == 0.75 and value(X.normalize_name(F.lit(" Æther, Vial! "))) == "ther vial"
 
 
+def test_latest_bulk_reads_all_files_of_a_folder(spark, tmp_path):
+    ids = lambda n: spark.range(n).selectExpr("cast(id as string) AS id")
+    ids(5).write.json(f"file://{tmp_path}/d/bulk-1")
+    ids(8).repartition(3).write.json(f"file://{tmp_path}/d/bulk-2")
+    assert sorted(r.id for r in bulk.scan_latest_bulk(spark, f"file://{tmp_path}/d").collect()) == [str(i) for i in range(8)]
+    (tmp_path / "flat").mkdir()
+    for n in (1, 2):
+        (tmp_path / "flat" / f"bulk-{n}.json").write_text(f'{{"id": "{n}"}}')
+    assert [r.id for r in bulk.scan_latest_bulk(spark, f"{tmp_path}/flat").collect()] == ["2"]
+
+
 def test_detections(spark):
     flat = [10.0, 10, 8, 4, 0.9, 0, 0.0, 11.0, 10, 8, 4, 0.8, 0, 0.0, 50.0, 50, 4, 8, 0.5, 0, 0.1, 5.0, 5, 9, 9, float("nan"), 0, 0]
     raw = spark.createDataFrame([(1, [1, 4, 7], [float(x) for x in flat])], "image_id long, dims array<int>, data array<float>")
