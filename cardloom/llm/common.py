@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The lower-casing of the contracts: A-Z only.
@@ -16,18 +21,45 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("cardloom.shared.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named.  A folder
+    of our own serves only where all tasks run on this machine; elsewhere executors would not see each other's files."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("cardloom.shared.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cardloom-")
         spark.conf.set("cardloom.shared.dir", base)
     return base.rstrip("/")
 
 
+#: The folder of the step that is running, if there is one; see ``scratch``.
+_STEP: ContextVar[str | None] = ContextVar("step", default=None)
+#: Where the tables that ``materialize`` has returned lie.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder."""
-    return f"{shared_dir(spark)}/cardloom-{name}-{uuid.uuid4().hex}"
+    return f"{_STEP.get() or shared_dir(spark)}/cardloom-{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is materialized inside goes when the block ends: its result must have been written elsewhere by then."""
+    path = scratch_path(spark, name)
+    token = _STEP.set(path)
+    try:
+        yield
+    finally:
+        _STEP.reset(token)
+        delete(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -35,7 +67,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing unwritten still reads."""
+    for table in tables:
+        path = _PLACES.pop(table, None)
+        if path:
+            delete(table.sparkSession, path)
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
@@ -51,11 +93,27 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in the one column of ``gone``. The columns of ``docs`` stay as they are."""
-    name = free_name(docs, "gone")
-    gone = gone.toDF(name).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[name]), "left_anti")
+def row_key(doc_id: Column, text: Column, *more: Column) -> Column:
+    """What tells rows apart: doc_id and 128 bits of the text (null: empty) and of other columns. No full hash of texts
+    that only need to be found again."""
+    text = F.coalesce(text, F.lit(""))
+    parts = [x for c in more for x in (c.isNull(), c.cast("string"))]
+    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.xxhash64(text, *parts), F.xxhash64(F.lit(7), text, *parts))
+
+
+def flagged(docs: DataFrame, key: Column, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as (row, key) in two parts: rows whose key surely isn't in the column ``key`` of ``found``, and the others.
+    Only the second part needs to be shuffled with its texts. Column names of ``docs`` can't clash with any of ours."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
+    marked = with_filter(packed, bit_filter(found, "key"), "key", flag="_in")
+    return marked.filter(~F.col("_in")).select("row", "key"), marked.filter("_in").select("row", "key")
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in the column ``key`` of ``gone``. Texts of rows that stay aren't shuffled, but
+    for the few that the filter of fixed size can't tell apart."""
+    clear, others = flagged(docs, key, gone)
+    return clear.select("row.*").unionByName(others.join(gone.select("key"), "key", "left_anti").select("row.*"))
 
 
 def lower_ascii(column) -> "F.Column":

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import materialize
+from cardloom.llm.common import discard, materialize
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -27,17 +27,21 @@ def _round(edges: DataFrame) -> DataFrame:
     return hung.filter("a < b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """links (a, b) to (node, component): the smallest node reachable. Nodes without links have no row."""
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """links (a, b) to (node, component): the smallest node reachable. Nodes without links have no row. Some twice the
+    logarithm of the longest path are needed; a graph that isn't at rest after ``rounds`` is an error, never a result."""
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     edges, before = materialize(edges, "edges"), None
     for _ in range(rounds):
         new = materialize(_round(edges), "edges")
+        discard(edges)
         now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         edges = new
         if now == before or not now[0]:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not at rest after {rounds} rounds")
     # At rest every node hangs on its component's smallest.
     stars = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

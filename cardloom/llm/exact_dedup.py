@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import FILTER_BITS, bit_filter, documents, free_name, lower_ascii, materialize, with_filter
+from cardloom.llm.common import FILTER_BITS, bit_filter, documents, lower_ascii, materialize, row_key, with_filter, without
 
 PREFIX_CHARS = 64
 
@@ -63,8 +63,7 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, filter_bits:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. Rows are told apart by doc_id and text."""
-    own, sha = free_name(docs, "gone"), free_name(docs, "sha")
-    gone = exact_groups(docs, more={sha: F.sha2(normalized(F.col("text")), 256)}).filter("not kept").select(F.col("doc_id").alias(own), sha).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(gone[own]) & (F.sha2(normalized(docs["text"]), 256) == gone[sha])
-    return docs.join(gone, same, "left_anti")
+    """The documents that stay, with all their columns. Full hashes are read for surviving prefixes only, and only texts of
+    rows that go are shuffled. Rows are told apart by doc_id and text."""
+    gone = exact_groups(docs, more={"row": row_key(F.col("doc_id"), F.col("text"))}).filter("not kept").select(F.col("row").alias("key"))
+    return without(docs, row_key(docs["doc_id"], docs["text"]), gone)

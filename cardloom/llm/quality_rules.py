@@ -10,8 +10,9 @@ distance exceeds ``CUTOFF`` is rejected.
 
 A group with fewer than ``LEAST_ROWS`` rows takes its language's estimate, or that of all rows where the language has too
 few as well, or nothing (its rows keep their verdict from the plain limits).  Null languages and sources are groups of
-their own.  Null texts have no words and fail; an empty table gives no rows; rows that repeat stay apart; other columns
-are not read.
+their own.  Null texts have no words and fail; an empty table gives no rows; rows that repeat stay apart; of two starts with
+one determinant the first wins, and rows in the distance bin that the subset ends in are all taken; a very long text is
+one row, read in parts of a megabyte where it has several texts beside it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import documents, free_name, materialize, text_views
+from cardloom.llm.common import discard, documents, materialize, row_key, text_views, without
 from cardloom.llm.words import SHINGLE, slices, window_hashes, word_hashes, word_spans
 
 DIMENSIONS = 5
@@ -169,20 +170,20 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays + batch.columns[4:], names + batch.schema.names[4:])
 
 
-def _sha(text: Column) -> Column:
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+def _groups(docs: DataFrame) -> list[Column]:
+    return [docs[c].cast("string").alias(c) for c in ("lang", "source")]
 
 
-def text_statistics(docs: DataFrame, hashed: bool = False) -> DataFrame:
-    """doc_id, lang, source, the five counts, the vector v and, where it is asked for, the text's sha. No shuffle."""
-    more = [_sha(F.col("text")).alias("sha")] if hashed else []
-    texts = documents(docs, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *more)
-    return texts.mapInArrow(_statistics, _SCHEMA + (", sha binary" if hashed else ""))
+def text_statistics(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, lang, source, the five counts, the vector v and, where it is asked for, the row's key. No shuffle."""
+    more = [row_key(F.col("doc_id"), F.col("text"), docs["lang"], docs["source"]).alias("row")] if keyed else []
+    return documents(docs, *_groups(docs), *more).mapInArrow(_statistics, _SCHEMA + (", row string" if keyed else ""))
 
 
-def _keyed(stats: DataFrame) -> DataFrame:
-    """Adds the key of the group whose estimate a row takes; null where there are too few rows at all."""
-    by_source = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
+def _keyed(stats: DataFrame, docs: DataFrame) -> DataFrame:
+    """Adds the key of the group whose estimate a row takes; null where there are too few rows at all. The groups' sizes
+    need no text."""
+    by_source = docs.select(*_groups(docs)).groupBy("lang", "source").agg(F.count("*").alias("n"))
     by_lang = by_source.groupBy("lang").agg(F.sum("n").alias("n_lang"))
     total = by_lang.agg(F.sum("n_lang").alias("n_all"))
     text = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
@@ -248,29 +249,26 @@ def robust_fits(rows: DataFrame) -> DataFrame:
     two = starts.select("key", F.lit(2).alias("start"), "mean", cells(lambda i: F.lit(1.0)).alias("inverse"), F.lit(0.0).alias("logdet"))
     fits = materialize(one.unionByName(two), "fits")
     for _ in range(STEPS):
-        fits = materialize(_concentrated(rows, fits), "fits")
+        before, fits = fits, materialize(_concentrated(rows, fits), "fits")
+        discard(before)
     best = fits.groupBy("key").agg(F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("b"))
     return materialize(best.select("key", "b.mean", "b.inverse"), "fit")
 
 
-def judge_quality(docs: DataFrame, hashed: bool = False) -> DataFrame:
-    """doc_id, lang, source, the five counts, base_failed, distance (null without an estimate), kept; and sha, where it is
-    asked for."""
-    stats = materialize(_keyed(text_statistics(docs, hashed)), "statistics")
+def judge_quality(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, lang, source, the five counts, base_failed, distance (null without an estimate), kept; and the row's key,
+    where it is asked for."""
+    stats = materialize(_keyed(text_statistics(docs, keyed), docs), "statistics")
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     fits = robust_fits(stats.filter(F.col("key").isNotNull()).select("key", "v"))
     judged = stats.join(fits, "key", "left").withColumn("base_failed", failed).withColumn("distance", _distance())
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))
     names = [x.split()[0] for x in COUNTS.split(", ")]
-    return judged.select("doc_id", "lang", "source", *names, "base_failed", "distance", kept.alias("kept"), *(["sha"] if hashed else []))
+    return judged.select("doc_id", "lang", "source", *names, "base_failed", "distance", kept.alias("kept"), *(["row"] if keyed else []))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is to stay, with all their columns. Rows are told apart by doc_id, text, lang and source,
     so that only rows of one verdict go together, whether their doc_id is null or repeats."""
-    names = {c: free_name(docs, f"gone_{c}") for c in ("doc_id", "sha", "lang", "source")}
-    gone = judge_quality(docs, hashed=True).filter("not kept").select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(gone[names["doc_id"]]) & (_sha(docs["text"]) == gone[names["sha"]])
-    for c in ("lang", "source"):
-        same = same & docs[c].cast("string").eqNullSafe(gone[names[c]])
-    return docs.join(gone, same, "left_anti")
+    gone = judge_quality(docs, keyed=True).filter("not kept").select(F.col("row").alias("key"))
+    return without(docs, row_key(docs["doc_id"], docs["text"], docs["lang"], docs["source"]), gone)
