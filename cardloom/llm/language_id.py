@@ -1,45 +1,59 @@
 """Language identification, word first: known words by their log frequency per language, others by ever shorter n-grams.
 
-Learned from at most about ``SAMPLE_DOCS`` labelled rows (all of them, if there are fewer), chosen by a hash of doc_id and
-counted in Spark; per language the most frequent ``TOP_WORDS`` words and ``TOP_GRAMS`` n-grams of each order are kept, so
-the model's size is bounded, and it is broadcast.  Prediction is one scan.
+Learned from a sample of labelled rows, chosen by a hash of doc_id and text: at most about ``SAMPLE_DOCS`` of them and, where their
+texts are long, as few as have about ``SAMPLE_BYTES`` of text together.  Every word and n-gram of the sample counts, however
+rare.  The two bounds are what bounds the model: it has at most one entry for each word and n-gram of so many bytes in each
+language that they occur in, 12 bytes each, and is broadcast.  Counts are made in Spark.  Prediction is one scan.
 
-Words are runs of letters, lower-cased.  A word that no language knows backs off to the longest order of character n-grams
-(of the word between boundary marks) of which any is known, and the known ones' mean log frequency is the word's evidence.
-A document's language has the largest sum over its words; the score is the softmax of that sum, over at most
-``EVIDENCE_WORDS`` words' worth, so that it doesn't saturate with length.
+Words are runs of letters (Unicode's categories L), lower-cased.  A word that no language knows backs off to the longest
+order of character n-grams (of the word between boundary marks) of which any is known, and the known ones' mean log
+frequency is the word's evidence.  A document's language has the largest sum over its words; the score is the softmax of
+that sum, over at most ``EVIDENCE_WORDS`` words' worth, so that it doesn't saturate with length.
 
 Null texts, texts without letters and texts met by an empty model are ``und`` with score 0; a null lang is never learned
-from; a null doc_id counts as held out. Equal sums go to the smaller language name. Empty tables give no rows; other
-columns are not read.
+from; a null doc_id counts as held out. Equal sums go to the smaller language name. A very long text is one row, of whose
+words a worker keeps the evidence of ``CACHE_CELLS`` numbers at most. Rows that repeat get the same result. Empty tables
+give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.common import documents
 
 SAMPLE_DOCS = 20_000
-TOP_WORDS, TOP_GRAMS = 40_000, 20_000
+SAMPLE_BYTES = 64 << 20
 ORDERS = (5, 4, 3, 2, 1)
+KINDS = max(ORDERS) + 1
 EVIDENCE_WORDS = 20
 FOLDS = 5
 ALPHA = 0.5
-#: Rows of evidence that a worker keeps for words it met, before it begins anew.
-CACHE_ROWS = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Numbers of evidence that a worker keeps for words it met, before it begins anew.
+CACHE_CELLS = 1_000_000
 PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+@lru_cache(maxsize=1)
+def word_pattern() -> re.Pattern[str]:
+    """Runs of letters. Alphanumeric characters that are neither letters nor decimal digits (fractions, superscripts, Roman
+    numerals) are left out by name."""
+    others = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(rf"[^\W\d_{''.join(others)}]+")
+
+
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
@@ -49,45 +63,68 @@ def grams(word: str, order: int) -> list[str]:
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
 
 
+def gram_key(kind: int, gram: str) -> int:
+    """A signed 64-bit hash. Kind 0 is words, others are an order of n-grams."""
+    key = xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass"), kind)
+    return key - (1 << 64) if key >> 63 else key
+
+
+_COUNTS = "lang string, kind int, key long, n long"
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter[tuple[str, str]] = Counter()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words.update((lang, w) for w in _WORD.findall(text.as_py().lower()))
-    out: Counter[tuple[str, int, str]] = Counter()
+            words.update((lang, w) for w in word_pattern().findall(text.as_py().lower()))
+    out: Counter[tuple[str, int, int]] = Counter()
     for (lang, word), n in words.items():
-        out[lang, 0, word] += n
+        out[lang, 0, gram_key(0, word)] += n
         for order in ORDERS:
             for g in grams(word, order):
-                out[lang, order, g] += n
+                out[lang, order, gram_key(order, g)] += n
     for at in range(0, len(out), 50_000) if out else ():
         part = list(out.items())[at : at + 50_000]
-        columns = [[k[i] for k, _ in part] for i in range(3)]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array([n for _, n in part], pa.int64())], ["lang", "kind", "gram", "n"])
+        columns = [pa.array([k[i] for k, _ in part], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in part], pa.int64())], ["lang", "kind", "key", "n"])
 
 
 class Model:
-    """Log frequencies per language of words (kind 0) and n-grams (their order)."""
-
-    def __init__(self, rows: list[tuple[str, int, str, int, int]]):
-        """rows: lang, kind, gram, its count, and the count of all of that kind in that language."""
-        self.langs = sorted({r[0] for r in rows})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        totals = np.ones((max(ORDERS) + 1, len(self.langs)))
-        counts: dict[tuple[int, str], np.ndarray] = {}
-        for lang, kind, gram, n, total in rows:
-            totals[kind, at[lang]] = total
-            counts.setdefault((kind, gram), np.zeros(len(self.langs)))[at[lang]] = n
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(max(ORDERS) + 1)]
-        for (kind, gram), c in counts.items():
-            self.tables[kind][gram] = np.log((c + ALPHA) / (totals[kind] + 1))
+    """Log frequencies per language of words and n-grams: sorted keys, and for each the languages that have it."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, kind: np.ndarray, key: np.ndarray, n: np.ndarray):
+        """One entry per language (its place in ``langs``), kind and key, and its count."""
+        self.langs = langs
+        totals = np.zeros((KINDS, len(langs)))
+        np.add.at(totals, (kind, lang), n)
+        #: What a language gets for what it doesn't have, by kind.
+        self.absent = np.log(ALPHA / (np.maximum(totals, 1) + 1))
+        order = np.lexsort((lang, key))
+        lang, kind, key, n = lang[order], kind[order], key[order], n[order]
+        self.keys, at = np.unique(key, return_index=True)
+        self.at = np.append(at, len(key)).astype(np.int64)
+        self.lang = lang.astype(np.int16)
+        self.value = np.log((n + ALPHA) / (totals[kind, lang] + 1)).astype(np.float32)
+
+    def find(self, kind: int, some: list[str]) -> list[np.ndarray]:
+        """The evidence of those that are known."""
+        keys = np.array([gram_key(kind, g) for g in some], np.int64)
+        where = np.searchsorted(self.keys, keys)
+        out = []
+        for k, w in zip(keys, where.tolist(), strict=True):
+            if w < len(self.keys) and self.keys[w] == k:
+                row = self.absent[kind].copy()
+                a, b = self.at[w], self.at[w + 1]
+                row[self.lang[a:b]] = self.value[a:b]
+                out.append(row)
+        return out
 
     def evidence(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
+        known = self.find(0, [word])
+        if known:
+            return known[0]
         for order in ORDERS:
-            found = [v for g in grams(word, order) if (v := self.tables[order].get(g)) is not None]
+            found = self.find(order, grams(word, order))
             if found:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.langs))
@@ -96,12 +133,11 @@ class Model:
 class Predictor:
     def __init__(self, model: Model):
         self.model = model
-        self.rows = np.zeros((CACHE_ROWS, len(model.langs)), np.float32)
+        self.most = max(64, CACHE_CELLS // max(1, len(model.langs)))
+        self.rows = np.zeros((self.most, len(model.langs)), np.float32)
         self.known: dict[str, int] = {}
 
     def _row(self, word: str) -> int:
-        if len(self.known) == CACHE_ROWS:
-            self.known.clear()
         k = self.known[word] = len(self.known)
         self.rows[k] = self.model.evidence(word)
         return k
@@ -109,10 +145,10 @@ class Predictor:
     def predict(self, text: str) -> tuple[str, float]:
         total, n = np.zeros(len(self.model.langs)), 0
         if self.model.langs:
-            words = _WORD.findall(text.lower())
-            for at in range(0, len(words), CACHE_ROWS // 4):  # a part's rows must stay while they are summed
-                part = words[at : at + CACHE_ROWS // 4]
-                if len(self.known) + len(part) > CACHE_ROWS:
+            words = word_pattern().findall(text.lower())
+            for at in range(0, len(words), self.most // 4):  # a part's rows must stay while they are summed
+                part = words[at : at + self.most // 4]
+                if len(self.known) + len(part) > self.most:
                     self.known.clear()
                 get = self.known.get
                 where = [k if (k := get(w)) is not None else self._row(w) for w in part]
@@ -125,18 +161,18 @@ class Predictor:
         return self.model.langs[best], float(1 / np.exp(scaled - scaled[best]).sum())
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """docs: doc_id, text, lang. Held-out rows are left out."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == 0
     labelled = documents(docs, F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & ~F.coalesce(held, F.lit(True)))
-    n = labelled.count()
-    share = min(1.0, sample_docs / max(1, n))
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labelled
-    counts = chosen.select("lang", "text").mapInArrow(_counted, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    of = Window.partitionBy("lang", "kind")
-    ranked = counts.withColumns({"total": F.sum("n").over(of), "rank": F.row_number().over(of.orderBy(F.desc("n"), "gram"))})
-    most = F.when(F.col("kind") == 0, TOP_WORDS).otherwise(TOP_GRAMS)
-    return Model([tuple(r) for r in ranked.filter(F.col("rank") <= most).select("lang", "kind", "gram", "n", "total").toLocalIterator()])
+    n, size = labelled.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    share = min(1.0, sample_docs / max(1, n), sample_bytes / max(1, size or 0))
+    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else labelled
+    counts = chosen.select("lang", "text").mapInArrow(_counted, _COUNTS).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    table = counts.toArrow().combine_chunks()  # as much as the sample's bounds allow
+    langs = sorted(table.column("lang").unique().to_pylist())
+    place = pc.index_in(table.column("lang"), pa.array(langs, pa.string())).to_numpy()
+    return Model(langs, place.astype(np.int64), *[table.column(c).to_numpy() for c in ("kind", "key", "n")])
 
 
 def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
