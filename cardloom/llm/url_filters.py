@@ -1,15 +1,18 @@
 """URL verdicts: a list of host and path rules first, then association rules mined from labels, in DataFrame operations.
 
 Every URL becomes a set of tokens: host labels (``h:``), path words (``p:``, numbers as ``p:#``) and query keys (``q:``).
-FP-growth mines the token sets of labelled pages, with the label as one more token; rules that end in ``=block`` and reach
-``CONFIDENCE`` and ``SUPPORT`` are kept.  They match by an inverted index: URL tokens meet rule tokens in an equi-join,
-counts are pre-aggregated per (URL, rule), and a rule fires where all its tokens are found.  Only distinct URLs are
-matched, so a URL that many pages share is one row.
+FP-growth mines the token sets of labelled URLs, with the label as one more token; rules that end in ``=block`` and reach
+``CONFIDENCE`` and ``SUPPORT`` are kept, and of those the ones that contain no other.  They match by an inverted index: a
+rule is filed under the rarest of its tokens, meets the URLs that have it in an equi-join, and fires where all its tokens
+are found.  Only distinct URLs are matched, so a URL that many pages share is one row.
 
-A page is labelled through the document of the same number: block if its quality is 0 or it is toxic, else allow.
+The labels are the listed rules' own verdicts on the pages that they decide: what those pages' URLs have in common decides
+about the others.  Other labels can be given instead, as a table of url and bad.
 
 Null URLs and URLs without ``://`` have an empty host and path and no tokens, and are allowed; without labelled pages no
-rule is mined; a page with several labels counts each; an empty table gives no rows; other columns are not read.
+rule is mined; a page with several labels counts each; listed rules of equal length go by the later host, and no URL fits
+two such rules of this list; rows that repeat get the same verdict; a very long URL is a long token set, of which only
+frequent tokens are mined; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,39 +58,55 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(words(host_of(url), "h:", r"[.]"), words(lower_ascii(path_of(url)), "p:", r"[/._-]"), keys))
 
 
-def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """items: tokens and, where the label says so, ``BLOCK``."""
-    bad = (F.coalesce(labels["quality"], F.lit(1)) == 0) | (F.coalesce(labels["toxic"], F.lit(0)) == 1)
-    marks = labels.select(F.col("doc_id").cast("long").alias("id"), bad.alias("bad"))
-    rows = pages.select(F.col("page_id").cast("long").alias("id"), "url").filter(F.contains(F.col("url"), F.lit("://"))).join(marks, "id")
-    return rows.select(F.when(F.col("bad"), F.array_append(url_tokens(F.col("url")), BLOCK)).otherwise(url_tokens(F.col("url"))).alias("items"))
+def listed_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(url, bad) of the pages that a listed rule decides."""
+    verdict = rule_column(host_of(F.col("url")), path_of(F.col("url")), rules, verdict=True)
+    return pages.select("url", (verdict == "block").alias("bad")).filter(F.col("bad").isNotNull())
 
 
-def mined_rules(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """rule, token, size: the inverted index of the rules that end in a block."""
-    items = materialize(labelled_urls(pages, labels), "items")
+def labelled_urls(labelled: DataFrame) -> DataFrame:
+    """(url, bad) to items: tokens and, where the label says so, ``BLOCK``."""
+    tokens = url_tokens(F.col("url"))
+    return labelled.filter(F.contains(F.col("url"), F.lit("://"))).select(F.when(F.col("bad"), F.array_append(tokens, BLOCK)).otherwise(tokens).alias("items"))
+
+
+def mined_rules(labelled: DataFrame) -> DataFrame:
+    """(url, bad) to (lead, tokens): the inverted index of the rules that end in a block."""
+    items = materialize(labelled_urls(labelled), "items")
     n = items.count()
     if not n:
-        return items.select(F.lit(0).cast("long").alias("rule"), F.lit("").alias("token"), F.lit(0).alias("size")).limit(0)
-    model = FPGrowth(minSupport=max(SUPPORT, LEAST_PAGES / n), minConfidence=CONFIDENCE).fit(items)
-    rules = model.associationRules.filter((F.col("consequent")[0] == BLOCK) & (F.size("consequent") == 1))
-    key = F.xxhash64(F.array_join(F.array_sort("antecedent"), "\n")).alias("rule")
-    return materialize(rules.select(key, F.explode("antecedent").alias("token"), F.size("antecedent").alias("size")), "index")
+        return items.select(F.lit("").alias("lead"), F.col("items").alias("tokens")).limit(0)
+    model = FPGrowth(minSupport=min(1.0, max(SUPPORT, LEAST_PAGES / n)), minConfidence=CONFIDENCE).fit(items)
+    rules = model.associationRules.filter((F.col("consequent")[0] == BLOCK) & (F.size("consequent") == 1)).select(F.array_sort("antecedent").alias("tokens"))
+    rules = materialize(rules, "rules")
+    # Filed under the token that fewest labelled URLs have; every token of a rule is a frequent set of its own.
+    often = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    each = rules.select("tokens", F.explode("tokens").alias("token")).join(often, "token")
+    index = materialize(each.groupBy("tokens").agg(F.min_by("token", F.struct("freq", "token")).alias("lead")).select("lead", "tokens"), "index")
+    larger = index.select(F.col("tokens").alias("whole"), F.explode("tokens").alias("lead")).join(index, "lead")
+    larger = larger.filter((F.size("tokens") < F.size("whole")) & _all_in("tokens", "whole")).select(F.col("whole").alias("tokens")).distinct()
+    return materialize(index.join(larger, "tokens", "left_anti").select("lead", "tokens"), "index")
+
+
+def _all_in(tokens: str, held: str) -> Column:
+    return F.size(F.array_except(tokens, held)) == 0
 
 
 def fired(urls: DataFrame, index: DataFrame) -> DataFrame:
     """Of distinct urls, those that a rule matches."""
-    tokens = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
-    met = tokens.join(index, "token").groupBy("url", "rule").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    return met.filter("n = size").select("url").distinct()
+    tokens = urls.select("url", url_tokens(F.col("url")).alias("held"))
+    met = tokens.select("url", "held", F.explode("held").alias("lead")).join(index, "lead")
+    return met.filter(_all_in("tokens", "held")).select("url").distinct()
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, mined (whether a mined rule fires; null where a listed rule decides)."""
     rows = pages.select("page_id", "url")
     parsed = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     listed = parsed.withColumns({"rule": rule_column(F.col("host"), F.col("path"), rules), "given": rule_column(F.col("host"), F.col("path"), rules, verdict=True)})
-    hit = fired(rows.filter(F.contains(F.col("url"), F.lit("://"))).distinct(), mined_rules(pages, labels))
+    index = mined_rules(listed_verdicts(pages, rules) if labelled is None else labelled.select("url", "bad"))
+    open_ = listed.filter(F.col("rule").isNull() & F.contains(F.col("url"), F.lit("://"))).select("url").distinct()
+    hit = fired(open_, index)
     joined = listed.join(hit.select(F.concat("url", F.lit("")).alias("url"), F.lit(True).alias("hit")), "url", "left")
     mined = F.when(F.col("rule").isNull(), F.coalesce("hit", F.lit(False)))
     verdict = F.coalesce("given", F.when(F.coalesce("hit", F.lit(False)), "block").otherwise("allow"))
