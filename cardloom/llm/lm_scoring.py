@@ -1,7 +1,9 @@
 """Language-model scores of documents: a subword lattice's marginal likelihood, beside a smoothed word unigram.
 
-The pieces are an existing vocabulary's, and its scores (their ranks) the prior of their probabilities; one step of
-expectation maximisation over the training words' counts makes those a unigram model of the corpus.  A document's
+The pieces are an existing vocabulary's, and its scores (their ranks) the first estimate of their probabilities.  Under it
+all segmentations of the training words are weighed, and one step of expectation maximisation over the words' counts makes
+a unigram model of the corpus; the first estimate stays as the prior, with the weight of ``PRIOR_COUNT`` pieces.  Without
+the step (``steps=0``) the vocabulary's scores alone decide.  A document's
 probability is that of all its words' segmentations and an end: pieces never cross words, so it is the product of the
 words' marginals, and each distinct word's lattice is run once.
 
@@ -12,8 +14,9 @@ word - a word has at most a row per block - and each block's documents are summe
 grows with the corpus; nothing but the piece table (of the vocabulary's size) goes to the driver.
 
 Lower-casing is A-Z only. Null texts are empty: the end token alone. With no training documents every count is 0 and the
-piece model is its prior. A null doc_id counts as training, as its crc32 is not known. An empty table gives no rows; other
-columns are not read.
+piece model is its prior. A null doc_id counts as training, as its crc32 is not known. Rows that repeat count and are scored
+each. A very long text is a block of its own, beyond ``BLOCK_BYTES``, and one row there; a very long word is one lattice. An
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ from cardloom.llm.words import LOWERED, slices, word_hashes, word_spans
 
 BLOCK_BYTES = 4 << 20
 FOLDS = 10
+#: Tasks in which blocks meet their words' scores, at most.
+MOST_TASKS = 100_000
 #: Weight of the prior against the corpus' expected counts.
 PRIOR_COUNT = 1000.0
 _BLOCKS = "block long, place int, word string, n_train long, doc_id long, held_out boolean, n_tokens long, places binary, numbers binary"
@@ -125,9 +131,14 @@ def _expectations(path: str):
     return run
 
 
-def piece_model(counts: DataFrame, n_documents: int, path: str) -> tuple[np.ndarray, float]:
-    """Log probabilities of the vocabulary's pieces and bytes, and of the end, from the training words' counts."""
+def piece_model(counts: DataFrame, n_documents: int, path: str, steps: int = 1) -> tuple[np.ndarray, float]:
+    """Log probabilities of the vocabulary's pieces and bytes, and of the end, from the training words' counts; without a
+    step the counts only tell how often a document ends."""
     vocabulary = pieces(path)
+    if not steps:
+        words = counts.agg(F.sum("c")).first()[0] or 0
+        ends = (n_documents + 1.0) / (n_documents + words + 1.0)
+        return np.log(vocabulary.prior * (1 - ends)), math.log(ends)
     summed = counts.filter("c > 0").select("word", "c").mapInArrow(_expectations(path), "piece long, expected double")
     rows = summed.groupBy("piece").agg(F.sum("expected").alias("expected")).toPandas()  # as many rows as the vocabulary has pieces
     expected = PRIOR_COUNT * vocabulary.prior
@@ -136,27 +147,23 @@ def piece_model(counts: DataFrame, n_documents: int, path: str) -> tuple[np.ndar
     return np.log(expected / (expected.sum() + ends)), math.log(ends / (expected.sum() + ends))
 
 
-def _word_scores(path: str, log_p: np.ndarray, n: int, v: int):
-    low = n + 0.1 * (v + 1)
-
+def _word_scores(path: str, log_p: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(path)
         for batch in batches:
-            c = batch.column(1).to_numpy()
             score = log_probabilities(vocabulary, log_p, batch.column(0).to_pylist()) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(np.log10((c + 0.1) / low)), pa.array(score)], ["word", "known", "base", "lattice"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["word", "c", "lattice"])
 
     return run
 
 
-def _summed(end_base: float, end_known: bool, end_score: float):
+def _summed(low: float, training: int, end_score: float):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        size = (pa.compute.max(words.column("place")).as_py() or 0) + 1 if len(words) else 0
+        size = (pc.max(words.column("place")).as_py() or 0) + 1 if len(words) else 0
         values = np.zeros((3, size))
         if size:
-            where = words.column("place").to_numpy()
-            for row, name in zip(values, ("known", "base", "lattice"), strict=True):
-                row[where] = words.column(name).to_numpy(zero_copy_only=False)
+            where, c = words.column("place").to_numpy(), words.column("c").to_numpy()
+            values[0, where], values[1, where], values[2, where] = c > 0, np.log10((c + 0.1) / low), words.column("lattice").to_numpy()
         out = []
         for places, numbers in zip(docs.column("places").to_pylist(), docs.column("numbers").to_pylist(), strict=True):
             m = len(places) // 3
@@ -166,18 +173,19 @@ def _summed(end_base: float, end_known: bool, end_score: float):
             n = np.frombuffer(numbers, np.uint8 if len(numbers) == m else "<u4")
             out.append(values[:, own] @ n if m else np.zeros(3))
         sums = np.array(out).reshape(-1, 3)
+        end = math.log10((training + 0.1) / low)
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": docs.column("n_tokens"),
-                "n_known": pa.array(np.rint(sums[:, 0]).astype(np.int64) + int(end_known)),
-                "base_score": pa.array(sums[:, 1] + end_base), "score": pa.array(sums[:, 2] + end_score),
+                "n_known": pa.array(np.rint(sums[:, 0]).astype(np.int64) + int(training > 0)),
+                "base_score": pa.array(sums[:, 1] + end), "score": pa.array(sums[:, 2] + end_score),
             }
         )
 
     return run
 
 
-def score_documents(docs: DataFrame, piece_model_path: str) -> DataFrame:
+def score_documents(docs: DataFrame, piece_model_path: str, steps: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     blocks = materialize(documents(docs).mapInArrow(_blocks, _BLOCKS), "blocks")
     words = blocks.filter(F.col("word").isNotNull()).select("block", "place", "word", "n_train")
@@ -186,11 +194,13 @@ def score_documents(docs: DataFrame, piece_model_path: str) -> DataFrame:
     total = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     training = own.filter("not held_out").count()
     n, v = (total[0] or 0) + training, (total[1] or 0) + (training > 0)
-    log_p, log_end = piece_model(counts, training, piece_model_path)
-    scored = counts.mapInArrow(_word_scores(piece_model_path, log_p, n, v), "word string, known boolean, base double, lattice double")
-    known = words.select(F.col("block").alias("in_block"), "place", "word").join(scored, "word").select("in_block", "place", "known", "base", F.col("lattice").cast("float").alias("lattice"))
-    end_base = math.log10((training + 0.1) / (n + 0.1 * (v + 1)))
-    summed = own.groupBy("block").cogroup(known.groupBy("in_block")).applyInArrow(_summed(end_base, training > 0, log_end / math.log(10)), SCORES)
+    log_p, log_end = piece_model(counts, training, piece_model_path, steps)
+    scored = counts.mapInArrow(_word_scores(piece_model_path, log_p), "word string, c long, lattice double")
+    known = words.select(F.col("block").alias("in_block"), "place", "word").join(scored, "word").select("in_block", "place", "c", "lattice")
+    # Groups can't be split: a task for each block, as far as tasks go.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, own.select("block").distinct().count()))
+    grouped = own.repartition(tasks, "block").groupBy("block").cogroup(known.repartition(tasks, "in_block").groupBy("in_block"))
+    summed = grouped.applyInArrow(_summed(n + 0.1 * (v + 1), training, log_end / math.log(10)), SCORES)
     return summed.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
