@@ -7,13 +7,16 @@ count equals its bound is certified: only its emptiest sequence, which the bound
 group with a gap gives up every sequence with room in it.  What is given up is dealt anew over groups - documents change
 partitions - and packed again, as long as that saves sequences; an arrangement is never replaced by a worse one.
 
-Null texts are empty documents (the end id alone; without an end id they have no piece); repeated rows are packed each;
-an empty table gives no rows; other columns are not read.
+Null texts are empty documents (the end id alone; without an end id they have no piece); repeated rows are packed each, and
+dealt by the number of the row, so that they don't meet in one group; pieces of one length go in order of doc_id and piece,
+and a piece that fits several sequences equally well goes to the one that was filled last; a very long text is encoded
+whole, in one row, and cut; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import struct
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 GROUP = 32768
 #: A sequence with at most this share of its capacity free is never given up by a group with a gap.
 TIGHT = 1 / 128
-_PACKED = f"{PIECES}, bin long, offset long, released boolean, bins long, bound long"
+_PACKED = f"{PIECES}, row long, bin long, offset long, released boolean, bins long, bound long"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -120,8 +123,8 @@ def _pack_group(capacity: int):
 
 def pack(pieces: DataFrame, capacity: int, rounds: int = 8) -> DataFrame:
     """Adds sequence_id and offset to rows of ``PIECES``. ``rounds`` bounds the exchanges, which end by themselves."""
-    pieces = materialize(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
-    names = [*pieces.columns]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    pieces = materialize(pieces.select(*names, F.monotonically_increasing_id().alias("row")), "pieces")
     full = pieces.filter(F.col("length") >= capacity).select(*names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     placed = [full]
     pool, before = pieces.filter(F.col("length") < capacity), None
@@ -130,8 +133,8 @@ def pack(pieces: DataFrame, capacity: int, rounds: int = 8) -> DataFrame:
         if not count:
             break
         groups = -(-count // GROUP)
-        group = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(turn)), F.lit(groups))
-        dealt = pool.select(*names, group.alias("group"))
+        group = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups))
+        dealt = pool.select(*names, "row", group.alias("group"))
         packed = materialize(
             dealt.groupBy("group").applyInArrow(_pack_group(capacity), _PACKED).withColumn("group", group), f"packed-{turn}"
         )
@@ -146,9 +149,11 @@ def pack(pieces: DataFrame, capacity: int, rounds: int = 8) -> DataFrame:
         sequence = (F.lit(turn + 1).cast("long") * F.lit(1 << 58)).bitwiseOR(F.col("group").cast("long") * F.lit(1 << 20)).bitwiseOR(F.col("bin"))
         rows = packed.select(*names, sequence.alias("sequence_id"), "offset", "released")
         placed += [rows.filter(~F.col("released")).drop("released"), rows.filter("released").drop("released")]
-        pool, before, count = packed.filter("released").select(*names), total[1], total[2]
+        pool, before, count = packed.filter("released").select(*names, "row"), total[1], total[2]
         if groups == 1:
             break
+    else:
+        warnings.warn(f"packing ended after {rounds} exchanges, the last of {count} pieces in {before} sequences", stacklevel=2)
     out = placed[0]
     for part in placed[1:]:
         out = out.unionByName(part)
