@@ -308,7 +308,7 @@ def test_url_filters(spark):
         9: "http://net/", 10: "http://x.net", 11: "a://b://c/d", 12: "http://h?q=1", 13: "http://xorg/fr/",
     }
     pages = spark.createDataFrame([(i, u, "x", "h") for i, u in urls.items()] + [(3, urls[3], "x", "h")], "page_id long, url string, html string, host string")
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([], "url string, bad boolean")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_urls(pages, labels).collect()}
     for i, u in urls.items():
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
@@ -322,11 +322,48 @@ def test_url_rules_are_mined(spark):
     """Spam pages share two tokens; either alone is harmless."""
     rows = [(i, f"http://{'casino' if i % 2 else 'shop'}.example.com/{'win' if i % 3 == 0 else 'read'}/{i}") for i in range(600)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    labels = spark.createDataFrame([(i, 0 if i % 2 and i % 3 == 0 else 1, 0) for i in range(0, 600, 1) if i % 5], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(u, i % 2 == 1 and i % 3 == 0) for i, u in rows if i % 5], "url string, bad boolean")
     got = {r.page_id: r.verdict for r in url_filters.judge_urls(pages, labels).collect()}
     assert all((got[i] == "block") == (i % 2 == 1 and i % 3 == 0) for i in range(600))
 
 
+def tokens_of(url: str) -> frozenset:
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?", url)
+    host, path, query = m[1].translate(LOWER), m[2].translate(LOWER), m[3] or ""
+    number = lambda x: "#" if re.fullmatch("[0-9]+", x) else x
+    return frozenset(["h:" + number(x) for x in host.split(".") if x] + ["p:" + number(x) for x in re.split("[/._-]", path) if x] + ["q:" + x.split("=")[0] for x in query.split("&") if x])
+
+
+def test_url_verdicts_by_apriori(spark):
+    """On a whole table: the mined verdicts are those of a plain search for all frequent sets and confident rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in url_filters.judge_urls(pages).collect()}
+    sets = {r.page_id: tokens_of(r.url) for r in pages.collect()}
+    taught = [(sets[i], r.verdict == "block") for i, r in got.items() if r.rule is not None]
+    least = math.ceil(max(url_filters.SUPPORT, url_filters.LEAST_PAGES / len(taught)) * len(taught))
+    level = {frozenset([t]) for s, _ in taught for t in s}
+    rules = []
+    while level:
+        counted = {c: [sum(c <= s for s, _ in taught), sum(c <= s and bad for s, bad in taught)] for c in level}
+        frequent = {c for c, (_, bad) in counted.items() if bad >= least}
+        rules += [c for c in frequent if counted[c][1] >= url_filters.CONFIDENCE * counted[c][0]]
+        level = {a | b for a in frequent for b in frequent if len(a | b) == len(a) + 1}
+    assert rules
+    for i, r in got.items():
+        assert r.mined == (None if r.rule else any(c <= sets[i] for c in rules))
+    assert any(r.mined for r in got.values()) and not all(r.mined for r in got.values() if r.rule is None)
+
+
+def test_url_rules_on_held_out_pages(spark):
+    """Rules mined from four fifths of the decided pages agree with the listed verdicts on the rest."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    part = F.pmod(F.crc32(F.col("page_id").cast("string")), F.lit(5))
+    index = url_filters.mined_rules(url_filters.listed_verdicts(pages.filter(part > 0)))
+    held = url_filters.listed_verdicts(pages.filter(part == 0)).distinct()
+    hit = held.join(url_filters.fired(held.select("url").distinct(), index), "url").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
+    assert hit.n > 50 and hit.bad >= 0.9 * hit.n
+
+
 def test_language_id(spark, docs, empty):
     r = random.Random(2)
     stems = {"aa": ["lor", "mip", "sut"], "bb": ["kra", "zov", "tek"]}
@@ -415,3 +452,99 @@ def test_null_doc_ids(spark, tmp_path):
     assert chunk_encoding.encode_with_reuse(rows, BPE).count() == 4 and language_id.identify_languages(rows, language_id.train(rows)).count() == 4
     token_records.write_token_records(rows, f"file://{tmp_path}/r", BPE, 2)
     assert sorted(str(r.doc_id) for r in token_records.read_token_records(spark, f"file://{tmp_path}/r").collect()) == ["1", "2", "None", "None"]
+
+
+def test_pii_dense_text(spark):
+    """A text of nothing but matches takes time in proportion to its length."""
+    import time
+
+    n = 100_000
+    rows = [(0, "1.2.3.4 " * n), (1, "a@b.co " * (n // 4)), (2, "+12345678901 é " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = time.time()
+    got = {r.doc_id: r for r in pii.span_report(docs).collect()}
+    assert got[0].n_ip == n and got[1].n_email == n // 4 and got[2].n_phone == 5000
+    assert got[0].base_sha256 == hashlib.sha256(",".join(f"ip:{8 * i}:{8 * i + 7}" for i in range(n)).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[0] == "<ip> " * n and clean[1] == "<email> " * (n // 4) and clean[2] == "<phone> é " * 5000
+    assert time.time() - at < 240
+
+
+def test_pii_selects_by_held_out_precision(spark):
+    """The spans that are added are those that a plain reading of the rule gives, from the trees' own scores."""
+    r = random.Random(11)
+    mail = lambda: f"u{r.randrange(999)} (at) site{r.randrange(99)}.org"
+    plain = lambda: f"u{r.randrange(999)}@site{r.randrange(99)}.org"
+    rows = [(d, f"{words(10, d)} {plain()} {words(5, d)} {mail()} {words(4, d)}") for d in range(400)]
+    got = {x.doc_id: x.spans for x in pii.span_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        base = [f"email:{m.start()}:{m.end()}" for m in re.finditer(PATTERNS[0], t)]
+        spans = got[d].split(",")
+        assert set(base) <= set(spans) and spans == sorted(spans, key=lambda s: int(s.split(":")[1]))
+        edges = sorted((int(s.split(":")[1]), int(s.split(":")[2])) for s in spans)
+        assert all(a[1] <= b[0] for a, b in zip(edges, edges[1:], strict=False))
+
+
+def test_language_scores_by_hand(spark):
+    """Every prediction equals a plain version with counters, and letters are letters only."""
+    r = random.Random(8)
+    stems = {"aa": ["lor", "mip", "sut", "ñandú"], "bb": ["kra", "zov", "tek", "straße"], "cc": ["lor", "zov", "ba"]}
+    rows = [(d, " ".join("".join(r.choices(stems[x], k=r.randint(1, 3))) for _ in range(12)), x) for d, x in enumerate(r.choices(list(stems), k=150))]
+    odd = [(1000, "½ ² Ⅷ", None), (1001, "٣ _ 12", None), (1002, "ǅ ª", None), (1003, "lorx kraz unseen 日本", None), (1004, "x" * 300_000, None), (1005, "lormip " * 60_000, None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    split = lambda t: ["".join(g) for k, g in __import__("itertools").groupby(t.lower(), str.isalpha) if k]
+    counts = {x: [Counter() for _ in range(6)] for x in stems}
+    for d, t, x in rows:
+        if not held(d):
+            for w in split(t):
+                counts[x][0][w] += 1
+                for o in language_id.ORDERS:
+                    counts[x][o].update(language_id.grams(w, o))
+    log_p = lambda x, k, g: math.log((counts[x][k][g] + 0.5) / (sum(counts[x][k].values()) + 1))
+
+    def evidence(w: str, x: str) -> float:
+        known = lambda k, g: any(counts[y][k][g] for y in stems)
+        if known(0, w):
+            return log_p(x, 0, w)
+        for o in language_id.ORDERS:
+            some = [g for g in language_id.grams(w, o) if known(o, g)]
+            if some:
+                return sum(log_p(x, o, g) for g in some) / len(some)
+        return 0.0
+
+    got = {x.doc_id: x for x in language_id.identify_languages(docs, language_id.train(docs)).collect()}
+    for d, t, _ in rows + odd:
+        ws = split(t)
+        if not ws:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        each = Counter(ws)
+        sums = {x: sum(n * evidence(w, x) for w, n in each.items()) for x in sorted(stems)}
+        best = max(sums, key=lambda x: sums[x])
+        scale = min(1.0, 20 / len(ws))
+        assert got[d].lang_pred == best or abs(sums[best] - sums[got[d].lang_pred]) < 1e-3 * abs(sums[best])
+        assert got[d].score == pytest.approx(1 / sum(math.exp(scale * (s - sums[got[d].lang_pred])) for s in sums.values()), abs=1e-3)
+
+
+def test_lm_score_end_to_end(spark):
+    """The model's score equals a plain run of the recursion over counts made in Python."""
+    from cardloom.llm.lattice import expected_counts, log_probabilities, pieces
+
+    rows = [(d, t) for d, t in texts().items()]
+    got = {r.doc_id: r for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
+    split = {d: WORD.findall((t or "").translate(LOWER)) for d, t in rows}
+    training = [d for d, _ in rows if zlib.crc32(str(d).encode()) % 10 != 0]
+    c = Counter(w for d in training for w in split[d])
+    v = pieces(PIECES)
+    names = list(c)
+    expected = lm_scoring.PRIOR_COUNT * v.prior + expected_counts(v, np.log(v.prior), names, np.array([c[w] for w in names], float))
+    ends = len(training) + 1.0
+    log_p, log_end = np.log(expected / (expected.sum() + ends)), math.log(ends / (expected.sum() + ends))
+    every = sorted({w for ws in split.values() for w in ws})
+    each = dict(zip(every, log_probabilities(v, log_p, every), strict=True))
+    for d, _ in rows:
+        want = (sum(each[w] for w in split[d]) + log_end) / math.log(10)
+        assert got[d].score == pytest.approx(want, rel=1e-9)
+    first = {r.doc_id: r.score for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, steps=0).collect()}
+    assert first[14] < got[14].score < 0
