@@ -12,6 +12,7 @@ LANGUAGES = {
     "english": "en", "spanish": "es", "french": "fr", "german": "de", "italian": "it", "portuguese": "pt",
     "japanese": "ja", "korean": "ko", "russian": "ru", "chinese simplified": "zhs", "chinese traditional": "zht", "phyrexian": "ph",
 }
+# Colours in their order, and the forms of set numbers, ids and times in files.
 COLORS = ("W", "U", "B", "R", "G")
 SET_NUMBER = r"(?i)^([a-z0-9]{2,6})(?:[\s/#:]+|-(?=\d))([a-z0-9★†-]+)$"
 LOOSE_SET_NUMBER = r"(?i)^([a-z0-9]{2,6})[\s/#:]+(\S+)$"
@@ -107,9 +108,11 @@ def format_corners(points: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sorts like a reader does: runs of digits by value, letters without case or accents by the caller's collation."""
+    """Sorts like a reader does: runs of digits by value, however long, letters without case or accents by the caller's
+    collation."""
+    by_value = lambda digits: F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=[0-9])", ""), 18, "0")).otherwise(F.lower(p))), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), by_value(F.regexp_replace(p, "^0+(?=[0-9])", ""))).otherwise(F.lower(p))), "")
 
 
 def valid_card_id(card_id: Column) -> Column:
@@ -122,8 +125,27 @@ def new_card_id(*key: Column) -> Column:
 
 
 @F.pandas_udf(DoubleType())
-def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How much of two texts is in matching blocks; null where either is."""
+def _ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Each pair of a batch once; the second text's index is kept while it stays the same."""
     from difflib import SequenceMatcher
 
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    match = SequenceMatcher(None)
+    known: dict[tuple[str, str], float] = {}
+    out = []
+    for x, y, limit in zip(a, b, least, strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        if (x, y) not in known:
+            if y is not match.b and y != match.b:
+                match.set_seq2(y)
+            match.set_seq1(x)
+            possible = match.real_quick_ratio() >= limit and match.quick_ratio() >= limit
+            known[x, y] = match.ratio() if possible else 0.0
+        out.append(known[x, y])
+    return pd.Series(out, dtype="float64")
+
+
+def fuzzy_ratio(a: Column | str, b: Column | str, least: Column | None = None) -> Column:
+    """How much of two texts is in matching blocks; null where either is. With ``least``, a ratio that can't reach it is 0."""
+    return _ratio(a, b, F.lit(0.0) if least is None else least)

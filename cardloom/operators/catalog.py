@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cardloom.functions.text import color_string, image_filename
 
 # Layouts that are no playable cards.
-NOT_PLAYABLE = ("token", "emblem", "art_series", "double_faced_token", "planar", "scheme", "vanguard")
+NOT_PLAYABLE = ("art_series", "token", "double_faced_token", "emblem", "planar", "vanguard", "scheme")
 FACE = "struct<name:string,artist:string,mana_cost:string,colors:array<string>,image_uris:struct<normal:string>>"
 CARD = (
     "id string, name string, set string, collector_number string, layout string, type_line string, frame string, border_color string, full_art boolean, "
@@ -69,12 +69,19 @@ def placeholder_by_score(scores: DataFrame) -> DataFrame:
 
 def placeholder_by_region(pixels: DataFrame, grey: int = 12, height: int = 30) -> DataFrame:
     """pixels (image_id, x, y, r, g, b): the share of grey pixels over 0.15 is a localized placeholder; else a top third
-    with a brightness deviation below 15 a commander one; else real."""
+    with a brightness deviation below 15 a commander one; else real. ``category_by_text`` is the alternative rule: light
+    text on a dark box (over 0.05 of pixels brighter than 200, the others below 140 on average) is localized; dark text on
+    a light plate (over 0.15 darker than 80, the mean above 120) a commander one; else real."""
     light = (F.col("r") + F.col("g") + F.col("b")) / 3
     spread = F.greatest("r", "g", "b") - F.least("r", "g", "b")
     top = F.when(F.col("y") * 3 < height, light)
-    each = pixels.groupBy("image_id").agg(F.avg((spread <= grey).cast("double")).alias("grey_share"), F.coalesce(F.stddev_pop(top), F.lit(0.0)).alias("top_std"))
-    return each.withColumn("category", F.when(F.col("grey_share") > 0.15, "localized").when(F.col("top_std") < 15, "commander").otherwise("real"))
+    share, luma = (lambda c: F.avg(c.cast("double"))), 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")
+    each = pixels.groupBy("image_id").agg(
+        share(spread <= grey).alias("grey_share"), F.coalesce(F.stddev_pop(top), F.lit(0.0)).alias("top_std"),
+        share(luma > 200).alias("bright_share"), F.coalesce(F.avg(F.when(luma <= 200, luma)), F.avg(luma)).alias("rest_mean"), share(luma < 80).alias("dark_share"), F.avg(luma).alias("mean"),
+    )
+    by_text = F.when((F.col("bright_share") > 0.05) & (F.col("rest_mean") < 140), "localized").when((F.col("dark_share") > 0.15) & (F.col("mean") > 120), "commander").otherwise("real")
+    return each.withColumn("category", F.when(F.col("grey_share") > 0.15, "localized").when(F.col("top_std") < 15, "commander").otherwise("real")).withColumn("category_by_text", by_text)
 
 
 def region_stats(pixels: DataFrame, rectangles: DataFrame) -> DataFrame:
@@ -163,12 +170,32 @@ def find_printings(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.withColumn("place", place)
 
 
+def resolve_printings(keys: DataFrame, catalog: DataFrame) -> DataFrame:
+    """keys (_s, _n, _l: distinct set, number, both lower-cased, and language) with the best item of each, as a struct
+    ``best`` (scryfall_id, name, lang, pos): the first in the wanted language, else the first in English or without a
+    language, else the first; null where there is none.  The catalogue is ranked once, per set, number and language."""
+    c = catalog.select(F.lower("set_code").alias("_s"), F.lower("collector_number").alias("_n"), "scryfall_id", "name", "lang", "pos")
+    item = F.struct("scryfall_id", "name", "lang", "pos")
+    once = c.groupBy("_s", "_n", "scryfall_id").agg(F.min_by(F.struct("name", "lang", "pos"), "pos").alias("r")).select("_s", "_n", "scryfall_id", "r.*")
+    by_lang = once.groupBy("_s", "_n", "lang").agg(F.min_by(item, "pos").alias("exact"))
+    anyway = by_lang.groupBy("_s", "_n").agg(F.min_by("exact", F.struct((1 - _english()).alias("foreign"), "exact.pos")).alias("anyway"))
+    found = keys.join(by_lang.withColumnRenamed("lang", "_l"), ["_s", "_n", "_l"], "left").join(anyway, ["_s", "_n"], "left")
+    return found.select("_s", "_n", "_l", F.coalesce("exact", "anyway").alias("best"))
+
+
+def with_printing(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """rows (set_code, collector_number, lang, ...) with ``best``: distinct keys are resolved, and joined back once."""
+    none = F.lit("\0")  # a language that nothing has, as a join needs a key
+    keyed = rows.withColumns({"_s": F.lower("set_code"), "_n": F.lower("collector_number"), "_l": F.coalesce("lang", none)})
+    keys = keyed.select("_s", "_n", "_l").filter("_s is not null and _n is not null").distinct()
+    best = resolve_printings(keys, catalog).select(*[F.concat(c, F.lit("")).alias(c) for c in ("_s", "_n", "_l")], "best")
+    return keyed.join(best, ["_s", "_n", "_l"], "left").drop("_s", "_n", "_l")
+
+
 def find_printing(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
     """The best of them per row: in the wanted language, else the first."""
-    all_of = find_printings(wanted, catalog).join(wanted.select("row", F.col("lang").alias("_wanted")), "row")
-    exact = F.coalesce(F.col("lang") == F.col("_wanted"), F.lit(False)).cast("int")
-    best = F.row_number().over(Window.partitionBy("row").orderBy(F.desc(exact), "place"))
-    return all_of.withColumn("_b", best).filter("_b = 1").select("row", "scryfall_id", "name", "lang", "pos")
+    found = with_printing(wanted.select("row", "set_code", "collector_number", "lang"), catalog)
+    return found.filter("best is not null").select("row", "best.scryfall_id", "best.name", "best.lang", "best.pos")
 
 
 ATTRIBUTES = ("artist", "type_line", "rarity", "set_name", "colors", "mana_value", "released_at")

@@ -82,16 +82,21 @@ def nms(dets: DataFrame, overlap: float = OVERLAP, most: int | None = None) -> D
         return frame.iloc[kept][columns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        open_: list[pd.DataFrame] = []  # the parts of the last image seen, joined once it is whole
         for frame in frames:
-            frame = frame if rest is None or not len(rest) else pd.concat([rest, frame], ignore_index=True)
-            if len(frame):
-                last = frame["image_id"].to_numpy() == frame["image_id"].iloc[-1]
-                rest, frame = frame[last], frame[~last]
-                if len(frame):
-                    yield finished(frame)
-        if rest is not None and len(rest):
-            yield finished(rest)
+            if not len(frame):
+                continue
+            image = frame["image_id"].to_numpy()
+            last = image == image[-1]
+            if open_ and (image[0] != open_[0]["image_id"].iloc[0] or not last.all()):
+                own = image == open_[0]["image_id"].iloc[0]
+                yield finished(pd.concat([*open_, frame[own]], ignore_index=True))
+                open_, frame, last = [], frame[~own], last[~own]
+            if len(frame[~last]):
+                yield finished(frame[~last])
+            open_.append(frame[last])
+        if open_:
+            yield finished(pd.concat(open_, ignore_index=True))
 
     return rows.repartition("image_id").sortWithinPartitions("image_id", F.desc("conf"), "det_id").mapInPandas(run, dets.schema)
 

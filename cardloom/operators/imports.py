@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import new_card_id, placeholder_key
-from cardloom.operators.catalog import find_printing
+from cardloom.operators.catalog import with_printing
 from cardloom.operators.library import FIELDS, upsert_add, upsert_set
 
 REPORTED = 50
@@ -15,8 +15,7 @@ REPORTED = 50
 def match_import(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """rows (line, count, name, set_code, collector_number, foil, lang, modified_at) with the best printing's id and name;
     null where there is none."""
-    best = find_printing(rows.select(F.col("line").alias("row"), "set_code", "collector_number", "lang"), catalog)
-    return rows.join(best.select(F.col("row").alias("line"), "scryfall_id", F.col("name").alias("catalog_name")), "line", "left")
+    return with_printing(rows, catalog).withColumns({"scryfall_id": F.col("best.scryfall_id"), "catalog_name": F.col("best.name")}).drop("best")
 
 
 def _cards(each: DataFrame) -> DataFrame:
@@ -46,12 +45,13 @@ def upsert_placeholders(library: DataFrame, cards: DataFrame, mode: str = "set")
     first = held.groupBy("_key").agg(F.min_by("card_id", F.struct("created_at", "ord")).alias("_target"))
     new = cards.withColumn("_key", key).join(first, "_key", "left")
     hit = new.filter("_target is not null").select(F.col("_target").alias("card_id"), F.col("count").alias("n_count"), F.col("created_at").alias("n_at"), F.col("updated_at").alias("n_up"))
-    rows = library.join(hit, "card_id", "left")
+    rows = library.filter("scryfall_id is null").join(hit, "card_id", "left")
     count = F.col("count") + F.col("n_count") if mode == "add" else F.col("n_count")
     grew = F.col("n_count").isNotNull() & (count > F.col("count"))
     pick = {"count": F.when(F.col("n_count").isNotNull(), count).otherwise(F.col("count")), "created_at": F.when(grew, F.coalesce("n_at", "created_at")).otherwise(F.col("created_at")), "updated_at": F.when(F.col("n_count").isNotNull() & (count != F.col("count")), F.coalesce("n_up", "updated_at")).otherwise(F.col("updated_at"))}
     kept = rows.select(*[pick.get(c, F.col(c)).alias(c) for c in FIELDS])
-    return kept.unionByName(new.filter("_target is null").select(*FIELDS))
+    untouched = library.filter("scryfall_id is not null").select(*FIELDS)
+    return untouched.unionByName(kept).unionByName(new.filter("_target is null").select(*FIELDS))
 
 
 def import_collection(library: DataFrame, rows: DataFrame, catalog: DataFrame, mode: str = "set") -> DataFrame:

@@ -7,9 +7,14 @@ placeholders.  Everything is set-oriented: sums and maxima commute, so a batch e
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.operators.vectors import places
+from cardloom.sources.shared import kept
+
 FIELDS = ("card_id", "scryfall_id", "name", "set_code", "collector_number", "foil", "count", "created_at", "updated_at", "ord", "photo")
 KEY = ("scryfall_id", "foil")
 LEAST, MOST = 1, 9999
@@ -29,12 +34,12 @@ def fold_duplicates(library: DataFrame) -> DataFrame:
     that of the newest folded row. Placeholders stay as they are."""
     known, rest = library.filter(F.col("scryfall_id").isNotNull()), library.filter(F.col("scryfall_id").isNull())
     age = F.struct("created_at", "ord")
-    kept = [c for c in FIELDS if c not in (*KEY, "count", "created_at", "photo")]
+    own = [c for c in FIELDS if c not in (*KEY, "count", "created_at", "photo")]
     folded = known.groupBy(*KEY).agg(
-        F.min_by(F.struct(*kept, "photo"), age).alias("s"), F.sum("count").alias("count"), F.max("created_at").alias("created_at"),
+        F.min_by(F.struct(*own, "photo"), age).alias("s"), F.sum("count").alias("count"), F.max("created_at").alias("created_at"),
         F.max_by(F.when(F.col("photo").isNotNull(), F.col("photo")), F.when(F.col("photo").isNotNull(), age)).alias("other"),
     )
-    return folded.select(*[F.col("s")[c].alias(c) for c in kept], *KEY, "count", "created_at", move_photo(F.col("s")["photo"], F.col("other")).alias("photo")).select(*FIELDS).unionByName(rest.select(*FIELDS))
+    return folded.select(*[F.col("s")[c].alias(c) for c in own], *KEY, "count", "created_at", move_photo(F.col("s")["photo"], F.col("other")).alias("photo")).select(*FIELDS).unionByName(rest.select(*FIELDS))
 
 
 def move_photo(survivor: Column, folded: Column) -> Column:
@@ -52,14 +57,14 @@ def upsert_add(library: DataFrame, cards: DataFrame) -> DataFrame:
     several in order of arrival giving the row. Adds ``merged``: whether cards with other ids went into the row."""
     tagged = library.select(*FIELDS, F.lit(0).alias("_new")).unionByName(cards.select(*FIELDS, F.lit(1).alias("_new")))
     known, rest = tagged.filter(F.col("scryfall_id").isNotNull()), tagged.filter(F.col("scryfall_id").isNull())
-    kept = [c for c in FIELDS if c not in (*KEY, "count", "created_at", "updated_at", "photo")]
+    own = [c for c in FIELDS if c not in (*KEY, "count", "created_at", "updated_at", "photo")]
     first = F.struct("_new", "ord")
     rows = known.groupBy(*KEY).agg(
-        F.min_by(F.struct(*kept, "photo"), first).alias("s"), F.sum("count").alias("count"), F.max("created_at").alias("created_at"),
+        F.min_by(F.struct(*own, "photo"), first).alias("s"), F.sum("count").alias("count"), F.max("created_at").alias("created_at"),
         F.max_by("updated_at", first).alias("updated_at"), F.min_by("photo", F.when(F.col("photo").isNotNull(), first)).alias("other"),
         (F.count("*") > 1).alias("merged"),
     )
-    out = rows.select(*[F.col("s")[c].alias(c) for c in kept], *KEY, "count", "created_at", "updated_at", move_photo(F.col("s")["photo"], F.col("other")).alias("photo"), "merged")
+    out = rows.select(*[F.col("s")[c].alias(c) for c in own], *KEY, "count", "created_at", "updated_at", move_photo(F.col("s")["photo"], F.col("other")).alias("photo"), "merged")
     return out.unionByName(rest.select(*FIELDS, F.lit(False).alias("merged")))
 
 
@@ -80,35 +85,52 @@ def upsert_set(library: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def insert_conflicts(library: DataFrame, cards: DataFrame) -> DataFrame:
-    """Cards that can't be inserted: their id, or their (scryfall_id, foil), is held, or the count is below one."""
+    """Cards that can't be inserted one by one, in order of ord: their id, or their (scryfall_id, foil), is held or taken by
+    an earlier card that can be, or the count is below one."""
+    return _judged(library, cards).filter("error is not null").select(*FIELDS, "error")
+
+
+def _judged(library: DataFrame, cards: DataFrame) -> DataFrame:
+    """cards with ``error``: null for those that can be inserted.  Each round decides the cards that come first for both of
+    their keys, and those that share a key with one of them; there are as many rounds as the longest chain of such clashes."""
     ids = library.select("card_id").withColumn("_id", F.lit(True))
     keys = library.filter(F.col("scryfall_id").isNotNull()).select(*KEY).distinct().withColumn("_key", F.lit(True))
-    rows = cards.join(ids, "card_id", "left").join(keys, list(KEY), "left")
+    rows = cards.select(*FIELDS).join(ids, "card_id", "left").join(keys, list(KEY), "left")
     error = F.when(F.col("_id"), "card_id is held").when(F.col("_key"), "printing is held").when(F.coalesce("count", F.lit(1)) < LEAST, "count below one")
-    return rows.withColumn("error", error).filter("error is not null").select(*FIELDS, "error")
+    rows = rows.select(*FIELDS, error.alias("error"), F.xxhash64("card_id", *KEY, "ord", "count").alias("_tie"))
+    decided, open_ = rows.filter("error is not null").drop("_tie"), kept(rows.filter("error is null"), "insert")
+    order = ("ord", "_tie")
+    first = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(*order)) == 1
+    own = F.struct("scryfall_id", "foil", F.when(F.col("scryfall_id").isNull(), F.col("card_id")))  # without a printing, a key of its own
+    while not open_.isEmpty():
+        ranked = open_.withColumn("_p", own).withColumn("_ok", first("card_id")).withColumn("_ok", F.col("_ok") & first("_p"))
+        taken = lambda key: F.max("_ok").over(Window.partitionBy(key))
+        clash = F.when(~F.col("_ok") & taken("card_id"), "card_id is held").when(~F.col("_ok") & taken("_p"), "printing is held")
+        ranked = kept(ranked.select(*FIELDS, "_tie", "_ok", clash.alias("error")), "insert")
+        decided = decided.unionByName(ranked.filter(F.col("_ok") | F.col("error").isNotNull()).select(*FIELDS, "error"))
+        open_ = ranked.filter(~F.col("_ok") & F.col("error").isNull()).select(*FIELDS, "error", "_tie")
+    return decided
 
 
 def insert_cards(library: DataFrame, cards: DataFrame) -> DataFrame:
     """Library and cards that don't conflict; a missing count is one, a missing date now."""
-    good = cards.join(insert_conflicts(library, cards).select("card_id"), "card_id", "left_anti")
+    good = _judged(library, cards).filter("error is null")
     filled = good.withColumns({"count": F.coalesce("count", F.lit(1)), "created_at": F.coalesce("created_at", F.current_timestamp()), "updated_at": F.coalesce("updated_at", F.current_timestamp())})
     return library.select(*FIELDS).unionByName(filled.select(*FIELDS))
 
 
-PATCH = ("scryfall_id", "name", "set_code", "collector_number", "foil", "count")
+PATCH = ("scryfall_id", "name", "set_code", "collector_number", "foil", "count", "created_at")
 
 
 def update_cards(library: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes: card_id, now, and set_x, x for the fields of ``PATCH``. A field changes where its flag is set, to null as
-    well; a change without flags does nothing; otherwise updated_at becomes ``now``."""
-    c = changes.select("card_id", "now", *[F.col(f"set_{x}").alias(f"_set_{x}") for x in PATCH], *[F.col(x).alias(f"_{x}") for x in PATCH])
+    """changes: card_id, now, and set_x, x for fields of ``PATCH``. A field changes where its flag is there and set, to null
+    as well; a change without flags does nothing; otherwise updated_at becomes ``now``."""
+    fields = [x for x in PATCH if f"set_{x}" in changes.columns]
+    c = changes.select("card_id", "now", *[F.col(f"set_{x}").alias(f"_set_{x}") for x in fields], *[F.col(x).alias(f"_{x}") for x in fields])
     rows = library.join(c, "card_id", "left")
-    flags = [F.coalesce(f"_set_{x}", F.lit(False)) for x in PATCH]
-    any_flag = flags[0]
-    for f in flags[1:]:
-        any_flag = any_flag | f
-    new = {x: F.when(f, F.col(f"_{x}")).otherwise(F.col(x)) for x, f in zip(PATCH, flags, strict=True)}
-    new["updated_at"] = F.when(any_flag, F.col("now")).otherwise(F.col("updated_at"))
+    flags = [F.coalesce(f"_set_{x}", F.lit(False)) for x in fields]
+    new = {x: F.when(f, F.col(f"_{x}")).otherwise(F.col(x)) for x, f in zip(fields, flags, strict=True)}
+    new["updated_at"] = F.when(reduce(lambda a, b: a | b, flags, F.lit(False)), F.col("now")).otherwise(F.col("updated_at"))
     return rows.select(*[new.get(x, F.col(x)).alias(x) for x in FIELDS])
 
 
@@ -189,7 +211,8 @@ def find_duplicates(library: DataFrame) -> DataFrame:
 
 
 def list_newest(library: DataFrame) -> DataFrame:
-    return library.orderBy(F.desc("created_at"), F.desc("ord"))
+    """All rows with their place, newest first; ranges of the order are numbered by themselves."""
+    return places(library, F.desc("created_at"), F.desc("ord"))
 
 
 def validate_updates(rows: DataFrame, body: str = "body") -> DataFrame:

@@ -39,6 +39,11 @@ def multi_printing_thresholds(rows: DataFrame, name: str = "name") -> DataFrame:
     return each.join(F.broadcast(limits)).groupBy("t").agg(F.count_if(F.col("c") >= F.col("t")).alias("names"), pct(F.count_if(F.col("c") >= F.col("t")), F.count("*")).alias("pct"))
 
 
+def most_printed(rows: DataFrame, most: int = 20, name: str = "name") -> DataFrame:
+    """The names with most rows, ties by name."""
+    return rows.groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(most)
+
+
 def cross_counts(rows: DataFrame, a: str, b: str) -> DataFrame:
     total = rows.agg(F.count("*").alias("total"))
     return rows.groupBy(a, b).agg(F.count("*").alias("n")).join(F.broadcast(total)).select(a, b, "n", pct(F.col("n"), F.col("total")).alias("pct"))
@@ -79,12 +84,15 @@ def file_size_stats(names: DataFrame, files: DataFrame) -> DataFrame:
     return rows.agg(F.count(size).alias("present"), F.count_if(size.isNull()).alias("missing"), F.min(size).alias("min"), F.max(size).alias("max"), F.round(F.avg(size), 4).alias("mean"), F.median(size).alias("median"))
 
 
-def class_breakdown(rows: DataFrame, most: int = 10) -> DataFrame:
-    """Per category its most common sets, with counts, and the category's size and score range."""
-    each = rows.groupBy("category", "set_code").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+def class_breakdown(rows: DataFrame, by: str = "set_code", most: int | None = 10) -> DataFrame:
+    """Per category its most common sets (or all its languages, ``?`` where unknown), with counts, and the category's size
+    and the ranges of both scores."""
+    named = rows.withColumn(by, F.coalesce(by, F.lit("?"))) if by == "lang" else rows
+    ends = {f"{f}_{c}": (g, c) for c in ("score", "second") for f, g in (("min", F.min), ("max", F.max))}
+    each = named.groupBy("category", by).agg(F.count("*").alias("n"), *[g(c).alias(f"_{x}") for x, (g, c) in ends.items()])
     of = Window.partitionBy("category")
-    ranked = each.withColumns({"place": F.row_number().over(of.orderBy(F.desc("n"), "set_code")), "total": F.sum("n").over(of), "min_score": F.min("lo").over(of), "max_score": F.max("hi").over(of)})
-    return ranked.filter(F.col("place") <= most).select("category", "place", "set_code", "n", "total", "min_score", "max_score")
+    ranked = each.withColumns({"place": F.row_number().over(of.orderBy(F.desc("n"), by)), "total": F.sum("n").over(of)} | {x: g(f"_{x}").over(of) for x, (g, _) in ends.items()})
+    return (ranked if most is None else ranked.filter(F.col("place") <= most)).select("category", "place", by, "n", "total", *ends)
 
 
 def score_gap(rows: DataFrame) -> DataFrame:
@@ -107,8 +115,11 @@ def distinct_artifacts(rows: DataFrame, *columns: str) -> DataFrame:
 
 def ocr_rates(rows: DataFrame, least: float = 0.6) -> DataFrame:
     """rows (pool, text, name, number): per pool, and over all (null pool), how often the text resembles the name, and holds
-    the number."""
+    the number. Each pair of texts is compared once, and only where their lengths and letters leave the ratio possible."""
     from cardloom.functions.text import fuzzy_ratio
 
-    hit = rows.withColumn("ratio", fuzzy_ratio(F.lower("text"), F.lower("name")))
-    return hit.rollup("pool").agg(F.count("*").alias("n"), pct(F.count_if(F.col("ratio") >= least), F.count("*")).alias("name_pct"), pct(F.count_if(F.contains("text", F.col("number"))), F.count("*")).alias("number_pct"))
+    pairs = rows.select("pool", F.lower("text").alias("a"), F.lower("name").alias("b"), F.contains("text", F.col("number")).alias("numbered"))
+    pairs = pairs.groupBy("pool", "a", "b").agg(F.count("*").alias("n"), F.count_if("numbered").alias("numbered"))
+    hit = pairs.withColumn("named", F.coalesce(fuzzy_ratio("a", "b", F.lit(least)) >= least, F.lit(False)))
+    share = lambda c: F.round(100 * F.sum(c) / F.sum("n"), 4)
+    return hit.rollup("pool").agg(F.sum("n").alias("n"), share(F.when(F.col("named"), F.col("n")).otherwise(0)).alias("name_pct"), share(F.col("numbered")).alias("number_pct"))

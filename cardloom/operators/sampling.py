@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 
 def hash_order(*key: str, seed: int = 0) -> Column:
-    return F.xxhash64(*key, F.lit(seed))
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(seed)))
 
 
 def sample_set_diverse(rows: DataFrame, n: int, key: str, by: str = "set_code", within: str | None = None, seed: int = 0) -> DataFrame:
     """At most n rows (of each value of ``within``): a pool of n or fewer is taken whole; with fewer than five sets, or n of
     five or less, the first n by hash; else ``max(1, n // (2 * sets))`` of each set, in hashed order of sets, until n,
-    and the rest from what is left, by hash."""
+    and the rest from what is left, by hash.
+
+    A set gives n rows at most, so only those go on; a single pool then ends in a top-n, several in a window per pool.
+    """
     pool = rows.withColumn("_w", F.col(within) if within else F.lit(0))
     shape = pool.groupBy("_w", by).agg(F.count("*").alias("_n"))
     shape = shape.groupBy("_w").agg(F.sum("_n").alias("_pool"), F.count("*").alias("_sets"))
-    pool = pool.join(shape, "_w")
+    inside = F.row_number().over(Window.partitionBy("_w", by).orderBy(hash_order(key, seed=seed), key))
+    ranked = pool.withColumn("_r", inside).filter(F.col("_r") <= n).join(shape, "_w")
     plain = (F.col("_pool") <= n) | (F.col("_sets") < 5) | F.lit(n <= 5)
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) / (2 * F.col("_sets"))))
-    inside = F.row_number().over(Window.partitionBy("_w", by).orderBy(hash_order(key, seed=seed), key))
-    ranked = pool.withColumn("_r", inside).withColumn("_first", ~plain & (F.col("_r") <= quota))
+    ranked = ranked.withColumn("_first", ~plain & (F.col("_r") <= quota))
     order = [F.desc("_first"), F.when(F.col("_first"), hash_order(by, seed=seed + 1)), F.when(F.col("_first"), F.col("_r")), hash_order(key, seed=seed), F.col(key)]
+    if within is None:
+        return ranked.orderBy(*order).limit(n).select(*rows.columns)
     place = F.row_number().over(Window.partitionBy("_w").orderBy(*order))
     return ranked.withColumn("_place", place).filter(F.col("_place") <= n).select(*rows.columns)
 
@@ -33,21 +38,41 @@ def parity_sample(rows: DataFrame, files: DataFrame, n: int, seed: int = 0) -> D
 
 
 # What the test set's categories are made of.
-BORDERS = ("black", "white", "silver", "borderless")
-EFFECTS = ("showcase", "extendedart", "etched", "inverted", "legendary")
-LAYOUTS = ("saga", "split", "flip", "adventure", "class", "meld", "leveler", "mutate", "prototype", "host", "augment", "case", "transform", "modal_dfc", "battle", "reversible_card")
+FRAMES = ("2015", "2003", "1997", "1993", "future")
+PLAIN_BORDERS = ("black", "white")
+BORDERS = ("borderless", "gold", "silver", "yellow")
+TREATMENTS = ("showcase", "extendedart", "etched", "inverted")
+EFFECTS = {"legendary": "legendary", "snow": "snow", "companion": "companion", "nyxtouched": "enchantment", "colorshifted": "colorshifted"}
+LAYOUTS = (
+    "transform", "modal_dfc", "adventure", "split", "flip", "saga", "class", "meld", "leveler", "case", "mutate", "prototype",
+    "reversible_card", "host", "augment", "prepare",
+)
+RARITIES = ("common", "uncommon", "rare", "mythic", "special")
+PRINTINGS = (5, 20)
+
+
+def _has(effect: str) -> Column:
+    return F.coalesce(F.array_contains("frame_effects", effect), F.lit(False))
 
 
 def test_categories(rows: DataFrame) -> DataFrame:
-    """One row per face and category that it belongs to: frame and border, border, effect, layout, back face, rarity on the
-    newest frame, and names with 5 or 20 printings and more."""
+    """One row per face and category that it belongs to: frame and border of plain cards, other borders, treatments, frame
+    effects, layouts, back faces, rarities on the newest frame, and names with 5 or 20 rows and more."""
     printings = rows.groupBy("name").agg(F.count("*").alias("printings"))
-    has = lambda e: F.array_contains("frame_effects", e)
-    vanilla = (F.size("frame_effects") == 0) & ~F.col("full_art") & (F.col("layout") == "normal")
-    labels = [F.when(vanilla, F.concat(F.lit("frame_"), F.col("frame"), F.lit("_"), F.col("border_color")))]
-    labels += [F.when(F.col("border_color") == b, f"border_{b}") for b in BORDERS] + [F.when(has(e), f"effect_{e}") for e in EFFECTS]
-    labels += [F.when(F.col("full_art"), "full_art"), F.when(F.col("layout").isin(*LAYOUTS), F.concat(F.lit("layout_"), F.col("layout"))), F.when(F.col("face_index") > 0, "back_face")]
-    labels += [F.when(F.col("frame") == "2015", F.concat(F.lit("rarity_"), F.col("rarity"))), F.when(F.col("printings") >= 5, "printings_5"), F.when(F.col("printings") >= 20, "printings_20")]
+    framed = ~F.col("full_art") & ~_has("showcase") & ~_has("extendedart")
+    is_in = lambda column, values: F.col(column).isin(*values)
+    label = lambda prefix, *columns: F.concat_ws("_", *[F.lit(prefix)] * bool(prefix), *columns)
+    labels = [
+        F.when(is_in("frame", FRAMES) & is_in("border_color", PLAIN_BORDERS) & framed & (F.col("layout") == "normal"), label("", "frame", "border_color")),
+        F.when(is_in("border_color", BORDERS) & framed, label("border", "border_color")),
+        F.when(F.col("full_art") & is_in("border_color", ("black", "borderless")), label("treatment_fullart", "border_color")),
+        *[F.when(_has(e), f"treatment_{e}") for e in TREATMENTS],
+        *[F.when(_has(e), f"effect_{name}") for name, e in EFFECTS.items()],
+        F.when(is_in("layout", LAYOUTS), label("layout", "layout")),
+        F.when(F.col("face_index") == 1, "back_face"),
+        F.when((F.col("frame") == "2015") & is_in("rarity", RARITIES), label("rarity", "rarity")),
+        *[F.when(F.col("printings") >= n, f"multi_printing_{n}plus") for n in PRINTINGS],
+    ]
     return rows.join(printings, "name").withColumn("category", F.explode(F.array_compact(F.array(*labels)))).drop("printings")
 
 
@@ -58,13 +83,21 @@ def names_in_pool(rows: DataFrame, least: int) -> DataFrame:
 
 
 def crop_pools(rows: DataFrame) -> DataFrame:
-    """One row per face and frame pool: plain, showcase, extended, borderless, full art, old, and by face and layout."""
-    has = lambda e: F.array_contains("frame_effects", e)
+    """One row per face and pool of one kind of frame that it belongs to."""
+    frame, border, full_art = F.col("frame"), F.col("border_color"), F.col("full_art")
+    normal = F.col("layout") == "normal"
+    black = (border == "black") & normal
+    borderless = border == "borderless"
     pools = {
-        "modern": (F.col("frame") == "2015") & (F.size("frame_effects") == 0), "future": F.col("frame") == "future", "classic": F.col("frame").isin("1993", "1997"), "2003": F.col("frame") == "2003",
-        "showcase": has("showcase"), "extended": has("extendedart"), "borderless": F.col("border_color") == "borderless", "full_art": F.col("full_art"),
-        "back": F.col("face_index") > 0, "saga": F.col("layout") == "saga",
-    }
+        "2015_black": (frame == "2015") & black & ~full_art & ~_has("showcase") & ~_has("extendedart"),
+        **{f"{year}_black": (frame == year) & black for year in ("2003", "1997", "1993")},
+        "future": (frame == "future") & normal,
+        "borderless": borderless & ~full_art & ~_has("showcase"),
+        "borderless_fullart": borderless & full_art,
+        "extendedart": _has("extendedart"),
+        "showcase": _has("showcase"),
+        "white_border": border == "white",
+    }
     return rows.withColumn("pool", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in pools.items()]))))
 
 

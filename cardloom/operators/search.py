@@ -2,32 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.functions.text import natural_key, parse_set_number, search_rank
+from cardloom.functions.text import natural_key, number_key, parse_set_number, search_rank
 
 LIMIT = 50
+LEAST = 2
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(n))))
+
+
+def _names_with(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """queries (query_id, q) and the rows whose name holds q: an equi-join on the query's rarest run of three characters (of
+    two, where it has no more), whose hits are then looked at."""
+    named = catalog.withColumn("_name", F.lower("name"))
+    wanted = queries.select("query_id", "q", F.explode(F.when(F.length("q") > 2, _grams(F.col("q"), 3)).otherwise(F.array("q"))).alias("gram"))
+    runs = F.array_union(_grams(F.col("_name"), 2), _grams(F.col("_name"), 3))
+    grams = named.select("pos", F.explode(runs).alias("gram"))
+    often = grams.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # A query with a run that no name has finds nothing.
+    rarest = wanted.join(often, "gram", "left").groupBy("query_id", "q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    held = named.withColumn("gram", F.explode(runs))
+    return rarest.join(held, "gram").filter(F.contains("_name", F.col("q"))).drop("gram")
 
 
 def name_search(queries: DataFrame, catalog: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """queries (query_id, query); catalog (pos, scryfall_id, name, set_code, collector_number).
+    """queries (query_id, query); catalog (pos, scryfall_id, name, set_code, collector_number, lang).
 
-    First rows with the set code that the query names and a number that starts with its number, then rows whose name
-    holds it and whose id isn't among the first; by rank, name, set and number, the best ``limit`` of each query.  The
-    first branch is a join on the set code; the second looks for each query in each name.
+    First the items with exactly the set and number that the query names, one row per id: English or without a language
+    first, else in catalogue order.  Then rows whose name holds the query and whose id isn't among the first; by rank,
+    name, set and number.  The best ``limit`` of each query.
     """
-    q = queries.select("query_id", F.lower(F.trim("query")).alias("q")).filter(F.length("q") >= 2).withColumn("sn", parse_set_number(F.col("q")))
-    number = (
-        q.filter("sn is not null").select("query_id", F.col("sn.code").alias("code"), F.lower("sn.number").alias("number"))
-        .join(catalog.withColumn("code", F.lower("set_code")), "code")
-    )
-    number = number.filter(F.startswith(F.lower("collector_number"), F.col("number"))).withColumn("match", F.when(F.lower("collector_number") == F.col("number"), -2).otherwise(-1))
-    names = q.join(catalog, F.contains(F.lower("name"), F.col("q"))).withColumn("match", search_rank(F.lower("name"), F.col("q")))
-    names = names.join(number.select("query_id", "scryfall_id").distinct(), ["query_id", "scryfall_id"], "left_anti")
+    q = queries.select("query_id", F.lower(F.trim("query")).alias("q")).filter(F.length("q") >= LEAST).withColumn("sn", parse_set_number(F.col("q")))
+    key = number_key(F.col("set_code"), F.col("collector_number"))
+    number = q.filter("sn is not null").select("query_id", number_key(F.col("sn.code"), F.col("sn.number")).alias("key")).join(catalog.withColumn("key", key), "key")
+    rest = [c for c in ("pos", "name", "set_code", "collector_number", "lang")]
+    number = number.groupBy("query_id", "scryfall_id").agg(F.min_by(F.struct(*rest), "pos").alias("r")).select("query_id", "scryfall_id", "r.*")
+    number = number.withColumn("match", F.when(F.coalesce("lang", F.lit("en")) == "en", -2).otherwise(-1))
+    names = _names_with(q.select("query_id", "q"), catalog).withColumn("match", search_rank(F.col("_name"), F.col("q")))
+    names = names.join(number.select("query_id", "scryfall_id"), ["query_id", "scryfall_id"], "left_anti")
     columns = ["query_id", "pos", "scryfall_id", "name", "set_code", "collector_number", "match"]
     found = number.select(*columns).unionByName(names.select(*columns))
-    order = Window.partitionBy("query_id").orderBy("match", natural_key(F.col("name")), natural_key(F.col("set_code")), natural_key(F.col("collector_number")), "pos")
+    hit = F.col("match") >= 0
+    by_text = [F.when(hit, natural_key(F.col(c))) for c in ("name", "set_code", "collector_number")]
+    order = Window.partitionBy("query_id").orderBy("match", *by_text, "pos")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).drop("match")
 
 

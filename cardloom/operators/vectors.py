@@ -1,8 +1,9 @@
 """Exact top-k search over vectors, identification and its decisions.
 
-``topk`` multiplies blocks of the index with the query matrix in Arrow batches and keeps the best k of each batch, so a
-query costs k rows per batch in the one shuffle, by query.  The query matrix goes to the tasks only up to
-``QUERY_BYTES``; more queries are taken in that many blocks, each against all rows.
+Up to ``QUERY_BYTES`` of queries are one matrix that goes to every task, so the index is read in place and not shuffled.
+More queries than that never pass the driver: queries and index are cut into blocks of about ``BLOCK_BYTES``, and each
+block of queries meets each block of the index in a task of its own.  Either way products are made in tiles of ``CELLS``
+scores, and of a tile only rows are put out that can be among a query's best k so far; those alone are shuffled and ranked.
 """
 
 from __future__ import annotations
@@ -11,11 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-QUERY_BYTES = 64 << 20
+from cardloom.sources.shared import kept
+
+QUERY_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+CELLS = 4 << 20
 HITS = "query_id long, pos long, score double"
 #: Decimals that scores are compared in, so that equal vectors tie whatever block they are in.
 DIGITS = 12
@@ -25,59 +31,91 @@ RETRY = 0.9
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    sizes = pa.compute.list_value_length(column)
-    if column.null_count or len(column) and pa.compute.any(pa.compute.not_equal(sizes, dim)).as_py():
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.list_value_length(column)
+    if column.null_count or len(column) and pc.any(pc.not_equal(sizes, dim)).as_py():
         raise ValueError(f"a vector hasn't {dim} dimensions")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
-def _best(scores: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
-    """Of each row, the places of the k largest; of equal ones those with the smaller pos."""
-    order = np.argsort(pos, kind="stable")
-    ranked = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]
-    return order[ranked]
-
+class Best:
+    """What of a stream of index rows can be among each query's best k: of equal scores, those with the smaller pos."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, leave_out: bool):
+        self.ids, self.queries, self.k, self.leave_out = ids, queries, k + leave_out, leave_out
+        #: A score that k rows have reached already.
+        self.least = np.full(len(ids), -np.inf)
+
+    def of(self, pos: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // max(1, len(pos)))
+        for at in range(0, len(self.ids), step):
+            yield self._tile(slice(at, at + step), pos, vectors)
+
+    def _tile(self, some: slice, pos: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        scores = np.round(self.queries[some] @ vectors.T, DIGITS)
+        if self.k < len(pos):
+            kth = np.partition(scores, len(pos) - self.k, axis=1)[:, len(pos) - self.k]
+            self.least[some] = np.maximum(self.least[some], kth)
+        row, column = np.nonzero(scores >= self.least[some, None])
+        found, score = pos[column], scores[row, column]
+        if self.k < len(pos):
+            order = np.lexsort((found, -score, row))
+            starts = np.searchsorted(row, np.arange(scores.shape[0]))
+            place = np.arange(len(row)) - starts[row[order]]
+            order = order[place < self.k]
+            row, found, score = row[order], found[order], score[order]
+        ids = self.ids[some][row]
+        if self.leave_out:
+            other = ids != found
+            ids, found, score = ids[other], found[other], score[other]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found), pa.array(score)], ["query_id", "pos", "score"])
+
+
+def _by_broadcast(queries: DataFrame, index: DataFrame, dim: int, k: int, leave_out: bool) -> DataFrame:
+    table = queries.toArrow()
+    best = (table.column("query_id").to_numpy(), _matrix(table.column("embedding"), dim), k, leave_out)
 
-def _search(ids: np.ndarray, queries: np.ndarray, k: int, leave_out: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = Best(*best)
         for batch in batches:
-            if not len(batch):
-                continue
-            pos = batch.column(0).to_numpy()
-            scores = np.round(queries @ _matrix(batch.column(1), queries.shape[1]).T, DIGITS)
-            best = _best(scores, pos, k + leave_out)
-            rows = np.repeat(np.arange(len(ids)), best.shape[1])
-            found = pos[best.ravel()]
-            keep = ids[rows] != found if leave_out else np.ones(len(rows), bool)
-            arrays = [pa.array(ids[rows][keep]), pa.array(found[keep]), pa.array(scores[rows, best.ravel()][keep])]
-            yield pa.RecordBatch.from_arrays(arrays, ["query_id", "pos", "score"])
-
-    return run
-
-
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Matrices of at most QUERY_BYTES."""
-    ids, rows, size = [], [], 0
-    for r in queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        size += 8 * len(r[1])
-        if size >= QUERY_BYTES:
-            yield np.array(ids), np.array(rows)
-            ids, rows, size = [], [], 0
-    if ids:
-        yield np.array(ids), np.array(rows)
+            if len(batch):
+                yield from state.of(batch.column(0).to_numpy(), _matrix(batch.column(1), dim))
+
+    return index.mapInArrow(run, HITS)
+
+
+def _by_blocks(queries: DataFrame, index: DataFrame, dim: int, k: int, leave_out: bool, n: int) -> DataFrame:
+    size = lambda rows: max(1, -(-8 * dim * rows // BLOCK_BYTES))
+    down, across = size(n), size(index.count())
+    block = lambda c, many: F.pmod(F.xxhash64(c), F.lit(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    q = queries.select(block("query_id", down).alias("i"), each(across).alias("j"), "query_id", "embedding")
+    x = index.select(each(down).alias("i"), block("pos", across).alias("j"), "pos", "embedding")
+
+    def run(mine: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        if len(mine) and len(rows):
+            state = Best(mine.column("query_id").to_numpy(), _matrix(mine.column("embedding"), dim), k, leave_out)
+            for part in rows.to_batches(max_chunksize=10_000):
+                out += state.of(part.column(2).to_numpy(), _matrix(part.column(3), dim))
+        return pa.Table.from_batches(out, pa.schema([("query_id", pa.int64()), ("pos", pa.int64()), ("score", pa.float64())]))
+
+    return q.groupBy("i", "j").cogroup(x.groupBy("i", "j")).applyInArrow(run, HITS)
 
 
 def topk(queries: DataFrame, index: DataFrame, k: int, leave_out: bool = False) -> DataFrame:
     """queries (query_id, embedding) against index (pos, embedding): query_id, rank (from 1), pos, score by inner product,
     best first, ties by pos. k <= 0 gives none; ``leave_out`` skips the row whose pos is the query's id."""
-    spark = index.sparkSession
-    out = spark.createDataFrame([], HITS)
-    if k > 0:
-        rows = index.select(F.col("pos").cast("long"), F.col("embedding").cast("array<float>"))
-        for ids, matrix in _query_blocks(queries):
-            out = out.unionByName(rows.mapInArrow(_search(ids, matrix, k, leave_out), HITS))
+    q = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
+    rows = index.select(F.col("pos").cast("long"), F.col("embedding").cast("array<float>"))
+    n, dim = q.agg(F.count("*"), F.max(F.size("embedding"))).first() if k > 0 else (0, 0)
+    if not n:
+        out = index.sparkSession.createDataFrame([], HITS)
+    elif 8 * n * dim <= QUERY_BYTES:
+        out = _by_broadcast(q, rows, dim, k, leave_out)
+    else:
+        out = _by_blocks(q, rows, dim, k, leave_out, n)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "pos", "score")
 
@@ -179,14 +217,21 @@ def append_index(index: DataFrame, more: DataFrame, order: str) -> DataFrame:
     return index.unionByName(numbered(more, order).join(F.broadcast(start)).withColumn("pos", F.col("pos") + F.col("start")).drop("start"), allowMissingColumns=True)
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds pos: 0, 1, 2 ... in that order. Ranges are numbered by themselves and shifted by the sizes of those before."""
-    spread = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_size"))  # one row per range
+def numbered(rows: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
+    """Adds ``name``: 0, 1, 2 ... in that order. Ranges are numbered by themselves, kept, and shifted by the sizes of those
+    before."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    local = kept(spread.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1), "numbered")
+    sizes = local.groupBy("_part").agg(F.count("*").alias("_size"))  # one row per range
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    return local.join(shifts, "_part").withColumn("pos", (F.col("_n") + F.col("_shift")).cast("long")).drop("_part", "_n", "_shift")
+    return local.join(F.broadcast(shifts), "_part").withColumn(name, (F.col("_n") + F.col("_shift")).cast("long")).drop("_part", "_n", "_shift")
+
+
+def places(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """All rows with their place in an order, from 1."""
+    return numbered(rows, *order, name="place").withColumn("place", F.col("place") + 1)
 
 
 def embed_batch(rows: DataFrame, predict, column: str, batch_size: int = 64) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import LOOSE_SET_NUMBER, mana_bucket
+from cardloom.operators.vectors import places
 
 RARITIES = ("mythic", "rare", "uncommon", "common")
 SORTS = ("date", "name", "set", "release", "mana", "rarity")
@@ -97,7 +98,8 @@ def sort_keys(sort: str) -> list[Column]:
 
 
 def apply_view(cards: DataFrame, view: View) -> DataFrame:
-    return cards.filter(filter_facets(view) & match_query(view.query)).orderBy(*sort_keys(view.sort))
+    """The cards that fit, with their place in the view's order."""
+    return places(cards.filter(filter_facets(view) & match_query(view.query)), *sort_keys(view.sort))
 
 
 def visible_total(cards: DataFrame, view: View) -> DataFrame:

@@ -128,10 +128,17 @@ def pixels(spark, sf):
     return T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("x"), (F.col("l_suppkey") % 30).alias("y"), q.alias("r"), (q + F.col("l_linenumber")).alias("g"), (q + 3 * F.col("l_linenumber")).alias("b"))
 
 
-@query("placeholder_by_region", "WITH " + PIXELS + """, a AS (SELECT image_id, avg(CASE WHEN greatest(r, g, b) - least(r, g, b) <= 12 THEN 1.0 ELSE 0.0 END) AS grey, coalesce(stddev_pop(CASE WHEN y * 3 < 30 THEN (r + g + b) / 3.0 END), 0) AS top FROM px GROUP BY image_id)
-SELECT image_id, CASE WHEN grey > 0.15 THEN 'localized' WHEN top < 15 THEN 'commander' ELSE 'real' END AS category FROM a""")
+@query("placeholder_by_region", "WITH " + PIXELS + """, a AS (SELECT image_id, avg(CASE WHEN greatest(r, g, b) - least(r, g, b) <= 12 THEN 1.0 ELSE 0.0 END) AS grey, coalesce(stddev_pop(CASE WHEN y * 3 < 30 THEN (r + g + b) / 3.0 END), 0) AS top FROM px GROUP BY image_id),
+p5 AS (SELECT image_id, 0.299 * (5 * r) + 0.587 * (5 * g) + 0.114 * (5 * b) AS luma FROM px),
+t AS (SELECT image_id, avg(CASE WHEN luma > 200 THEN 1.0 ELSE 0.0 END) AS bright, coalesce(avg(CASE WHEN luma <= 200 THEN luma END), avg(luma)) AS rest, avg(CASE WHEN luma < 80 THEN 1.0 ELSE 0.0 END) AS dark, avg(luma) AS mean FROM p5 GROUP BY image_id)
+SELECT image_id, CASE WHEN grey > 0.15 THEN 'localized' WHEN top < 15 THEN 'commander' ELSE 'real' END AS category,
+  CASE WHEN bright > 0.05 AND rest < 140 THEN 'localized' WHEN dark > 0.15 AND mean > 120 THEN 'commander' ELSE 'real' END AS by_text FROM a JOIN t USING (image_id)""")
 def placeholder_by_region(spark, sf):
-    return C.placeholder_by_region(pixels(spark, sf)).select("image_id", "category")
+    """By the second rule, of the same pixels five times as bright."""
+    dark = pixels(spark, sf)
+    light = dark.withColumns({c: F.col(c) * 5 for c in ("r", "g", "b")})
+    by_text = C.placeholder_by_region(light).select("image_id", F.col("category_by_text").alias("by_text"))
+    return C.placeholder_by_region(dark).select("image_id", "category").join(by_text, "image_id")
 
 
 @query("region_stats", "WITH " + PIXELS + """, t AS (SELECT * FROM (VALUES ('top', 0, 0, 9, 15), ('left', 0, 0, 4, 30)) t(name, x0, y0, x1, y1))

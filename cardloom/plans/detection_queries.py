@@ -117,14 +117,20 @@ def obb_to_keypoint(spark, sf):
     return D.obb_to_keypoint(lines).select("image_id", "det_id", parts[0].alias("cls"), F.size(parts).alias("fields"), F.round(parts[1].cast("double") * 800).cast("long").alias("x"), F.round(parts[4].cast("double") * 400).cast("long").alias("h"))
 
 
-@query("detect_postprocess", "SELECT vec_id AS image_id, 1 AS n, 0.9 AS conf FROM embeddings")
+@query("detect_postprocess", """WITH e AS (SELECT vec_id, vec_id % 7 AS m, CASE WHEN vec_id % 2 = 0 THEN 1e0 ELSE 5e-1 END AS s FROM embeddings)
+SELECT vec_id AS image_id, CAST(0.9 AS DOUBLE) AS conf, round((30 + m) / s, 4) AS left, round(30 / s, 4) AS top, round((50 + m) / s, 4) AS right, round(70 / s, 4) AS bottom FROM e
+UNION ALL SELECT vec_id, CAST(0.7 AS DOUBLE), CAST(0 AS DOUBLE), round(87 / s, 4), round(6 / s, 4), round(100 / s, 4) FROM e""")
 def detect_postprocess(spark, sf):
-    """Three boxes per vector: one stays, one overlaps it, one is too weak."""
+    """Four boxes per vector, in a square with bars of 10 on both sides, of images of either scale: one stays, one overlaps
+    it, one is too weak, and one reaches beyond the image, to which it is cut."""
     v = F.col("vec_id")
-    box = lambda x, conf: [F.lit(x).cast("float"), F.lit(50.0).cast("float"), F.lit(40.0).cast("float"), F.lit(20.0).cast("float"), F.lit(conf).cast("float"), F.lit(0.0).cast("float"), F.lit(0.1).cast("float")]
-    data = F.array(*box(50.0, 0.9), *box(52.0, 0.8), *box(90.0, 0.1))
-    raw = T.table(spark, sf, "embeddings").select(v.alias("image_id"), F.array(F.lit(1), F.lit(3), F.lit(7)).alias("dims"), data.alias("data"))
-    return D.detect_postprocess(raw, 100.0).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.max("conf"), 4).alias("conf"))
+    box = lambda *values: [(x if hasattr(x, "cast") else F.lit(x)).cast("float") for x in values]
+    data = F.array(*box(v % 7 + 50, 50, 20, 40, 0.9, 0, 0), *box(v % 7 + 52, 50, 20, 40, 0.8, 0, 0), *box(80, 50, 20, 40, 0.1, 0, 0), *box(12, 95, 8, 16, 0.7, 0, 0))
+    s = F.when(v % 2 == 0, 1.0).otherwise(0.5)
+    frame = {"scale": s, "pad_x": F.lit(10.0), "pad_y": F.lit(0.0), "width": 80 / s, "height": 100 / s}
+    raw = T.table(spark, sf, "embeddings").select(v.alias("image_id"), F.array(F.lit(1), F.lit(4), F.lit(7)).alias("dims"), data.alias("data"), *[c.alias(n) for n, c in frame.items()])
+    at = lambda i, c: F.round(F.col("corners")[i][c], 4)
+    return D.detect_postprocess(raw, 100.0).select("image_id", F.round("conf", 4).alias("conf"), at(0, "x").alias("left"), at(0, "y").alias("top"), at(2, "x").alias("right"), at(2, "y").alias("bottom"))
 
 
 @query("best_per_image", W + " SELECT image_id, det_id FROM b QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) <= 3")

@@ -27,7 +27,7 @@ def move_photo(spark, sf):
     return T.held_and_batch(spark, sf)[0].filter("photo is not null").select("card_id", "photo")
 
 
-@query("survivor_pick", H + " SELECT card_id FROM fold WHERE rn = 1")
+@query("survivor_pick", H + " SELECT card_id FROM held WHERE scryfall_id IS NOT NULL")
 def survivor_pick(spark, sf):
     first = F.lit("1998-01-01").cast("timestamp")
     return L.survivors(T.library_rows(spark, sf).filter(F.col("created_at") < first)).select("card_id")
@@ -48,10 +48,9 @@ def check_printing_rule(spark, sf):
     return L.check_printing_rule(T.library_rows(spark, sf))
 
 
-ADD = """, u AS (SELECT *, 0 AS new FROM held UNION ALL SELECT *, 1 FROM batch), a AS (
-  SELECT *, row_number() OVER (PARTITION BY scryfall_id, foil ORDER BY new, ord) AS rn2, sum(count) OVER w AS total2, max(created_at) OVER w AS newest2, count(*) OVER w > 1 AS merged,
-    first_value(updated_at) OVER (PARTITION BY scryfall_id, foil ORDER BY new DESC, ord DESC) AS up2 FROM u WHERE scryfall_id IS NOT NULL WINDOW w AS (PARTITION BY scryfall_id, foil))
-SELECT card_id, scryfall_id, foil, CAST(total2 AS BIGINT) AS count, newest2 AS created_at, up2 AS updated_at, merged FROM a WHERE rn2 = 1
+ADD = """, u AS (SELECT *, CAST(0 AS HUGEINT) * 0 + ord AS turn FROM held UNION ALL SELECT *, CAST(1000000000000000000000 AS HUGEINT) + ord FROM batch)
+SELECT arg_min(card_id, turn) AS card_id, scryfall_id, foil, CAST(sum(count) AS BIGINT) AS count, max(created_at) AS created_at, arg_max(updated_at, turn) AS updated_at, count(*) > 1 AS merged
+FROM u WHERE scryfall_id IS NOT NULL GROUP BY scryfall_id, foil
 UNION ALL SELECT card_id, scryfall_id, foil, count, created_at, updated_at, false FROM u WHERE scryfall_id IS NULL"""
 
 
@@ -76,25 +75,27 @@ def upsert_set(spark, sf):
     return L.upsert_set(held, one).select("card_id", "scryfall_id", "foil", "count", "created_at", "updated_at")
 
 
-@query("insert_cards", H + """, k AS (SELECT b.*, EXISTS (SELECT 1 FROM held h WHERE h.scryfall_id = b.scryfall_id AND h.foil = b.foil) AS clash FROM batch b)
-SELECT card_id, scryfall_id, foil, count FROM held UNION ALL SELECT card_id, scryfall_id, foil, count FROM k WHERE NOT clash""")
+@query("insert_cards", H + """, k AS (SELECT b.* FROM batch b WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.scryfall_id = b.scryfall_id AND h.foil = b.foil)),
+n AS (SELECT *, row_number() OVER (PARTITION BY scryfall_id, foil ORDER BY ord) AS turn FROM k)
+SELECT card_id, scryfall_id, foil, count FROM held UNION ALL SELECT card_id, scryfall_id, foil, count FROM n WHERE turn = 1 OR scryfall_id IS NULL""")
 def insert_cards(spark, sf):
+    """Of several of one printing in the batch the first goes in; card ids are all different."""
     held, batch = T.held_and_batch(spark, sf)
     return L.insert_cards(held, batch).select("card_id", "scryfall_id", "foil", "count")
 
 
 @query("update_cards", H + """ SELECT card_id, CASE WHEN ord % 10 = 1 THEN NULL ELSE scryfall_id END AS scryfall_id, CASE WHEN ord % 10 = 2 THEN 7 ELSE count END AS count,
-  CASE WHEN ord % 10 IN (1, 2) THEN TIMESTAMP '2002-01-01' ELSE updated_at END AS updated_at FROM held""")
+  CASE WHEN ord % 10 = 3 THEN TIMESTAMP '2001-01-01' ELSE created_at END AS created_at, CASE WHEN ord % 10 IN (1, 2, 3) THEN TIMESTAMP '2002-01-01' ELSE updated_at END AS updated_at FROM held""")
 def update_cards(spark, sf):
     held, _ = T.held_and_batch(spark, sf)
-    return L.update_cards(held, _changes(held)).select("card_id", "scryfall_id", "count", "updated_at")
+    return L.update_cards(held, _changes(held)).select("card_id", "scryfall_id", "count", "created_at", "updated_at")
 
 
 def _changes(held):
     no, text = F.lit(False), F.lit(None).cast("string")
-    flags = {"scryfall_id": F.col("ord") % 10 == 1, "name": no, "set_code": no, "collector_number": no, "foil": no, "count": F.col("ord") % 10 == 2}
-    values = {"scryfall_id": text, "name": text, "set_code": text, "collector_number": text, "foil": F.lit(True), "count": F.lit(7).cast("long")}
-    return held.select("card_id", later().alias("now"), *[v.alias(f"set_{k}") for k, v in flags.items()], *[v.alias(k) for k, v in values.items()])
+    flags = {"scryfall_id": F.col("ord") % 10 == 1, "count": F.col("ord") % 10 == 2, "created_at": F.col("ord") % 10 == 3}
+    values = {"foil": F.lit(True), "count": F.lit(7).cast("long"), "created_at": F.lit("2001-01-01").cast("timestamp")}
+    return held.select("card_id", later().alias("now"), *[flags.get(k, no).alias(f"set_{k}") for k in L.PATCH], *[values.get(k, text).alias(k) for k in L.PATCH])
 
 
 @query("delete_cards", H + " SELECT card_id FROM held WHERE count % 2 = 0")
@@ -124,7 +125,7 @@ def change_cards(spark, sf):
     moved = held.filter("foil and scryfall_id is not null and ord % 3 = 0")
     no, text = F.lit(False), F.lit(None).cast("string")
     flags = {k: F.lit(k == "foil") for k in L.PATCH}
-    values = {"foil": no, "count": F.lit(None).cast("long")}
+    values = {"foil": no, "count": F.lit(None).cast("long"), "created_at": F.lit(None).cast("timestamp")}
     changes = moved.select("card_id", later().alias("now"), *[v.alias(f"set_{k}") for k, v in flags.items()], *[values.get(k, text).alias(k) for k in L.PATCH])
     return L.change_cards(held, changes).select("card_id", "scryfall_id", "foil", "count")
 
@@ -153,13 +154,9 @@ def find_duplicates(spark, sf):
     return L.find_duplicates(T.library_rows(spark, sf))
 
 
-@query("list_newest", H + " SELECT card_id, created_at, row_number() OVER (ORDER BY created_at DESC, ord DESC) AS place FROM held QUALIFY place <= 100")
+@query("list_newest", H + " SELECT card_id, created_at, row_number() OVER (ORDER BY created_at DESC, ord DESC) AS place FROM held")
 def list_newest(spark, sf):
-    """The first hundred, as a list shows them."""
-    top = L.list_newest(T.held_and_batch(spark, sf)[0]).limit(100)
-    from pyspark.sql import Window
-
-    return top.select("card_id", "created_at", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("ord"))).alias("place"))
+    return L.list_newest(T.held_and_batch(spark, sf)[0]).select("card_id", "created_at", "place")
 
 
 @query("get_card", H + " SELECT card_id, count FROM held JOIN (SELECT min(card_id) AS card_id FROM held) USING (card_id)")
@@ -174,12 +171,11 @@ def card_row_cast(spark, sf):
     return stored.select("card_id", F.col("foil").cast("boolean").alias("foil"))
 
 
-@query("new_card_id", H + " SELECT count(*) AS n, count(*) AS ids, 32 AS size FROM lib")
+@query("new_card_id", H + " SELECT card_id, left(sha256(card_id), 32) AS id FROM lib")
 def new_card_id(spark, sf):
     from cardloom.functions.text import new_card_id as make
 
-    ids = T.library_rows(spark, sf).select(make(F.col("card_id")).alias("i"))
-    return ids.agg(F.count("*").alias("n"), F.count_distinct("i").alias("ids"), F.max(F.length("i")).alias("size"))
+    return T.library_rows(spark, sf).select("card_id", make(F.col("card_id")).alias("id"))
 
 
 @query("valid_card_id", H + " SELECT card_id, regexp_full_match(card_id, '[A-Za-z0-9][A-Za-z0-9_-]{0,63}') AS ok, false AS bad FROM lib")

@@ -13,19 +13,32 @@ from cardloom.plans.registry import query
 W = "WITH " + T.CATALOG_SQL
 
 
+FRAME, BORDER = ("2015", "2003", "1997", "1993", "future", "2015", "other"), ("black", "white", "borderless", "gold", "silver", "yellow", "black", "black")
+LAYOUT = ("transform", "modal_dfc", "adventure", "split", "flip", "saga", "class", "meld", "leveler", "case", "mutate", "prototype", "reversible_card", "host", "augment", "prepare", "battle")
+#: An effect stands where the number is divisible by its divisor.
+EFFECT = {"legendary": 2, "showcase": 13, "extendedart": 17, "etched": 19, "inverted": 29, "snow": 31, "companion": 37, "enchantment": 41, "colorshifted": 43}
+
+
 def faces(spark, sf):
-    """Parts with the columns that categories are made of."""
+    """Parts with the columns that categories are made of, so that each category has rows."""
     p = F.col("pos")
+    nth = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+    effects = F.array_compact(F.array(*[F.when(p % d == 0, e) for e, d in EFFECT.items()]))
     return T.catalog(spark, sf).select(
-        "pos", "scryfall_id", F.element_at(F.split("name", " "), 1).alias("name"), "set_code", "collector_number", F.split("name", " ").alias("frame_effects"),
-        F.when(p % 2 == 0, "2015").otherwise("1993").alias("frame"), F.when(p % 5 == 0, "borderless").otherwise("black").alias("border_color"), (p % 7 == 0).alias("full_art"),
-        F.when(p % 11 == 0, "saga").otherwise("normal").alias("layout"), F.coalesce("rarity", F.lit("special")).alias("rarity"), (p % 3 % 2).cast("int").alias("face_index"), F.concat(F.lit("f"), p).alias("filename"),
+        "pos", "scryfall_id", F.element_at(F.split("name", " "), 1).alias("name"), "set_code", "collector_number", F.when(p % 47 != 0, effects).alias("frame_effects"),
+        nth(FRAME, p).alias("frame"), nth(BORDER, F.floor(p / 7)).alias("border_color"), (p % 11 == 0).alias("full_art"), F.when(p % 3 == 0, nth(LAYOUT, F.floor(p / 3))).otherwise("normal").alias("layout"),
+        F.when(p % 23 != 0, F.coalesce("rarity", F.lit("special"))).otherwise("bonus").alias("rarity"), (p % 5 % 3).cast("int").alias("face_index"), F.concat(F.lit("f"), p).alias("filename"),
     )
 
 
-FACES = W + """, fc AS (SELECT pos, scryfall_id, split_part(name, ' ', 1) AS name, set_code, collector_number, string_split(name, ' ') AS frame_effects, CASE pos % 2 WHEN 0 THEN '2015' ELSE '1993' END AS frame,
-  CASE pos % 5 WHEN 0 THEN 'borderless' ELSE 'black' END AS border_color, pos % 7 = 0 AS full_art, CASE pos % 11 WHEN 0 THEN 'saga' ELSE 'normal' END AS layout, coalesce(rarity, 'special') AS rarity,
-  CAST(pos % 3 % 2 AS INTEGER) AS face_index FROM cat)"""
+def _nth(values, i):
+    return f"list_extract([{', '.join(repr(v) for v in values)}], CAST({i} % {len(values)} + 1 AS INTEGER))"
+
+
+FACES = W + f""", fc AS (SELECT pos, scryfall_id, split_part(name, ' ', 1) AS name, set_code, collector_number,
+  CASE WHEN pos % 47 <> 0 THEN list_filter([{', '.join(f"CASE WHEN pos % {d} = 0 THEN '{e}' END" for e, d in EFFECT.items())}], lambda x: x IS NOT NULL) END AS frame_effects,
+  {_nth(FRAME, 'pos')} AS frame, {_nth(BORDER, '(pos // 7)')} AS border_color, pos % 11 = 0 AS full_art, CASE WHEN pos % 3 = 0 THEN {_nth(LAYOUT, '(pos // 3)')} ELSE 'normal' END AS layout,
+  CASE WHEN pos % 23 <> 0 THEN coalesce(rarity, 'special') ELSE 'bonus' END AS rarity, CAST(pos % 5 % 3 AS INTEGER) AS face_index, 'f' || pos AS filename FROM cat)"""
 
 
 @query("value_counts_pct", W + """, u AS (SELECT 'rarity' AS dimension, rarity AS value FROM cat UNION ALL SELECT 'lang', lang FROM cat UNION ALL SELECT 'set_code', set_code FROM cat)
@@ -50,6 +63,11 @@ def multi_printing_thresholds(spark, sf):
     return P.multi_printing_thresholds(T.catalog(spark, sf))
 
 
+@query("most_printed", W + " SELECT name, count(*) AS n FROM cat GROUP BY name ORDER BY n DESC, name LIMIT 20")
+def most_printed(spark, sf):
+    return P.most_printed(T.catalog(spark, sf))
+
+
 @query("cross_counts", W + " SELECT rarity, set_code, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM cat), 4) AS pct FROM cat GROUP BY rarity, set_code")
 def cross_counts(spark, sf):
     return P.cross_counts(T.catalog(spark, sf), "rarity", "set_code")
@@ -101,11 +119,23 @@ def file_size_stats(spark, sf):
     return P.file_size_stats(names, files)
 
 
-@query("class_breakdown", W + """, c AS (SELECT rarity AS category, set_code, count(*) AS n, min(mana_value) AS lo, max(mana_value) AS hi FROM cat GROUP BY ALL)
-SELECT category, row_number() OVER (PARTITION BY category ORDER BY n DESC, set_code) AS place, set_code, n, CAST(sum(n) OVER (PARTITION BY category) AS BIGINT) AS total, min(lo) OVER (PARTITION BY category) AS min_score,
-  max(hi) OVER (PARTITION BY category) AS max_score FROM c QUALIFY place <= 10""")
+BREAKDOWN = W + """, c AS (SELECT rarity AS category, {by}, count(*) AS n FROM cat GROUP BY ALL),
+t AS (SELECT rarity AS category, count(*) AS total, min(mana_value) AS min_score, max(mana_value) AS max_score, min(pos) AS min_second, max(pos) AS max_second FROM cat GROUP BY rarity)
+SELECT c.category, row_number() OVER (PARTITION BY c.category ORDER BY n DESC, {by}) AS place, {by}, n, total, min_score, max_score, min_second, max_second FROM c JOIN t ON c.category IS NOT DISTINCT FROM t.category QUALIFY place <= {most}"""
+
+
+def _classes(spark, sf):
+    return T.catalog(spark, sf).select(F.col("rarity").alias("category"), "set_code", "lang", F.col("mana_value").alias("score"), F.col("pos").alias("second"))
+
+
+@query("class_breakdown", BREAKDOWN.format(by="set_code", most=10))
 def class_breakdown(spark, sf):
-    return P.class_breakdown(T.catalog(spark, sf).select(F.col("rarity").alias("category"), "set_code", F.col("mana_value").alias("score")))
+    return P.class_breakdown(_classes(spark, sf))
+
+
+@query("class_languages", BREAKDOWN.format(by="coalesce(lang, '?')", most=1000).replace("c AS (SELECT rarity AS category, coalesce(lang, '?')", "c AS (SELECT rarity AS category, coalesce(lang, '?') AS lang").replace("BY n DESC, coalesce(lang, '?')) AS place, coalesce(lang, '?')", "BY n DESC, lang) AS place, lang"))
+def class_languages(spark, sf):
+    return P.class_breakdown(_classes(spark, sf), by="lang", most=None)
 
 
 @query("score_gap", "SELECT round(min(CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END) - max(CASE WHEN p_partkey % 2 = 1 THEN p_retailprice END), 4) AS gap FROM part")
@@ -133,16 +163,36 @@ def ocr_rates(spark, sf):
     return P.ocr_rates(rows)
 
 
-@query("test_categories", FACES + """, pr AS (SELECT name, count(*) AS printings FROM fc GROUP BY name), u AS (
-  SELECT pos, 'border_' || border_color AS category FROM fc UNION ALL SELECT pos, 'full_art' FROM fc WHERE full_art UNION ALL SELECT pos, 'layout_saga' FROM fc WHERE layout = 'saga' UNION ALL SELECT pos, 'back_face' FROM fc WHERE face_index > 0
-  UNION ALL SELECT pos, 'rarity_' || rarity FROM fc WHERE frame = '2015' UNION ALL SELECT pos, 'printings_5' FROM fc JOIN pr USING (name) WHERE printings >= 5 UNION ALL SELECT pos, 'printings_20' FROM fc JOIN pr USING (name) WHERE printings >= 20)
-SELECT pos, category FROM u""")
+def _effect(name):
+    return f"coalesce(list_contains(frame_effects, '{name}'), false)"
+
+
+CATEGORIES = FACES + f""", pr AS (SELECT name, count(*) AS printings FROM fc GROUP BY name),
+g AS (SELECT fc.*, printings, NOT full_art AND NOT {_effect('showcase')} AND NOT {_effect('extendedart')} AS framed FROM fc JOIN pr USING (name)),
+ct AS (
+  SELECT *, frame || '_' || border_color AS category FROM g WHERE framed AND layout = 'normal' AND frame IN ('2015', '2003', '1997', '1993', 'future') AND border_color IN ('black', 'white')
+  UNION ALL SELECT *, 'border_' || border_color FROM g WHERE framed AND border_color IN ('borderless', 'gold', 'silver', 'yellow')
+  UNION ALL SELECT *, 'treatment_fullart_' || border_color FROM g WHERE full_art AND border_color IN ('black', 'borderless')
+  UNION ALL SELECT *, 'treatment_showcase' FROM g WHERE {_effect('showcase')} UNION ALL SELECT *, 'treatment_extendedart' FROM g WHERE {_effect('extendedart')}
+  UNION ALL SELECT *, 'treatment_etched' FROM g WHERE {_effect('etched')} UNION ALL SELECT *, 'treatment_inverted' FROM g WHERE {_effect('inverted')}
+  UNION ALL SELECT *, 'effect_legendary' FROM g WHERE {_effect('legendary')} UNION ALL SELECT *, 'effect_snow' FROM g WHERE {_effect('snow')} UNION ALL SELECT *, 'effect_companion' FROM g WHERE {_effect('companion')}
+  UNION ALL SELECT *, 'effect_nyxtouched' FROM g WHERE {_effect('enchantment')} UNION ALL SELECT *, 'effect_colorshifted' FROM g WHERE {_effect('colorshifted')}
+  UNION ALL SELECT *, 'layout_' || layout FROM g WHERE layout NOT IN ('normal', 'battle') UNION ALL SELECT *, 'back_face' FROM g WHERE face_index = 1
+  UNION ALL SELECT *, 'rarity_' || rarity FROM g WHERE frame = '2015' AND rarity IN ('common', 'uncommon', 'rare', 'mythic', 'special')
+  UNION ALL SELECT *, 'multi_printing_5plus' FROM g WHERE printings >= 5 UNION ALL SELECT *, 'multi_printing_20plus' FROM g WHERE printings >= 20)"""
+
+
+@query("test_categories", CATEGORIES + " SELECT pos, category FROM ct")
 def test_categories(spark, sf):
     return S.test_categories(faces(spark, sf)).select("pos", "category")
 
 
-@query("crop_pools", FACES + """ SELECT pos, 'classic' AS pool FROM fc WHERE frame = '1993' UNION ALL SELECT pos, 'borderless' FROM fc WHERE border_color = 'borderless' UNION ALL SELECT pos, 'full_art' FROM fc WHERE full_art
-UNION ALL SELECT pos, 'back' FROM fc WHERE face_index > 0 UNION ALL SELECT pos, 'saga' FROM fc WHERE layout = 'saga'""")
+@query("crop_pools", FACES + f""", b AS (SELECT *, border_color = 'black' AND layout = 'normal' AS plain FROM fc)
+SELECT pos, '2015_black' AS pool FROM b WHERE plain AND frame = '2015' AND NOT full_art AND NOT {_effect('showcase')} AND NOT {_effect('extendedart')}
+UNION ALL SELECT pos, '2003_black' FROM b WHERE plain AND frame = '2003' UNION ALL SELECT pos, '1997_black' FROM b WHERE plain AND frame = '1997' UNION ALL SELECT pos, '1993_black' FROM b WHERE plain AND frame = '1993'
+UNION ALL SELECT pos, 'future' FROM b WHERE frame = 'future' AND layout = 'normal' UNION ALL SELECT pos, 'borderless' FROM b WHERE border_color = 'borderless' AND NOT full_art AND NOT {_effect('showcase')}
+UNION ALL SELECT pos, 'borderless_fullart' FROM b WHERE border_color = 'borderless' AND full_art UNION ALL SELECT pos, 'extendedart' FROM b WHERE {_effect('extendedart')}
+UNION ALL SELECT pos, 'showcase' FROM b WHERE {_effect('showcase')} UNION ALL SELECT pos, 'white_border' FROM b WHERE border_color = 'white'""")
 def crop_pools(spark, sf):
     return S.crop_pools(faces(spark, sf)).select("pos", "pool")
 
@@ -152,27 +202,32 @@ def names_in_pool(spark, sf):
     return S.names_in_pool(faces(spark, sf), 5).select("pos")
 
 
-@query("sample_set_diverse", "SELECT 'part' AS pool, least(200, count(*)) AS n, (SELECT count(DISTINCT p_brand) FROM part) AS sets FROM part")
+def _diverse(pools: str, w: str, n: int, key: str) -> str:
+    """The rows of sample_set_diverse of ``pools`` (w, set_code, key), in plain steps."""
+    return f""", sh AS (SELECT {w} AS w, sum(c) AS pool, count(*) AS sets FROM (SELECT {w}, set_code, count(*) AS c FROM {pools} GROUP BY ALL) GROUP BY 1),
+rk AS (SELECT p.*, sh.*, md5({key} || '|0') AS h, row_number() OVER (PARTITION BY p.{w}, p.set_code ORDER BY md5({key} || '|0'), {key}) AS r FROM {pools} p JOIN sh ON sh.w = p.{w}),
+fi AS (SELECT *, pool > {n} AND sets >= 5 AND {n} > 5 AND r <= greatest(1, {n} // (2 * sets)) AS taken FROM rk),
+pk AS (SELECT * FROM fi QUALIFY row_number() OVER (PARTITION BY w ORDER BY taken DESC, CASE WHEN taken THEN md5(set_code || '|1') END, CASE WHEN taken THEN r END, h, {key}) <= {n})"""
+
+
+@query("sample_set_diverse", W + ", one AS (SELECT *, 0 AS g FROM cat)" + _diverse("one", "g", 200, "scryfall_id") + " SELECT pos, set_code FROM pk")
 def sample_set_diverse(spark, sf):
-    """Which rows are taken depends on the hash; how many, and from how many sets, does not."""
-    taken = S.sample_set_diverse(T.catalog(spark, sf), 200, "scryfall_id")
-    return taken.agg(F.lit("part").alias("pool"), F.count("*").alias("n"), F.count_distinct("set_code").alias("sets")).select("pool", "n", "sets")
+    return S.sample_set_diverse(T.catalog(spark, sf), 200, "scryfall_id").select("pos", "set_code")
 
 
-@query("stratified_sample", FACES + ", u AS (SELECT 'border_' || border_color AS category FROM fc UNION ALL SELECT 'full_art' FROM fc WHERE full_art UNION ALL SELECT 'layout_saga' FROM fc WHERE layout = 'saga') SELECT category, least(50, count(*)) AS n FROM u GROUP BY category")
+@query("stratified_sample", CATEGORIES + _diverse("ct", "category", 50, "filename") + " SELECT category, pos FROM pk")
 def stratified_sample(spark, sf):
-    taken = S.stratified_sample(faces(spark, sf), 50).filter("category in ('full_art', 'layout_saga') or category like 'border%'")
-    return taken.groupBy("category").agg(F.count("*").alias("n"))
+    return S.stratified_sample(faces(spark, sf), 50).select("category", "pos")
 
 
-@query("test_manifest_row", FACES + ", m AS (SELECT * FROM fc WHERE full_art) SELECT 'f' || pos AS filename, 'full_art' AS category, set_code, array_to_string(frame_effects, ',') AS frame_effects, '1.0,2.5;3.2,4.0' AS gt_corners FROM m")
+@query("test_manifest_row", CATEGORIES + """ SELECT filename, category, name, set_code, collector_number, frame, border_color, full_art, layout, coalesce(array_to_string(frame_effects, ','), '') AS frame_effects, rarity, face_index,
+  '1.0,2.5;3.2,4.0' AS gt_corners FROM ct""")
 def test_manifest_row(spark, sf):
     point = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
-    rows = S.test_categories(faces(spark, sf)).filter("category = 'full_art'").withColumn("gt_corners", F.array(point(1.0, 2.5), point(3.21, 4.04)))
-    return S.test_manifest(rows).select("filename", "category", "set_code", "frame_effects", "gt_corners")
+    return S.test_manifest(S.test_categories(faces(spark, sf)).withColumn("gt_corners", F.array(point(1.0, 2.5), point(3.21, 4.04))))
 
 
-@query("parity_sample", W + " SELECT least(100, count(*)) AS n FROM cat WHERE filename IS NOT NULL")
+@query("parity_sample", W + " SELECT pos FROM cat WHERE filename IS NOT NULL ORDER BY md5(filename || '|0'), filename LIMIT 100")
 def parity_sample(spark, sf):
     cat = T.catalog(spark, sf)
-    return S.parity_sample(cat, cat.filter("filename is not null"), 100).agg(F.count("*").alias("n"))
+    return S.parity_sample(cat, cat.filter("filename is not null"), 100).select("pos")

@@ -22,12 +22,12 @@ def scan_bulk_cards(spark, sf):
     return rows.select("id", "name", F.coalesce(F.nullif(F.size("card_faces"), F.lit(-1)), F.lit(0)).alias("faces"))
 
 
-@query("scan_latest_bulk", "SELECT count(*) AS n FROM part WHERE p_partkey % 2 = 0")
+@query("scan_latest_bulk", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part WHERE p_partkey % 2 = 0")
 def scan_latest_bulk(spark, sf):
     path = new_path(spark, "dated")
     records(spark, sf).write.json(f"{path}/bulk-20240101")
     records(spark, sf).filter("cast(id as long) % 2 = 0").write.json(f"{path}/bulk-20240202")
-    return bulk.scan_latest_bulk(spark, path).agg(F.count("*").alias("n"))
+    return bulk.scan_latest_bulk(spark, path).select("id", "name")
 
 
 @query("scan_card_metadata", W + " SELECT scryfall_id, name, CASE WHEN pos % 2 = 0 THEN artist END AS artist, CASE WHEN pos % 3 <> 0 THEN mana_value END AS mana_value, CAST(NULL AS VARCHAR) AS released_at FROM cat")
@@ -39,11 +39,11 @@ def scan_card_metadata(spark, sf):
     return bulk.scan_card_metadata(spark, path).select("scryfall_id", "name", "artist", "mana_value", "released_at")
 
 
-@query("write_card_database", W + " SELECT count(*) AS n, count(DISTINCT set_code) AS sets FROM cat")
+@query("write_card_database", W + " SELECT scryfall_id, name, set_code, collector_number FROM cat")
 def write_card_database(spark, sf):
     path = new_path(spark, "database")
     bulk.write_card_database(T.catalog(spark, sf), path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_distinct("set_code").alias("sets"))
+    return spark.read.parquet(path).select("scryfall_id", "name", "set_code", "collector_number")
 
 
 @query("index_snapshot_io", "SELECT vec_id AS pos, len(embedding) AS dim, CAST(label AS VARCHAR) AS name FROM embeddings")
@@ -55,7 +55,7 @@ def index_snapshot_io(spark, sf):
 
 @query("scan_flat_vector_file", "SELECT vec_id AS pos, round(CAST(embedding[1] AS DOUBLE), 4) AS first, round(CAST(embedding[64] AS DOUBLE), 4) AS last FROM embeddings")
 def scan_flat_vector_file(spark, sf):
-    path = new_path(spark, "flat") + ".bin"
+    path = new_path(spark, "flat")
     files.write_flat_vectors(T.index(spark, sf), path, 64)
     part = lambda i: F.round(F.col("embedding")[i].cast("double"), 4)
     return files.scan_flat_vector_file(spark, path).select("pos", part(0).alias("first"), part(63).alias("last"))
@@ -130,14 +130,15 @@ def write_results_csv(spark, sf):
 
 @query("scan_ground_truth_json", W + " SELECT 'p' || pos AS path, name, CASE WHEN pos % 2 = 0 THEN set_code END AS set_code, CASE WHEN pos % 2 = 0 THEN collector_number END AS collector_number FROM cat")
 def scan_ground_truth_json(spark, sf):
-    """One object per set: names, or objects, by path."""
+    """Objects of some hundred paths each: names, or objects, by path."""
     path = new_path(spark, "truth")
     p = F.col("pos")
     text = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
     struct = F.concat(F.lit('{"card_name":'), text("name"), F.lit(',"set_code":'), text("set_code"), F.lit(',"collector_number":'), text("collector_number"), F.lit("}"))
     pair = F.concat(F.lit('"p'), p, F.lit('":'), F.when(p % 2 == 0, struct).otherwise(text("name")))
-    objects = T.catalog(spark, sf).groupBy("set_code").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pair), ","), F.lit("}")).alias("value"))
-    objects.repartition(64, "set_code").select("value", "set_code").write.partitionBy("set_code").text(path)
+    group = F.floor(p / 512).alias("g")
+    objects = T.catalog(spark, sf).groupBy(group).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pair), ","), F.lit("}")).alias("value"))
+    objects.select("value", "g").write.partitionBy("g").text(path)
     return files.scan_ground_truth_json(spark, path + "/*")
 
 

@@ -20,13 +20,12 @@ LIBRARY_SQL = """lib AS (
     CASE WHEN l_linenumber = 1 THEN 'photo ' || l_orderkey END AS photo
   FROM (SELECT DISTINCT ON (l_orderkey, l_partkey, l_suppkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate)),
 held0 AS (SELECT * FROM lib WHERE created_at < TIMESTAMP '1998-01-01'), batch AS (SELECT * FROM lib WHERE created_at >= TIMESTAMP '1998-01-01'),
-fold AS (
-  SELECT *, row_number() OVER (PARTITION BY scryfall_id, foil ORDER BY created_at, ord) AS rn, sum(count) OVER w AS total, max(created_at) OVER w AS newest,
-    max_by(photo, CASE WHEN photo IS NOT NULL THEN printf('%s|%020d', created_at, ord) END) OVER w AS other
-  FROM held0 WHERE scryfall_id IS NOT NULL WINDOW w AS (PARTITION BY scryfall_id, foil)),
+aged AS (SELECT *, CAST(epoch_us(created_at) AS HUGEINT) * 1000000000000000000 + ord AS age FROM held0 WHERE scryfall_id IS NOT NULL),
 held AS (
-  SELECT card_id, scryfall_id, name, set_code, collector_number, foil, CAST(total AS BIGINT) AS count, newest AS created_at, updated_at, ord, coalesce(photo, other) AS photo FROM fold WHERE rn = 1
-  UNION ALL SELECT * FROM held0 WHERE scryfall_id IS NULL)"""
+  SELECT arg_min(card_id, age) AS card_id, scryfall_id, arg_min(name, age) AS name, arg_min(set_code, age) AS set_code, arg_min(collector_number, age) AS collector_number, foil, CAST(sum(count) AS BIGINT) AS count,
+    max(created_at) AS created_at, arg_min(updated_at, age) AS updated_at, arg_min(ord, age) AS ord,
+    coalesce(nullif(arg_min(coalesce(photo, ''), age), ''), arg_max(photo, age) FILTER (photo IS NOT NULL)) AS photo FROM aged GROUP BY scryfall_id, foil
+  UNION ALL SELECT card_id, scryfall_id, name, set_code, collector_number, foil, count, created_at, updated_at, ord, photo FROM held0 WHERE scryfall_id IS NULL)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,18 +75,22 @@ scored AS (SELECT mode, query_id, gt_name, gt_pos, vec_id AS pos, CAST(label AS
 hits AS (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY score DESC, pos) AS rank FROM scored QUALIFY rank <= 20)"""
 
 
+CUT = {"half": 32, "tail": 60}
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding", F.col("label").cast("string").alias("name"))
 
 
 def queries(spark: SparkSession, sf_dir: str, mode: str = "base") -> DataFrame:
-    """Every vector whose id is divisible by 50; mode half: without its first half, of norm one again."""
+    """Every vector whose id is divisible by 50; mode half: without its first half, of norm one again; mode tail: without
+    all but its last four numbers."""
     from cardloom.functions.vectors import norm
 
     rows = index(spark, sf_dir).filter("pos % 50 = 0").select(F.col("pos").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("name").alias("gt_name"), F.col("pos").alias("gt_pos"))
     if mode == "base":
         return rows
-    cut = rows.withColumn("embedding", F.transform("embedding", lambda x, i: F.when(i < 32, F.lit(0.0)).otherwise(x)))
+    cut = rows.withColumn("embedding", F.transform("embedding", lambda x, i: F.when(i < CUT[mode], F.lit(0.0)).otherwise(x)))
     return cut.withColumn("_n", norm("embedding")).withColumn("embedding", F.transform("embedding", lambda x: x / F.col("_n"))).drop("_n")
 
 
@@ -99,15 +102,15 @@ def hits(spark: SparkSession, sf_dir: str, mode: str = "base", k: int = 20) -> D
     return with_metadata(found, index(spark, sf_dir).select("pos", "name"))
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation rows of both modes, with stand-ins for what describes a card."""
+def results(spark: SparkSession, sf_dir: str, other: str = "half") -> DataFrame:
+    """Evaluation rows of the base mode and another, with stand-ins for what describes a card."""
     from cardloom.operators.evaluate import layer1
 
     def of(mode: str) -> DataFrame:
         return layer1(queries(spark, sf_dir, mode).drop("embedding"), hits(spark, sf_dir, mode)).withColumn("mode", F.lit(mode))
 
     q = F.col("query_id")
-    return of("base").unionByName(of("half")).select(
+    return of("base").unionByName(of(other)).select(
         "*", F.lit(True).alias("detected"), F.concat(F.lit("frame "), q % 3).alias("frame"), F.when(q % 4 != 0, F.concat(F.lit("border "), q % 4)).alias("border_color"),
         F.lit("normal").alias("layout"), F.concat(F.lit("rarity "), F.col("gt_name")).alias("rarity"), F.lit("").alias("category"), (q / 50 % 2).cast("int").alias("face_index"),
     )
@@ -123,3 +126,4 @@ res AS (
     true AS detected, 'frame ' || (h.query_id % 3) AS frame, CASE WHEN h.query_id % 4 <> 0 THEN 'border ' || (h.query_id % 4) END AS border_color, 'normal' AS layout,
     'rarity ' || any_value(h.gt_name) AS rarity, '' AS category, CAST((h.query_id // 50) % 2 AS INTEGER) AS face_index
   FROM hits h JOIN top USING (mode, query_id) GROUP BY h.mode, h.query_id)"""
+TAIL_SQL = RESULTS_SQL.replace("i <= 32", "i <= 60").replace("'half'", "'tail'")

@@ -68,10 +68,9 @@ def placeholder_key(spark, sf):
     return T.catalog(spark, sf).select("pos", X.placeholder_key(F.upper("name"), F.col("set_code"), F.col("lang"), F.lit(True)).alias("key"))
 
 
-@query("normalize_name", "SELECT doc_id, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9 ]', '', 'g'), ' ') AS name FROM documents")
+@query("normalize_name", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' ') AS name FROM documents")
 def normalize_name(spark, sf):
-    """Of titles: a text's first sixty characters."""
-    return T.table(spark, sf, "documents").select("doc_id", X.normalize_name(F.left("text", F.lit(60))).alias("name"))
+    return T.table(spark, sf, "documents").select("doc_id", X.normalize_name(F.col("text")).alias("name"))
 
 
 @query("sanitize", "SELECT page_id, left(regexp_replace(regexp_replace(url, '[^a-zA-Z0-9_\\s-]', '', 'g'), '\\s+', '_', 'g'), 30) AS name FROM pages")
@@ -97,7 +96,11 @@ def capitalize(spark, sf):
     return T.catalog(spark, sf).select("pos", X.capitalize(F.col("name")).alias("name"))
 
 
-@query("fuzzy_ratio", W + " SELECT pos, 1.0 AS same, true AS some FROM cat")
+@query("fuzzy_ratio", W + """ SELECT pos, round(2.0 * length(name) / (2 * length(name) + 2), 4) AS longer, round(2.0 * (length(name) // 2) / (length(name) + length(name) // 2), 4) AS half,
+  round(2.0 * length(name) / (3 * length(name) + 1), 4) AS twice, CAST(0 AS DOUBLE) AS other FROM cat""")
 def fuzzy_ratio(spark, sf):
+    """Pairs whose ratio is known: the name with more after it, its first half, it twice with something between, and none of
+    its letters. Tests compare other pairs with a plain version."""
     name = F.col("name")
-    return T.catalog(spark, sf).select("pos", X.fuzzy_ratio(name, name).alias("same"), (X.fuzzy_ratio(name, F.reverse(name)) < 1.5).alias("some"))
+    pairs = {"longer": F.concat(name, F.lit("##")), "half": F.substr(name, F.lit(1), F.floor(F.length(name) / 2).cast("int")), "twice": F.concat(name, F.lit("#"), name), "other": F.lit("####")}
+    return T.catalog(spark, sf).select("pos", *[F.round(X.fuzzy_ratio(name, other), 4).alias(k) for k, other in pairs.items()])

@@ -126,10 +126,10 @@ def cosine(spark, sf):
     return e.join(other, "pos").select(F.col("pos").alias("a"), F.round(V.cosine("embedding", "other"), 4).alias("c"))
 
 
-@query("l2_normalize", "WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS v FROM embeddings) SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 4)) AS v FROM e")
+@query("l2_normalize", "WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS v FROM embeddings) SELECT vec_id, i - 1 AS place, v[i] / sqrt(list_inner_product(v, v)) AS value FROM e, range(1, 65) t(i)")
 def l2_normalize(spark, sf):
     three = F.transform("embedding", lambda x: x.cast("double") * 3)
-    return T.index(spark, sf).withColumn("v", V.l2_normalize(three)).select(F.col("pos").alias("vec_id"), F.transform("v", lambda x: F.round(x, 4)).alias("v"))
+    return T.index(spark, sf).select(F.col("pos").alias("vec_id"), F.posexplode(V.l2_normalize(three)).alias("place", "value")).withColumn("place", F.col("place").cast("long"))
 
 
 @query("pixel_normalize", "SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x / 127.5 - 1, 4)) AS v FROM embeddings")
@@ -229,10 +229,11 @@ def paired_contingency(spark, sf):
     return E.contingency(T.results(spark, sf), "base", "half")
 
 
-@query("failure_class", R + PAIRS + """SELECT query_id, CASE WHEN NOT o.top1_name THEN 'name_wrong' ELSE 'exact_wrong' END AS failure, b.top1_name AND NOT o.top1_name AS detection_caused,
+@query("failure_class", "WITH " + T.TAIL_SQL + PAIRS.replace("'half'", "'tail'") + """SELECT query_id, CASE WHEN NOT o.top1_name THEN 'name_wrong' ELSE 'exact_wrong' END AS failure, b.top1_name AND NOT o.top1_name AS detection_caused,
   round(b.top1_sim - o.top1_sim, 4) AS sim_drop FROM b JOIN o USING (query_id) WHERE NOT o.top1_name OR NOT o.top1_exact""")
 def failure_class(spark, sf):
-    return E.failure_class(T.results(spark, sf), "base", "half").select("query_id", "failure", "detection_caused", *r4("sim_drop"))
+    """The other mode knows four numbers of a query only, so that many fail."""
+    return E.failure_class(T.results(spark, sf, "tail"), "base", "tail").select("query_id", "failure", "detection_caused", *r4("sim_drop"))
 
 
 @query("results_to_manifest", R + "SELECT m.query_id, m.frame, r.top1_name FROM res m JOIN res r ON m.query_id = r.query_id WHERE m.mode = 'base' AND r.mode = 'half'")
@@ -293,10 +294,10 @@ def backend_agreement(spark, sf):
     return O.backend_agreement(rows).select(*r4("cos_ab", "cos_ac", "cos_bc"))
 
 
-@query("build_index", "SELECT count(*) AS n, min(vec_id) AS lo, max(vec_id) AS hi, min(len(embedding)) AS dim FROM embeddings")
+@query("build_index", "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, len(embedding) AS dim FROM embeddings")
 def build_index(spark, sf):
     built = O.numbered(O.build_index(T.index(spark, sf).drop("name"), 64).withColumnRenamed("pos", "vec_id"), "vec_id")
-    return built.agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min(F.size("embedding")).alias("dim"))
+    return built.select("vec_id", "pos", F.size("embedding").cast("long").alias("dim"))
 
 
 @query("append_positions", "SELECT vec_id, row_number() OVER (ORDER BY vec_id % 2, vec_id) - 1 AS pos FROM embeddings")
@@ -307,10 +308,10 @@ def append_positions(spark, sf):
     return O.append_index(old, new, "vec_id")
 
 
-@query("append_index", "SELECT CASE vec_id % 2 WHEN 0 THEN 'old' ELSE 'new' END AS part, count(*) AS n FROM embeddings GROUP BY vec_id % 2")
+@query("append_index", "SELECT vec_id, CASE vec_id % 2 WHEN 0 THEN 'old' ELSE 'new' END AS part, row_number() OVER (ORDER BY vec_id % 2, vec_id) - 1 AS pos FROM embeddings")
 def append_index(spark, sf):
     rows = T.index(spark, sf).select(F.col("pos").alias("vec_id"), F.when(F.col("pos") % 2 == 0, "old").otherwise("new").alias("part"))
-    return O.append_index(O.numbered(rows.filter("part = 'old'"), "vec_id"), rows.filter("part = 'new'"), "vec_id").groupBy("part").agg(F.count("*").alias("n"))
+    return O.append_index(O.numbered(rows.filter("part = 'old'"), "vec_id"), rows.filter("part = 'new'"), "vec_id").select("vec_id", "part", "pos")
 
 
 def _double():
@@ -327,13 +328,11 @@ def embed_batch(spark, sf):
     return O.embed_batch(rows, _double, "input").select("vec_id", F.round(V.inner_product("embedding", "input"), 4).alias("p"))
 
 
-@query("incremental_index", "SELECT count(*) AS n, max(vec_id) AS last, CAST(sum(vec_id) AS BIGINT) AS total FROM embeddings")
+@query("incremental_index", "SELECT vec_id, row_number() OVER (ORDER BY vec_id % 3 = 0, vec_id) - 1 AS pos, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / CASE WHEN vec_id % 3 = 0 THEN sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) ELSE 1 END, 4) AS p FROM embeddings")
 def incremental_index(spark, sf):
     """What isn't indexed is embedded and appended."""
     rows = T.index(spark, sf).select(F.col("pos").alias("vec_id"), F.col("embedding").alias("input"))
     old = O.numbered(rows.filter("vec_id % 3 <> 0").withColumn("embedding", F.col("input").cast("array<double>")), "vec_id")
     fresh = O.embed_batch(rows.join(old.select("vec_id"), "vec_id", "left_anti"), _double, "input")
     whole = O.append_index(old.drop("input"), fresh.drop("input"), "vec_id")
-    return whole.agg(F.count("*").alias("n"), F.max("vec_id").alias("last"), F.sum("vec_id").alias("total"))
-
-
+    return whole.join(rows, "vec_id").select("vec_id", "pos", F.round(V.inner_product("embedding", "input"), 4).alias("p"))

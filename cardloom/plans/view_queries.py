@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from cardloom.operators import catalog as C
 from cardloom.operators import search as S
 from cardloom.operators import views as V
+from cardloom.operators.vectors import places
 from cardloom.plans import tables as T
 from cardloom.plans.registry import query
+from cardloom.sources.shared import kept
 
 CARDS = "WITH " + T.LIBRARY_SQL + ", " + T.CATALOG_SQL + """, cards AS (SELECT h.*, c.artist, c.type_line, c.rarity, c.set_name, c.colors, c.mana_value, c.released_at, h.photo IS NOT NULL AS has_photo
   FROM held h LEFT JOIN cat c ON c.scryfall_id = h.scryfall_id)"""
@@ -63,10 +65,9 @@ def match_query(spark, sf):
     return cards(spark, sf).filter(V.match_query(" 12 ")).select("card_id")
 
 
-@query("apply_view", CARDS + f", v AS (SELECT * FROM cards WHERE {VIEW_SQL} AND (contains(lower(name), '1') OR starts_with(lower(set_code), '1') OR contains(lower(set_name), '1'))) SELECT card_id, row_number() OVER (ORDER BY created_at DESC, ord DESC) AS place FROM v QUALIFY place <= 50")
+@query("apply_view", CARDS + f", v AS (SELECT * FROM cards WHERE {VIEW_SQL} AND (contains(lower(name), '1') OR starts_with(lower(set_code), '1') OR contains(lower(set_name), '1'))) SELECT card_id, row_number() OVER (ORDER BY created_at DESC, ord DESC) AS place FROM v")
 def apply_view(spark, sf):
-    shown = V.apply_view(cards(spark, sf), V.View(**{**VIEW.__dict__, "query": "1"})).limit(50)
-    return shown.select("card_id", F.row_number().over(Window.orderBy(*V.sort_keys("date"))).alias("place"))
+    return V.apply_view(cards(spark, sf), V.View(**{**VIEW.__dict__, "query": "1"})).select("card_id", "place")
 
 
 @query("visible_total", CARDS + f" SELECT count(*) AS total, count_if({VIEW_SQL}) AS visible FROM cards")
@@ -81,13 +82,13 @@ ORDERS = {
 }
 
 
-@query("sort_view", CARDS + " " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS sort, card_id, row_number() OVER (ORDER BY {v}created_at DESC, ord DESC) AS place FROM cards QUALIFY place <= 20)" for k, v in ORDERS.items()))
+@query("sort_view", CARDS + " " + " UNION ALL ".join(f"SELECT '{k}' AS sort, card_id, row_number() OVER (ORDER BY {v}created_at DESC, ord DESC) AS place FROM cards" for k, v in ORDERS.items()))
 def sort_view(spark, sf):
-    """The first twenty in each of the six orders."""
-    rows, out = cards(spark, sf), None
+    """All cards in each of the six orders."""
+    rows, out = kept(cards(spark, sf), "cards"), None
     for sort in V.SORTS:
-        top = rows.orderBy(*V.sort_keys(sort)).limit(20).select(F.lit(sort).alias("sort"), "card_id", F.row_number().over(Window.orderBy(*V.sort_keys(sort))).alias("place"))
-        out = top if out is None else out.unionByName(top)
+        placed = places(rows, *V.sort_keys(sort)).select(F.lit(sort).alias("sort"), "card_id", "place")
+        out = placed if out is None else out.unionByName(placed)
     return out
 
 
@@ -115,10 +116,12 @@ def alternatives(spark, sf):
 
 # Queries of a search: every part whose number ends in 0 is looked for by the start of its name, and by set and number.
 QUERIES = """, q AS (SELECT pos AS query_id, substr(name, 1, 4) AS q, NULL AS code, NULL AS num FROM cat WHERE pos % 50 = 0 UNION ALL SELECT pos + 1000000, lower(set_code) || ' ' || collector_number, lower(set_code), collector_number FROM cat WHERE pos % 50 = 0)"""
-FOUND = QUERIES + """, n AS (SELECT q.query_id, c.*, CASE WHEN lower(c.collector_number) = q.num THEN -2 ELSE -1 END AS match FROM q JOIN cat c ON lower(c.set_code) = q.code AND starts_with(lower(c.collector_number), q.num)),
+FOUND = QUERIES + """, n AS (SELECT q.query_id, c.*, CASE WHEN coalesce(c.lang, 'en') = 'en' THEN -2 ELSE -1 END AS match FROM q JOIN cat c ON lower(c.set_code) = q.code AND lower(c.collector_number) = q.num
+  QUALIFY row_number() OVER (PARTITION BY q.query_id, c.scryfall_id ORDER BY c.pos) = 1),
 t AS (SELECT q.query_id, c.*, CASE WHEN lower(c.name) = q.q THEN 0 WHEN starts_with(lower(c.name), q.q) THEN 1 WHEN contains(lower(c.name), ' ' || q.q) THEN 2 ELSE 3 END AS match
   FROM (SELECT query_id, lower(trim(q)) AS q FROM q WHERE length(trim(q)) >= 2) q JOIN cat c ON contains(lower(c.name), q.q) WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.query_id = q.query_id AND n.scryfall_id = c.scryfall_id)),
-f AS (SELECT * FROM n UNION ALL SELECT * FROM t), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match, lower(name), 'b' || lpad(substr(set_code, 2), 18, '0'), lpad(collector_number, 18, '0'), pos) AS place FROM f)"""
+f AS (SELECT * FROM n UNION ALL SELECT * FROM t), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match, CASE WHEN match >= 0 THEN lower(name) END, CASE WHEN match >= 0 THEN CAST(substr(set_code, 2) AS INTEGER) END,
+  CASE WHEN match >= 0 THEN CAST(collector_number AS INTEGER) END, pos) AS place FROM f)"""
 
 
 def searches(spark, sf):

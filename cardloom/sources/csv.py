@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.text import format_timestamp, language_code, parse_timestamp
 
+# Headings of collection files and of the manifest.
 REQUIRED = ("name", "edition", "collector number")
 FULL = ("card_id", "scryfall_id", "name", "set_code", "collector_number", "foil", "count", "created_at", "updated_at", "artist", "rarity", "type_line", "has_photo")
 #: The collection layout: heading, and what stands there.

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,9 @@ def scan_ground_truth_json(spark: SparkSession, path: str) -> DataFrame:
 class Rows(InputPartition):
     first: int
     count: int
+    path: str
+    skip: int
+    dim: int
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -63,25 +67,43 @@ def flat_header(raw: bytes, size: int) -> tuple[int, int]:
     return dim, total
 
 
+def _flat_parts(path: str) -> list[tuple[str, int]]:
+    """The files of a flat index in order, with their sizes: one file, or a folder of parts named by their first row."""
+    files, name = _open(path)
+    if files.get_file_info(name).type != fs.FileType.Directory:
+        return [(path, files.get_file_info(name).size)]
+    found = [f for f in files.get_file_info(fs.FileSelector(name)) if f.base_name.endswith(".flat")]
+    return [(f"{path.rstrip('/')}/{f.base_name}", f.size) for f in sorted(found, key=lambda f: f.base_name)]
+
+
 class _FlatReader(DataSourceReader):
     def __init__(self, path: str):
-        files, name = _open(path)
-        self.path = path
-        with files.open_input_file(name) as file:
-            self.dim, self.total = flat_header(file.read(HEADER.size), file.size())
+        self.parts: list[Rows] = []
+        first, dims = 0, set()
+        for part, size in _flat_parts(path):
+            files, name = _open(part)
+            with files.open_input_file(name) as file:
+                dim, total = flat_header(file.read(HEADER.size), size)
+            dims.add(dim)
+            step = max(1, PART_BYTES // (4 * dim))
+            self.parts += [Rows(first + a, min(step, total - a), part, a, dim) for a in range(0, total, step)]
+            first += total
+        if len(dims) > 1:
+            raise ValueError(f"parts of {sorted(dims)} dimensions")
 
     def partitions(self) -> list[Rows]:
-        step = max(1, PART_BYTES // (4 * self.dim))
-        return [Rows(a, min(step, self.total - a)) for a in range(0, self.total, step)] or [Rows(0, 0)]
+        return self.parts or [Rows(0, 0, "", 0, 1)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        files, name = _open(self.path)
+        if not partition.count:
+            return
+        files, name = _open(partition.path)
         with files.open_input_file(name) as file:
-            file.seek(HEADER.size + 4 * self.dim * partition.first)
+            file.seek(HEADER.size + 4 * partition.dim * partition.skip)
             for at in range(partition.first, partition.first + partition.count, 4096):
                 n = min(4096, partition.first + partition.count - at)
-                values = np.frombuffer(file.read(4 * self.dim * n), "<f4")
-                offsets = np.arange(0, len(values) + 1, self.dim, dtype=np.int32)
+                values = np.frombuffer(file.read(4 * partition.dim * n), "<f4")
+                offsets = np.arange(0, len(values) + 1, partition.dim, dtype=np.int32)
                 vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), vectors], ["pos", "embedding"])
 
@@ -105,12 +127,57 @@ def scan_flat_vector_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("flat_vectors").load(path)
 
 
+def _header(dim: int, total: int) -> bytes:
+    return HEADER.pack(CODE, dim, total, 0, 0, 1, INNER_PRODUCT, dim * total)
+
+
 def write_flat_vectors(index: DataFrame, path: str, dim: int) -> None:
-    """The same layout. Vectors are written in order of pos, streamed through the driver partition by partition, as it is one
-    file; for large indexes use snapshots."""
-    total = index.count()
+    """The same layout, as a folder of parts: each task writes a range of pos, with a header of its own. A part's name is its
+    task's number, so a task that runs again writes the same file, which is there only once it is whole."""
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     files, name = _open(path)
-    with files.open_output_stream(name) as out:
-        out.write(HEADER.pack(CODE, dim, total, 0, 0, 1, INNER_PRODUCT, dim * total))
-        for row in index.orderBy("pos").select("embedding").toLocalIterator():
-            out.write(np.asarray(row[0], "<f4").tobytes())
+    files.create_dir(name, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        files, name = _open(path)
+        task = TaskContext.get()
+        place, body, total = f"{name}/{task.partitionId():08d}", f"{name}/.{task.partitionId():08d}-{task.taskAttemptId()}", 0
+        with files.open_output_stream(body) as out:
+            for batch in batches:
+                column = batch.column(0)
+                if column.null_count or pc.any(pc.not_equal(pc.list_value_length(column), dim)).as_py():
+                    raise ValueError(f"a vector hasn't {dim} dimensions")
+                out.write(column.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+                total += len(column)
+        with files.open_input_stream(body) as rows, files.open_output_stream(body + "+") as out:
+            out.write(_header(dim, total))
+            while block := rows.read(8 << 20):
+                out.write(block)
+        files.delete_file(body)
+        files.move(body + "+", place + ".flat")
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
+
+    spread = index.repartitionByRange(n, "pos").sortWithinPartitions("pos").select(F.col("embedding").cast("array<float>"))
+    spread.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def join_flat_vectors(parts: str, path: str) -> None:
+    """Parts as the one file that other readers of the layout know, for an index that one machine can hold: copied block by
+    block, never whole in memory."""
+    found = _flat_parts(parts)
+    headers, (target, name) = [], _open(path)
+    for part, size in found:
+        files, own = _open(part)
+        with files.open_input_file(own) as file:
+            headers.append(flat_header(file.read(HEADER.size), size))
+    dim = next((d for d, n in headers if n), 1)
+    with target.open_output_stream(name) as out:
+        out.write(_header(dim, sum(n for _, n in headers)))
+        for part, _ in found:
+            files, own = _open(part)
+            with files.open_input_file(own) as file:
+                file.seek(HEADER.size)
+                while block := file.read(8 << 20):
+                    out.write(block)

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """Under ``spark.checkpoint.dir``; where that is unset, under a folder of this session's own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("cardloom.shared.dir", None)
+    """Under ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named. A folder of this session's own serves only where
+    all tasks run on this machine; elsewhere executors would not see each other's files."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("cardloom.shared.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cardloom-")
         spark.conf.set("cardloom.shared.dir", base)
     return f"{base.rstrip('/')}/cardloom-{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: what is used twice is computed once, and is the same twice."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

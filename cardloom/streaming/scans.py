@@ -11,19 +11,20 @@ from pyspark.sql.streaming import StreamingQuery
 from cardloom.operators.vectors import identify, topk
 
 
-def fold_scans(scans: DataFrame) -> DataFrame:
+def fold_scans(scans: DataFrame, late: str | None = None) -> DataFrame:
     """scans (card_id, scryfall_id, foil, count, created_at, ord), batch or stream, to one row per (scryfall_id, foil): the
     summed count, the newest date, and the first arrived row's id. A repeated card_id counts once. Sum, maximum and the
-    least ord don't depend on the order of arrival, so a stream ends at what a batch gives."""
-    once = scans.dropDuplicates(["card_id"])
+    least ord don't depend on the order of arrival, so a stream ends at what a batch gives.
+
+    A stream remembers every id, unless ``late`` says how long after a scan its repetition can come: ids are then forgotten
+    once the newest created_at is that much later. The folded rows themselves are the collection, and all stay."""
+    once = scans.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["card_id"]) if late else scans.dropDuplicates(["card_id"])
     return once.groupBy("scryfall_id", "foil").agg(F.sum("count").alias("count"), F.max("created_at").alias("created_at"), F.min_by("card_id", "ord").alias("card_id"))
 
 
 def stream_scans(scans: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, late: str | None = None) -> StreamingQuery:
-    """Runs ``fold_scans`` on what is there, giving ``write`` each batch of changed rows. ``late`` bounds how long ids are
-    remembered, if scans carry created_at."""
-    rows = scans.withWatermark("created_at", late) if late else scans
-    return fold_scans(rows).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    """Runs ``fold_scans`` on what is there, giving ``write`` each batch of changed rows."""
+    return fold_scans(scans, late).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
 def stream_identify(queries: DataFrame, index: DataFrame, k: int, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import struct
 from datetime import datetime
 
@@ -47,6 +48,8 @@ def test_topk_takes_queries_in_blocks(spark, monkeypatch):
     q = index.select(F.col("pos").alias("query_id"), "embedding")
     whole = sorted(tuple(x) for x in vectors.topk(q, index, 3, leave_out=True).collect())
     monkeypatch.setattr(vectors, "QUERY_BYTES", 64 * 70)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 64 * 30)
+    monkeypatch.setattr(vectors, "CELLS", 500)
     assert sorted(tuple(x) for x in vectors.topk(q, index, 3, leave_out=True).collect()) == whole
     assert all(x[0] != x[2] for x in whole) and len(whole) == 600
 
@@ -109,10 +112,70 @@ def test_insert_update_delete_merge(spark):
     assert library.delete_cards(held, ids).count() == 2 and {(r.card_id, r.existed) for r in library.deleted(held, ids).collect()} == {("a", True), ("zz", False)}
 
 
+def test_insert_is_one_by_one(spark):
+    held = lib(spark, card("a", "x"))
+    rows = [("b", "y"), ("c", "y"), ("b", "z"), ("c", "w"), ("d", "w"), ("e", None), ("f", None), ("d", "v")]
+    cards = lib(spark, *[card(i, k, ord=n) for n, (i, k) in enumerate(rows)])
+    order = {(r.card_id, r.scryfall_id): r.ord for r in cards.collect()}
+    taken, want = {("a",), ("x", False)}, {("a", "x")}
+    for i, k in sorted(rows, key=lambda r: order[r]):
+        keys = {(i,)} | ({(k, False)} if k else set())
+        if not keys & taken:
+            taken |= keys
+            want.add((i, k))
+    out = library.insert_cards(held, cards)
+    assert {(r.card_id, r.scryfall_id) for r in out.collect()} == want and library.check_printing_rule(out).count() == 0
+    assert library.insert_conflicts(held, cards).count() == len(rows) + 1 - len(want)
+
+
+def test_categories(spark):
+    schema = "filename string, name string, set_code string, collector_number string, frame string, border_color string, full_art boolean, layout string, frame_effects array<string>, rarity string, face_index int"
+    rows = [
+        ("plain", "2015", "black", False, "normal", [], "rare", 0), ("legend", "2015", "black", False, "normal", ["legendary"], "common", 0), ("show", "2015", "borderless", False, "normal", ["showcase"], "bonus", 0),
+        ("gold", "1997", "gold", False, "normal", None, "rare", 0), ("full", "2015", "black", True, "normal", [], "mythic", 0), ("back", "2003", "white", False, "transform", [], "rare", 1), ("nyx", "future", "silver", True, "prepare", ["enchantment"], "rare", 2),
+    ]
+    faces = spark.createDataFrame([(n, n, "s", "1", f, b, a, y, e, r, i) for n, f, b, a, y, e, r, i in rows], schema)
+    of: dict[str, set] = {}
+    for r in sampling.test_categories(faces).collect():
+        of.setdefault(r.name, set()).add(r.category)
+    assert of == {
+        "plain": {"2015_black", "rarity_rare"}, "legend": {"2015_black", "effect_legendary", "rarity_common"}, "show": {"treatment_showcase"}, "gold": {"border_gold"},
+        "full": {"treatment_fullart_black", "rarity_mythic"}, "back": {"layout_transform", "back_face"}, "nyx": {"effect_nyxtouched", "layout_prepare"},
+    }
+    pools = {(r.name, r.pool) for r in sampling.crop_pools(faces).collect()}
+    assert pools == {("plain", "2015_black"), ("legend", "2015_black"), ("show", "showcase"), ("back", "white_border")}
+
+
+def test_fuzzy_ratio_is_a_plain_ratio(spark):
+    from difflib import SequenceMatcher
+
+    r = random.Random(4)
+    pairs = [("".join(r.choices("abcd ", k=r.randint(0, 14))), "".join(r.choices("abcd ", k=r.randint(0, 14)))) for _ in range(300)]
+    rows = spark.createDataFrame(pairs + [(None, "a")], "a string, b string").withColumns({"whole": X.fuzzy_ratio("a", "b"), "limited": X.fuzzy_ratio("a", "b", F.lit(0.6))})
+    for row in rows.collect():
+        want = None if row.a is None else SequenceMatcher(None, row.a, row.b).ratio()
+        assert row.whole == want and (row.limited == want or want < 0.6 and row.limited == 0)
+
+
+def test_stream_forgets_ids(spark, tmp_path):
+    """With a bound on lateness the stream's result is the batch's, and repeated ids in time count once."""
+    from cardloom.streaming.scans import stream_scans
+
+    rows = [(f"c{i}", f"k{i % 3}", False, 1, at(2020 + i % 2), i) for i in range(20)]
+    frame = spark.createDataFrame(rows + rows[:5], "card_id string, scryfall_id string, foil boolean, count long, created_at timestamp, ord long")
+    frame.write.parquet(f"{tmp_path}/in")
+    out = f"{tmp_path}/out"
+    stream = stream_scans(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), lambda batch, n: batch.write.mode("append").parquet(out), f"{tmp_path}/check", "3000 days")
+    stream.awaitTermination()
+    got = {r.scryfall_id: r.n for r in spark.read.parquet(out).groupBy("scryfall_id").agg(F.max("count").alias("n")).collect()}
+    assert got == {"k0": 7, "k1": 7, "k2": 6}
+
+
 def test_change_lands_on_another(spark):
     held = lib(spark, card("a", "x", count=3), card("b", "y", count=4, ord=1))
     patch = [("b", at(2030), True, False, False, False, False, True, "x", None, None, None, None, 9)]
-    names = ["card_id string", "now timestamp"] + [f"set_{p} boolean" for p in library.PATCH] + [f"{p} {'boolean' if p == 'foil' else 'long' if p == 'count' else 'string'}" for p in library.PATCH]
+    fields = [p for p in library.PATCH if p != "created_at"]
+    names = ["card_id string", "now timestamp"] + [f"set_{p} boolean" for p in fields] + [f"{p} {'boolean' if p == 'foil' else 'long' if p == 'count' else 'string'}" for p in fields]
     got = library.change_cards(held, spark.createDataFrame(patch, ", ".join(names))).collect()
     assert [(r.card_id, r["count"]) for r in got] == [("a", 12)]
 
@@ -187,13 +250,16 @@ def test_refresh(spark):
 
 
 def test_search(spark):
-    rows = [(1, "Lightning Bolt", "m11", "146"), (2, "Bolt", "neo", "17"), (3, "Firebolt", "neo", "172"), (4, "Bolt Bend", "neo", "1720"), (5, "Elf", "m11", "9"), (6, "Elf", "m11", "10")]
-    cat = spark.createDataFrame([(p, f"s{p}", n, s, c) for p, n, s, c in rows], "pos long, scryfall_id string, name string, set_code string, collector_number string")
-    q = spark.createDataFrame([(0, " BOLT "), (1, "neo 172"), (2, "m11 999"), (3, "b"), (4, "elf")], "query_id long, query string")
+    rows = [
+        (1, "Lightning Bolt", "m11", "146", None), (2, "Bolt", "neo", "17", "en"), (3, "Firebolt", "neo", "172", "ja"), (4, "Bolt Bend", "neo", "1720", "en"), (5, "Elf", "m11", "9", "en"),
+        (6, "Elf", "m11", "10", "en"), (7, "Firebolt", "NEO", "172", "en"), (8, "Bo", "x1", "9" * 30, "en"), (9, "Bo", "x1", "1" + "0" * 30, "en"),
+    ]
+    cat = spark.createDataFrame([(p, f"s{p}", n, s, c, x) for p, n, s, c, x in rows], "pos long, scryfall_id string, name string, set_code string, collector_number string, lang string")
+    q = spark.createDataFrame([(0, " BOLT "), (1, "neo 172"), (2, "m11 999"), (3, "b"), (4, "elf"), (5, "bo"), (6, "zz"), (7, "ng bo")], "query_id long, query string")
     got: dict[int, list[int]] = {}
     for r in search.name_search(q, cat).orderBy("query_id", "place").collect():
         got.setdefault(r.query_id, []).append(r.pos)
-    assert got == {0: [2, 4, 1, 3], 1: [3, 4], 4: [5, 6]}
+    assert got == {0: [2, 4, 1, 3, 7], 1: [7, 3], 4: [5, 6], 5: [8, 9, 2, 4, 1, 3, 7], 7: [1]}
 
 
 def test_views(spark):
@@ -203,7 +269,7 @@ def test_views(spark):
         ("g", "3", "Gold Card", "m11", "7", False, 1, at(2019), 2, None, "Artifact Creature", "mythic", "Magic 2011", "WU", 7.0, None), ("f", "4", "Forest", "zen", "9", False, 1, at(2022), 3, "Z", "Basic Land", "common", "Zendikar", "", 0.0, "2009"), ("u", None, "Unknown", None, None, False, 1, at(2018), 4, None, None, None, None, None, None, None),
     ]
     cards = spark.createDataFrame(rows, schema)
-    ids = lambda **v: [r.card_id for r in views.apply_view(cards, views.View(**v)).collect()]
+    ids = lambda **v: [r.card_id for r in views.apply_view(cards, views.View(**v)).orderBy("place").collect()]
     assert ids() == ["f", "k", "b", "g", "u"] and ids(sort="name") == ["f", "g", "k", "b", "u"] and ids(sort="rarity") == ["g", "k", "f", "b", "u"]
     assert ids(sort="mana") == ["f", "b", "k", "g", "u"] and ids(sort="release")[-2:] == ["g", "u"] and ids(sort="set")[0] == "u"
     assert ids(colors=("C",)) == ["f"] and ids(colors=("M", "R")) == ["b", "g"] and ids(mana=("6+", "0")) == ["f", "g"] and ids(types=("creature",)) == ["k", "g"]
@@ -274,7 +340,9 @@ def test_flat_vectors(spark, tmp_path):
     path = f"file://{tmp_path}/v.bin"
     files.write_flat_vectors(index, path, 2)
     assert sorted(map(tuple, files.scan_flat_vector_file(spark, path).collect())) == sorted(map(tuple, index.collect()))
-    raw = (tmp_path / "v.bin").read_bytes()
+    files.join_flat_vectors(path, path + ".one")
+    assert sorted(map(tuple, files.scan_flat_vector_file(spark, path + ".one").collect())) == sorted(map(tuple, index.collect()))
+    raw = (tmp_path / "v.bin.one").read_bytes()
     assert raw[:4] == b"IxFI" and struct.unpack_from("<i", raw, 4)[0] == 2 and struct.unpack_from("<q", raw, 8)[0] == 10 and struct.unpack_from("<q", raw, 37)[0] == 20
     for broken in (raw[:20], b"IxXX" + raw[4:], raw[:-4], raw[:33] + b"\x01" + raw[34:]):
         with pytest.raises(ValueError):

@@ -6,11 +6,11 @@ import os
 
 import pytest
 
+from cardloom.plans import registry
+
+registry.load()
 DATA = "/root/testdata/sf0.001"
-NAMES = (
-    "topk", "identify", "decide_match", "eval_layer1", "eval_rank_distribution", "fold_duplicates", "upsert_add", "upsert_set", "change_cards", "merge_cards", "import_report", "import_collection",
-    "filter_view", "sort_view", "name_search", "explode_card_faces", "refresh_metadata", "crosstab_margins", "value_counts_pct", "nms", "pairwise_iou", "scan_csv_rfc4180", "scan_flat_vector_file", "stream_scans",
-)
+NAMES = sorted(registry.SQL)
 
 
 def plain(value):
