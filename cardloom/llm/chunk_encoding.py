@@ -14,7 +14,8 @@ falls into the same chunks in both.  Chunks are known by 128-bit fingerprints:
 
 The hot chunk is one row until the last join, whose sides are plain shuffles that adaptive execution can split.  Null
 texts are empty (no ids); an empty table gives no rows; documents that repeat a doc_id, or have none, get their own ids
-each; other columns are not read.
+each; of several owners of a chunk with one doc_id any encodes it, to the same ids; a very long text is one row of many
+chunks, of which the shared ones are encoded elsewhere; other columns are not read.
 """
 
 from __future__ import annotations

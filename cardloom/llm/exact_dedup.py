@@ -10,7 +10,8 @@ has plain shuffles on both sides, which adaptive execution splits.
 
 Null text counts as empty, and empty texts are one group.  Of a group the row with the largest doc_id stays; rows that
 repeat a doc_id within a group all carry that keep_id, and all of them stay.  A null doc_id is smaller than any other; a
-group of nulls alone keeps them.  An empty table gives no rows; other columns are not read.
+group of nulls alone keeps them.  A very long text is hashed where it is read, if another has its length and prefix, and is
+never shuffled.  An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Used through Spark's data source API::
     read_token_records(spark, path)              # files -> doc_id, start, n_tokens, ids, ids_crc32
 
 Null texts are empty documents (the end id alone); null doc_ids come first; an empty table makes an empty manifest; rows
-that repeat a doc_id stay apart, in any order among themselves; other columns are not read.  Any damaged byte raises ``ValueError``.
+that repeat a doc_id stay apart, in any order among themselves; a very long text is one record, whose length has eight
+bytes and whose ids must fit into a worker; other columns are not read.  Any damaged byte raises ``ValueError``.
 """
 
 from __future__ import annotations

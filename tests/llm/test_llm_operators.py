@@ -548,3 +548,76 @@ def test_lm_score_end_to_end(spark):
         assert got[d].score == pytest.approx(want, rel=1e-9)
     first = {r.doc_id: r.score for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, steps=0).collect()}
     assert first[14] < got[14].score < 0
+
+
+def test_pipeline_edges(spark, empty):
+    """An empty table, null and repeated doc_ids, null texts, ties and columns with the stages' own names."""
+    import corpus_pipeline
+
+    a, b, c = words(80, 1), words(80, 2), words(80, 3)
+    junk = "same few words " * 40
+    near = a.split()
+    near[40] = "changed"
+    rows = [
+        (None, a, "k1"), (None, b, "k2"), (None, junk, "k3"), (None, None, "k4"), (1, junk, "k5"), (1, c, "k6"), (2, c.upper(), "k7"), (2, c.upper(), "k8"), (3, " ".join(near), "k9"), (4, a, "k10"),
+        (5, b + " mail a@b.co", "k11"),
+    ]
+    names = "doc_id long, text string, key string, row string, spans string, _in boolean, bitmap string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(d, t, k, "r", "s", True, "m", "en", None, None if t is None else len(t)) for d, t, k in rows], names)
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = corpus_pipeline.materialize(stage(spark, at, ""), f"edge-{name}")
+        assert at.columns == docs.columns
+        kept = {r.key for r in at.collect()}
+        if name == "quality":
+            assert kept == {"k1", "k2", "k6", "k7", "k8", "k9", "k10", "k11"}
+        elif name == "exact_dedup":
+            assert kept == {"k2", "k7", "k8", "k9", "k10", "k11"}
+        elif name == "near_dedup":
+            assert kept == {"k2", "k7", "k8", "k9", "k11"}
+    assert [r.text.endswith("mail <email>") and r.n_chars == len(r.text) for r in at.filter("key = 'k11'").collect()] == [True]
+    assert corpus_pipeline.STAGES[-1][1](spark, at, "").select("doc_id").distinct().count() == 4
+    none = empty.withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, "")
+        assert out.count() == 0
+
+
+def test_mcd_finds_the_least_determinant(spark):
+    """On small groups, the estimate's subset is as tight as the best of many plain concentration runs."""
+    r = np.random.default_rng(5)
+    v = np.concatenate([r.normal(size=(240, 5)) @ np.diag([0.3, 0.4, 0.2, 0.5, 0.3]), r.normal(3, 0.2, size=(60, 5))])
+    rows = spark.createDataFrame([("g", x.tolist()) for x in v], "key string, v array<double>")
+    fit = quality_rules.robust_fits(rows).first()
+    h = int(quality_rules.SUBSET * len(v))
+
+    def shape(mean: np.ndarray, inverse: np.ndarray) -> float:
+        gap = v - mean
+        near = np.argsort(np.einsum("ij,jk,ik->i", gap, inverse, gap))[:h]
+        return np.linalg.slogdet(np.cov(v[near].T, bias=True))[1]
+
+    best = math.inf
+    for seed in range(30):
+        some = np.random.default_rng(seed).choice(len(v), 12, replace=False)
+        for _ in range(15):
+            mean, inverse = v[some].mean(axis=0), np.linalg.inv(np.cov(v[some].T, bias=True) + 1e-6 * np.eye(5))
+            gap = v - mean
+            some = np.argsort(np.einsum("ij,jk,ik->i", gap, inverse, gap))[:h]
+        best = min(best, np.linalg.slogdet(np.cov(v[some].T, bias=True))[1])
+    mean, inverse = np.array(fit.mean), np.array(fit.inverse).reshape(5, 5)
+    assert shape(mean, inverse) < best + 0.3
+    far = np.einsum("ij,jk,ik->i", v - mean, inverse, v - mean)
+    assert (far[240:] > quality_rules.CUTOFF).all() and (far[:240] > quality_rules.CUTOFF).mean() < 0.05
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes goes through every operator whole."""
+    text = words(200_000, 7)
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, text + " end", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert {r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1}
+    assert {r.n_words for r in quality_rules.judge_quality(docs).collect()} == {200_000, 200_001}
+    assert [r.group_size for r in exact_dedup.exact_groups(docs).collect()] == [1, 1]
+    assert {r.n_tokens for r in lm_scoring.score_documents(docs, PIECES).collect()} == {200_001, 200_002}
+    pieces = packing.pack_documents(docs, BPE, 1024, 2).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    n = {r.doc_id: r.n_tokens for r in chunk_encoding.encode_with_reuse(docs, BPE, chunk_encoding.digests, chunk_encoding.DIGESTS).collect()}
+    assert {r.doc_id: r.n - 1 for r in pieces} == n and all(x > 200_000 for x in n.values())
