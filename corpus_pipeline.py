@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next one's
 docs.  All but the last return the columns of documents.
+
+In every stage rows are told apart by doc_id and text, so a null or repeated doc_id never takes another row along, other
+columns pass through under their names, whatever these are, very long texts are whole, and an empty table gives an empty
+one.  What else each stage does with nulls, ties and repeated rows stands with it.
 """
 
 from __future__ import annotations
@@ -18,27 +22,30 @@ from cardloom.llm.queries import CAPACITY, END_ID, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null and empty texts among them. Rows that repeat have one verdict."""
     return keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; in a tie, where rows repeat, all of them. Null texts are empty,
+    a null doc_id is smaller than any other."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that with the smallest doc_id; rows that repeat stay together. Rows
+    without words, text or doc_id are linked with nothing and stay."""
     return drop_near_duplicates(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kind."""
+    """Personal data are replaced by their kind; of overlapping spans the first. Null texts stay null."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most CAPACITY ids, and the sequences that they lie in."""
+    """Pieces of at most CAPACITY ids, and the sequences that they lie in. Null texts are an end id alone; repeated rows are
+    packed each."""
     return pack_documents(docs, tokenizer_path(), CAPACITY, END_ID)
 
 
