@@ -1,13 +1,15 @@
 """URL verdicts: a list of host and path rules first, then association rules mined from labels, in DataFrame operations.
 
 Every URL becomes a set of tokens: host labels (``h:``), path words (``p:``, numbers as ``p:#``) and query keys (``q:``).
-FP-growth mines the token sets of labelled URLs, with the label as one more token; rules that end in ``=block`` and reach
-``CONFIDENCE`` and ``SUPPORT`` are kept, and of those the ones that contain no other.  They match by an inverted index: a
-rule is filed under the rarest of its tokens, meets the URLs that have it in an equi-join, and fires where all its tokens
-are found.  Only distinct URLs are matched, so a URL that many pages share is one row.
+FP-growth mines the token sets of all pages, with what is known of a page as more tokens: that it is decided, and that it is
+blocked.  A rule blocks what has all its tokens; it is kept where it reaches the ``SUPPORT``, where at least ``CONFIDENCE`` of
+the decided pages with its tokens are blocked, and where those are the ``MAJORITY`` of all pages with its tokens, so that a
+few decided pages don't speak for many of another kind.  Of the rules kept, those that contain another go.  They match by an
+inverted index: a rule is filed under the rarest of its tokens, meets the URLs that have it in an equi-join, and fires where
+all its tokens are found.  Only distinct URLs are matched, so a URL that many pages share is one row.
 
-The labels are the listed rules' own verdicts on the pages that they decide: what those pages' URLs have in common decides
-about the others.  Other labels can be given instead, as a table of url and bad.
+The labels are the listed rules' own verdicts: what the pages have in common that they block decides about those that they
+don't reach.  Other labels can be given instead, as a table of url and bad (null: not known).
 
 Null URLs and URLs without ``://`` have an empty host and path and no tokens, and are allowed; without labelled pages no
 rule is mined; a page with several labels counts each; listed rules of equal length go by the later host, and no URL fits
@@ -25,10 +27,10 @@ from cardloom.llm.common import lower_ascii, materialize
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-CONFIDENCE = 0.8
-#: Share of the labelled pages that a rule covers, and pages at least.
+CONFIDENCE, MAJORITY = 0.8, 0.5
+#: Share of the pages that a rule's blocked ones are, and pages at least.
 SUPPORT, LEAST_PAGES = 0.002, 20
-BLOCK = "=block"
+BLOCK, DECIDED = "=block", "=decided"
 
 
 def host_of(url: Column) -> Column:
@@ -59,30 +61,35 @@ def url_tokens(url: Column) -> Column:
 
 
 def listed_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
-    """(url, bad) of the pages that a listed rule decides."""
+    """(url, bad): whether a listed rule blocks a page; null where none decides."""
     verdict = rule_column(host_of(F.col("url")), path_of(F.col("url")), rules, verdict=True)
-    return pages.select("url", (verdict == "block").alias("bad")).filter(F.col("bad").isNotNull())
+    return pages.select("url", (verdict == "block").alias("bad"))
 
 
 def labelled_urls(labelled: DataFrame) -> DataFrame:
-    """(url, bad) to items: tokens and, where the label says so, ``BLOCK``."""
-    tokens = url_tokens(F.col("url"))
-    return labelled.filter(F.contains(F.col("url"), F.lit("://"))).select(F.when(F.col("bad"), F.array_append(tokens, BLOCK)).otherwise(tokens).alias("items"))
+    """(url, bad) to items: tokens, ``DECIDED`` where bad is known, and ``BLOCK`` where it is true."""
+    known = F.when(F.col("bad"), F.array(F.lit(DECIDED), F.lit(BLOCK))).when(~F.col("bad"), F.array(F.lit(DECIDED))).otherwise(F.array().cast("array<string>"))
+    return labelled.filter(F.contains(F.col("url"), F.lit("://"))).select(F.concat(url_tokens(F.col("url")), known).alias("items"))
 
 
 def mined_rules(labelled: DataFrame) -> DataFrame:
-    """(url, bad) to (lead, tokens): the inverted index of the rules that end in a block."""
+    """(url, bad) to (lead, tokens): the inverted index of the rules that block."""
     items = materialize(labelled_urls(labelled), "items")
     n = items.count()
     if not n:
         return items.select(F.lit("").alias("lead"), F.col("items").alias("tokens")).limit(0)
-    model = FPGrowth(minSupport=min(1.0, max(SUPPORT, LEAST_PAGES / n)), minConfidence=CONFIDENCE).fit(items)
-    rules = model.associationRules.filter((F.col("consequent")[0] == BLOCK) & (F.size("consequent") == 1)).select(F.array_sort("antecedent").alias("tokens"))
-    rules = materialize(rules, "rules")
-    # Filed under the token that fewest labelled URLs have; every token of a rule is a frequent set of its own.
-    often = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    frequent = FPGrowth(minSupport=min(1.0, max(SUPPORT, LEAST_PAGES / n))).fit(items).freqItemsets
+    marks = F.array(F.lit(DECIDED), F.lit(BLOCK))
+    sets = frequent.select(F.array_sort(F.array_except("items", marks)).alias("tokens"), F.array_intersect("items", marks).alias("marks"), "freq").filter(F.size("tokens") > 0)
+    count = lambda m: F.max(F.when(m, F.col("freq")))
+    has = lambda x: F.array_contains("marks", x)
+    # A frequent set's subsets are frequent, so where the blocked pages are counted the others are.
+    counted = sets.groupBy("tokens").agg(count(has(BLOCK)).alias("bad"), count(has(DECIDED) & ~has(BLOCK)).alias("decided"), count(F.size("marks") == 0).alias("pages"))
+    counted = materialize(counted, "counted")
+    rules = counted.filter((F.col("bad") >= CONFIDENCE * F.col("decided")) & (F.col("bad") > MAJORITY * F.col("pages"))).select("tokens")
+    often = counted.filter(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), "pages")
     each = rules.select("tokens", F.explode("tokens").alias("token")).join(often, "token")
-    index = materialize(each.groupBy("tokens").agg(F.min_by("token", F.struct("freq", "token")).alias("lead")).select("lead", "tokens"), "index")
+    index = materialize(each.groupBy("tokens").agg(F.min_by("token", F.struct("pages", "token")).alias("lead")).select("lead", "tokens"), "index")
     larger = index.select(F.col("tokens").alias("whole"), F.explode("tokens").alias("lead")).join(index, "lead")
     larger = larger.filter((F.size("tokens") < F.size("whole")) & _all_in("tokens", "whole")).select(F.col("whole").alias("tokens")).distinct()
     return materialize(index.join(larger, "tokens", "left_anti").select("lead", "tokens"), "index")
