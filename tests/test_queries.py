@@ -15,7 +15,7 @@ NAMES = sorted(registry.SQL)
 
 def plain(value):
     if isinstance(value, float):
-        return round(value, 6)
+        return "nan" if value != value else round(value, 6) + 0.0  # one zero
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     return int(value) if isinstance(value, bool) else value
