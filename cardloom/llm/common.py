@@ -62,10 +62,10 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
         delete(spark, path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, and survives lost executors."""
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder (or to ``path``) and reads it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PLACES[out] = path

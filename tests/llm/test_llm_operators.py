@@ -621,3 +621,17 @@ def test_very_long_texts(spark):
     pieces = packing.pack_documents(docs, BPE, 1024, 2).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     n = {r.doc_id: r.n_tokens for r in chunk_encoding.encode_with_reuse(docs, BPE, chunk_encoding.digests, chunk_encoding.DIGESTS).collect()}
     assert {r.doc_id: r.n - 1 for r in pieces} == n and all(x > 200_000 for x in n.values())
+
+
+def test_pipeline_runs_whole(spark, tok):
+    """run() gives what its stages give one after another, and leaves only the last stage's own tables."""
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = corpus_pipeline.materialize(stage(spark, rows, sf_dir), f"whole-{name}")
+    kept = {r.doc_id: r.text for r in rows.collect()}
+    assert kept and len({r.doc_id for r in packed}) == len(kept)
+    check_packed(packed, {d: [*ids_of(tok, t), 2] for d, t in kept.items()}, corpus_pipeline.CAPACITY)
