@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardloom.llm.common import discard, materialize, scratch
+from cardloom.llm.common import discard, materialize, scratch, scratch_path
 from cardloom.llm.exact_dedup import drop_exact_copies
 from cardloom.llm.near_dedup import drop_near_duplicates
 from cardloom.llm.packing import pack_documents
@@ -58,7 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"stage-{name}")  # outside what is cleared
         with scratch(spark, name):  # what a stage writes on its way goes once its output is written
-            docs, before = materialize(stage(spark, docs, sf_dir), f"stage-{name}"), docs
+            docs, before = materialize(stage(spark, docs, sf_dir), name, path), docs
         discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
