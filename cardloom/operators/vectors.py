@@ -54,17 +54,20 @@ class Best:
 
     def _tile(self, some: slice, pos: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
         scores = np.round(self.queries[some] @ vectors.T, DIGITS)
-        if self.k < len(pos):
+        if self.k < len(pos) and not np.isfinite(self.least[some]).all():
             kth = np.partition(scores, len(pos) - self.k, axis=1)[:, len(pos) - self.k]
             self.least[some] = np.maximum(self.least[some], kth)
         row, column = np.nonzero(scores >= self.least[some, None])
         found, score = pos[column], scores[row, column]
-        if self.k < len(pos):
+        many = np.bincount(row, minlength=scores.shape[0])
+        if many.max(initial=0) > self.k:
             order = np.lexsort((found, -score, row))
-            starts = np.searchsorted(row, np.arange(scores.shape[0]))
-            place = np.arange(len(row)) - starts[row[order]]
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             order = order[place < self.k]
             row, found, score = row[order], found[order], score[order]
+            many = np.minimum(many, self.k)
+            whole = np.flatnonzero(many == self.k)
+            self.least[some.start + whole] = np.maximum(self.least[some.start + whole], score[(np.cumsum(many) - 1)[whole]])
         ids = self.ids[some][row]
         if self.leave_out:
             other = ids != found
