@@ -19,11 +19,10 @@ give no rows; other columns are not read.
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.common import documents
+from cardloom.llm.words import mix
 
 SAMPLE_DOCS = 20_000
 SAMPLE_BYTES = 64 << 20
@@ -43,15 +43,17 @@ FOLDS = 5
 ALPHA = 0.5
 #: Numbers of evidence that a worker keeps for words it met, before it begins anew.
 CACHE_CELLS = 1_000_000
+#: Words that are taken at once.
+PART = 4096
 PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-@lru_cache(maxsize=1)
-def word_pattern() -> re.Pattern[str]:
-    """Runs of letters. Alphanumeric characters that are neither letters nor decimal digits (fractions, superscripts, Roman
-    numerals) are left out by name."""
-    others = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
-    return re.compile(rf"[^\W\d_{''.join(others)}]+")
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def letters(run: str) -> list[str]:
+    """The words of a run of letters and of such numerals (fractions, superscripts, Roman ones) as are no decimal digits."""
+    return [run] if run.isalpha() else ["".join(g) for alpha, g in groupby(run, str.isalpha) if alpha]
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -63,34 +65,60 @@ def grams(word: str, order: int) -> list[str]:
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
 
 
-def gram_key(kind: int, gram: str) -> int:
-    """A signed 64-bit hash. Kind 0 is words, others are an order of n-grams."""
-    key = xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass"), kind)
-    return key - (1 << 64) if key >> 63 else key
+_RNG = np.random.Generator(np.random.PCG64(41))
+_PLACE = _RNG.integers(0, 1 << 64, max(ORDERS), np.uint64) | np.uint64(1)
+_KIND = _RNG.integers(0, 1 << 64, KINDS, np.uint64)
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    """A signed 64-bit hash of each."""
+    return np.array([xxhash.xxh64_intdigest(w.encode(), 0) for w in words], np.uint64).view(np.int64)
+
+
+class Grams:
+    """The character n-grams of words between boundary marks, all at once."""
+
+    def __init__(self, words: list[str]):
+        self.of = np.repeat(np.arange(len(words)), np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
+        points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32)
+        self.value = mix(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+    def keys(self, order: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each n-gram, and the word that it is of; of all words, or of those whose flag is set."""
+        n = len(self.of) - order + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        start = np.flatnonzero(self.of[:n] == self.of[order - 1 :]) if wanted is None else np.flatnonzero((self.of[:n] == self.of[order - 1 :]) & wanted[self.of[:n]])
+        total = np.full(len(start), _KIND[order])
+        for j in range(order):
+            total += self.value[start + j] * _PLACE[j]
+        return mix(total).view(np.int64), self.of[start]
 
 
 _COUNTS = "lang string, kind int, key long, n long"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: Counter[tuple[str, str]] = Counter()
+    runs: dict[str, Counter[str]] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words.update((lang, w) for w in word_pattern().findall(text.as_py().lower()))
-    out: Counter[tuple[str, int, int]] = Counter()
-    for (lang, word), n in words.items():
-        out[lang, 0, gram_key(0, word)] += n
-        for order in ORDERS:
-            for g in grams(word, order):
-                out[lang, order, gram_key(order, g)] += n
-    for at in range(0, len(out), 50_000) if out else ():
-        part = list(out.items())[at : at + 50_000]
-        columns = [pa.array([k[i] for k, _ in part], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in part], pa.int64())], ["lang", "kind", "key", "n"])
+            runs.setdefault(lang, Counter()).update(_RUN.findall(text.as_py().lower()))
+    for lang, counter in runs.items():
+        pairs = [(word, n) for run, n in counter.items() for word in letters(run)]
+        for at in range(0, len(pairs), PART):
+            words, n = [w for w, _ in pairs[at : at + PART]], np.array([n for _, n in pairs[at : at + PART]], np.int64)
+            grams = Grams(words)
+            for kind in (0, *ORDERS):
+                keys, of = (word_keys(words), np.arange(len(words))) if kind == 0 else grams.keys(kind)
+                found, where = np.unique(keys, return_inverse=True)
+                each = np.bincount(where, weights=n[of], minlength=len(found)).astype(np.int64)
+                m = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(np.full(m, kind, np.int32)), pa.array(found), pa.array(each)], ["lang", "kind", "key", "n"])
 
 
 class Model:
-    """Log frequencies per language of words and n-grams: sorted keys, and for each the languages that have it."""
+    """Log frequencies per language of words (kind 0) and n-grams (their order): sorted keys, and for each the languages
+    that have it."""
 
     def __init__(self, langs: list[str], lang: np.ndarray, kind: np.ndarray, key: np.ndarray, n: np.ndarray):
         """One entry per language (its place in ``langs``), kind and key, and its count."""
@@ -106,54 +134,72 @@ class Model:
         self.lang = lang.astype(np.int16)
         self.value = np.log((n + ALPHA) / (totals[kind, lang] + 1)).astype(np.float32)
 
-    def find(self, kind: int, some: list[str]) -> list[np.ndarray]:
-        """The evidence of those that are known."""
-        keys = np.array([gram_key(kind, g) for g in some], np.int64)
+    def find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and their rows: a log frequency for each language."""
         where = np.searchsorted(self.keys, keys)
-        out = []
-        for k, w in zip(keys, where.tolist(), strict=True):
-            if w < len(self.keys) and self.keys[w] == k:
-                row = self.absent[kind].copy()
-                a, b = self.at[w], self.at[w + 1]
-                row[self.lang[a:b]] = self.value[a:b]
-                out.append(row)
-        return out
-
-    def evidence(self, word: str) -> np.ndarray:
-        known = self.find(0, [word])
-        if known:
-            return known[0]
+        known = np.flatnonzero(self.keys[np.minimum(where, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(0, np.int64)
+        first = self.at[where[known]]
+        many = self.at[where[known] + 1] - first
+        rows = np.tile(self.absent[kind], (len(known), 1))
+        entry = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        rows[np.repeat(np.arange(len(known)), many), self.lang[entry]] = self.value[entry]
+        return known, rows
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Of each word, a number for each language."""
+        out = np.zeros((len(words), len(self.langs)))
+        known, rows = self.find(0, word_keys(words))
+        out[known] = rows
+        left = np.ones(len(words), bool)
+        left[known] = False
+        grams = Grams(words)
         for order in ORDERS:
-            found = self.find(order, grams(word, order))
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+            if not left.any():
+                break
+            keys, of = grams.keys(order, left)
+            known, rows = self.find(order, keys)
+            if len(known):
+                some, first, many = np.unique(of[known], return_index=True, return_counts=True)
+                out[some] = np.add.reduceat(rows, first, axis=0) / many[:, None]
+                left[some] = False
+        return out
 
 
 class Predictor:
     def __init__(self, model: Model):
         self.model = model
         self.most = max(64, CACHE_CELLS // max(1, len(model.langs)))
+        #: Of each run met its words' evidence, and how many words it has.
         self.rows = np.zeros((self.most, len(model.langs)), np.float32)
+        self.words = np.zeros(self.most, np.int64)
         self.known: dict[str, int] = {}
 
-    def _row(self, word: str) -> int:
-        k = self.known[word] = len(self.known)
-        self.rows[k] = self.model.evidence(word)
-        return k
+    def _learn(self, runs: list[str]) -> None:
+        for at in range(0, len(runs), PART):
+            part = runs[at : at + PART]
+            words = [letters(r) for r in part]
+            sizes = np.array([len(w) for w in words])
+            evidence = self.model.evidence([w for ws in words for w in ws])
+            k = len(self.known)
+            self.rows[k : k + len(part)] = 0
+            np.add.at(self.rows, np.repeat(np.arange(k, k + len(part)), sizes), evidence)
+            self.words[k : k + len(part)] = sizes
+            self.known.update(zip(part, range(k, k + len(part)), strict=True))
 
     def predict(self, text: str) -> tuple[str, float]:
         total, n = np.zeros(len(self.model.langs)), 0
         if self.model.langs:
-            words = word_pattern().findall(text.lower())
-            for at in range(0, len(words), self.most // 4):  # a part's rows must stay while they are summed
-                part = words[at : at + self.most // 4]
+            runs = _RUN.findall(text.lower())
+            for at in range(0, len(runs), self.most // 4):  # a part's rows must stay while they are summed
+                part = runs[at : at + self.most // 4]
                 if len(self.known) + len(part) > self.most:
                     self.known.clear()
-                get = self.known.get
-                where = [k if (k := get(w)) is not None else self._row(w) for w in part]
+                new = [r for r in dict.fromkeys(part) if r not in self.known]
+                if new:
+                    self._learn(new)
+                where = [self.known[r] for r in part]
                 total += self.rows[where].sum(axis=0, dtype=np.float64)
-                n += len(part)
+                n += int(self.words[where].sum())
         if not n:
             return "und", 0.0
         scaled = total * min(1.0, EVIDENCE_WORDS / n)
