@@ -21,12 +21,12 @@ _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 
 
-def _random(seed: int, n: int) -> np.ndarray:
+def random_numbers(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, n, np.uint64)
 
 
-_BYTE = _random(11, 256)
-_PLACE = _random(13, SHINGLE) | np.uint64(1)
+_BYTE = random_numbers(11, 256)
+_PLACE = random_numbers(13, SHINGLE) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
