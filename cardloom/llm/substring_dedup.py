@@ -178,7 +178,7 @@ class SuffixAutomaton:
             if word in next_[state]:
                 state = next_[state][word]
                 matched += 1
-            while length[link[state]] >= window:  # the state of the window itself; longer matches aren't wanted
+            while state and length[link[state]] >= window:  # the state of the window itself; longer matches aren't wanted
                 state = link[state]
                 matched = length[state]
             if k >= window - 1:
