@@ -3,19 +3,20 @@
 Texts are cut where a rolling hash over the last 32 bytes has its low bits zero, so a passage that two documents share
 falls into the same chunks in both.  Chunks are known by 128-bit fingerprints:
 
-1. every document's chunk fingerprints are written out and counted; those in two or more documents are shared, and the
-   smallest doc_id that holds one owns it;
-2. the owners' documents encode each shared chunk once, and its ids go to all documents that hold it; a document that
+1. every document's chunk fingerprints are written out and counted, once for each different text, with the number of its
+   rows; those in two or more documents are shared, and the smallest doc_id that holds one owns it;
+2. the owners' documents encode each shared chunk once, and its ids go to all texts that hold it; a document that
    shares nothing is encoded whole, where it is read (a filter of fixed size tells most of them apart without a join);
 3. of the rest, each takes the ids of its shared chunks as they are, encodes its own, and repairs the joins: from the last
    place in a chunk that no token can cross to the first such place in the next, the text is encoded anew.  Both ends
    are places where independent and joint encoding agree exactly; a chunk without such a place is re-encoded whole,
    with its neighbours, until one is reached.
 
-The hot chunk is one row until the last join, whose sides are plain shuffles that adaptive execution can split.  Null
-texts are empty (no ids); an empty table gives no rows; documents that repeat a doc_id, or have none, get their own ids
-each; of several owners of a chunk with one doc_id any encodes it, to the same ids; a very long text is one row of many
-chunks, of which the shared ones are encoded elsewhere; other columns are not read.
+Texts are known by 128 bits of theirs, so rows that repeat, and copies under other doc_ids, are one text with one list of
+known chunks, whatever their number; of an owner's rows that repeat one encodes.  The hot chunk is one row until the last
+join, whose sides are plain shuffles that adaptive execution can split.  Null texts are empty (no ids); an empty table gives
+no rows; a null doc_id is smaller than any other, and documents that repeat a doc_id get their own ids each; a very long
+text is one row of many chunks, of which the shared ones are encoded elsewhere; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from cardloom.llm.encoding import Encoder, encoder
 #: A cut every so many bytes on average (a power of two); none before the least, one at the most.
 CHUNK, LEAST, MOST = 1024, 256, 8192
 WINDOW = 32
+#: What tells texts apart.
+TEXT = ("text_a", "text_b")
 _FIRST_CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
 
@@ -92,12 +95,14 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[int]]]:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, prints = [], []
-        for doc_id, raw, ends in _chunks(batch):
+        rows, prints = [], []
+        for k, (_, raw, ends) in enumerate(_chunks(batch)):
             own = {fingerprint(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)}
             prints += own
-            ids += [doc_id] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "print"])
+            rows += [k] * len(own)
+        of = pa.array(rows, pa.int64())
+        columns = [batch.column(batch.schema.get_field_index(n)).take(of) for n in ("doc_id", *TEXT)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(prints, pa.binary())], ["doc_id", *TEXT, "print"])
 
 
 def _last_cut(enc: Encoder, text: str) -> int:
@@ -231,19 +236,24 @@ def _ddl(kinds: pa.Schema) -> str:
 def encode_with_reuse(docs: DataFrame, tokenizer: str, then: Callable = ids_and_text, kinds: pa.Schema = IDS_AND_TEXT) -> DataFrame:
     """doc_id, and what ``then`` makes of the encoder and a document's ids (32-bit little-endian): by default n_tokens,
     ids and decoded text."""
-    texts = documents(docs)
-    held = materialize(texts.mapInArrow(_fingerprints, "doc_id long, print binary"), "prints")
-    # A document counts a chunk once; documents with the same doc_id may each count it, which costs nothing.
-    shared = materialize(held.groupBy("print").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).filter("n > 1").drop("n"), "shared")
+    keys = F.xxhash64(F.coalesce("text", F.lit(""))).alias(TEXT[0]), F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))).alias(TEXT[1])
+    texts = documents(docs, *keys)
+    each = texts.mapInArrow(_fingerprints, "doc_id long, text_a long, text_b long, print binary")
+    first = F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc")
+    held = materialize(each.groupBy(*TEXT, "print").agg(F.count("*").alias("n"), first), "prints")
+    shared = held.groupBy("print").agg(F.sum("n").alias("n"), F.min(F.struct("doc", *TEXT)).alias("owner")).filter("n > 1")
+    shared = materialize(shared.select("print", "owner.*"), "shared")
     # Merge joins throughout: the same plan at every size, with two plain shuffles that can be split where a key is hot.
     holds = held.join(shared.select("print").hint("merge"), "print", "left_semi")
-    texts = with_filter(texts, bit_filter(holds, "doc_id"), "doc_id", flag="sharing")
+    texts = with_filter(texts, bit_filter(holds, *TEXT), *TEXT, flag="sharing")
     alone, sharing = texts.filter("not sharing").drop("sharing"), texts.filter("sharing").drop("sharing")
-    owned = shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("print").alias("prints"))
-    owners = with_filter(sharing, bit_filter(shared, "owner"), "doc_id", flag="owning").filter("owning").drop("owning")
-    once = owners.join(owned.hint("merge"), "doc_id").mapInArrow(_shared_encoder(tokenizer), "print binary, inner_ids binary, first int, last int")
-    once = materialize(once, "chunks")  # twice, at most, where documents share the owner's doc_id
-    known = held.join(once.hint("merge"), "print").groupBy("doc_id").agg(F.collect_list(F.struct("print", "inner_ids", "first", "last")).alias("known"))
+    owned = shared.groupBy("doc", *TEXT).agg(F.collect_list("print").alias("prints"))
+    owners = sharing.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    owners = with_filter(owners, bit_filter(shared, "doc", *TEXT), "doc", *TEXT, flag="owning").filter("owning").select("doc", "text", *TEXT)
+    owners = owners.dropDuplicates(["doc", *TEXT])  # rows that repeat meet before the shuffle
+    once = owners.join(owned.hint("merge"), ["doc", *TEXT]).select("doc", "text", "prints")
+    once = materialize(once.mapInArrow(_shared_encoder(tokenizer), "print binary, inner_ids binary, first int, last int"), "chunks")
+    known = held.join(once.hint("merge"), "print").groupBy(*TEXT).agg(F.collect_list(F.struct("print", "inner_ids", "first", "last")).alias("known"))
     run = _document_encoder(tokenizer, then, kinds)
-    joined = sharing.join(known.hint("merge"), "doc_id", "left").mapInArrow(run, _ddl(kinds))
+    joined = sharing.join(known.hint("merge"), list(TEXT), "left").select("doc_id", "text", "known").mapInArrow(run, _ddl(kinds))
     return alone.mapInArrow(_whole_encoder(tokenizer, then, kinds), _ddl(kinds)).unionByName(joined)
