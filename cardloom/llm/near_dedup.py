@@ -158,7 +158,8 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame
     ids = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
     wanted = materialize(ids.join(reps, "id").select("id", "row"), "wanted")
     some = with_filter(texts, bit_filter(wanted, "row"), "row", flag="_in").filter("_in")
-    some = wanted.join(some, "row").select("id", "text")
+    # Rows that repeat are one text, and meet before the shuffle.
+    some = wanted.join(some.select("row", "text").dropDuplicates(["row"]), "row").select("id", "text")
     size = pairs.groupBy("pivot").agg(F.count("*").alias("n")).select(F.col("pivot").bitwiseOR(F.lit(0)).alias("pivot"), "n")
     salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / RUN)).cast("int")
     salted = materialize(pairs.join(size, "pivot").select("pivot", salt.alias("salt"), "id"), "salted")
