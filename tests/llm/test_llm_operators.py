@@ -358,9 +358,9 @@ def test_url_rules_on_held_out_pages(spark):
     """Rules mined from four fifths of the pages agree with the listed verdicts on the rest."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     part = F.pmod(F.crc32(F.col("page_id").cast("string")), F.lit(5))
-    index = url_filters.mined_rules(url_filters.listed_verdicts(pages.filter(part > 0)))
+    items, index = url_filters.mined_rules(url_filters.listed_verdicts(pages.filter(part > 0)))
     held = url_filters.listed_verdicts(pages.filter(part == 0)).filter("bad is not null").distinct()
-    hit = held.join(url_filters.fired(held.select("url").distinct(), index), "url").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
+    hit = held.join(url_filters.fired(held.select("url").distinct(), items, index), "url").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
     assert hit.n > 50 and hit.bad >= 0.9 * hit.n
 
 
