@@ -122,11 +122,27 @@ def insert_cards(library: DataFrame, cards: DataFrame) -> DataFrame:
 PATCH = ("scryfall_id", "name", "set_code", "collector_number", "foil", "count", "created_at")
 
 
-def update_cards(library: DataFrame, changes: DataFrame) -> DataFrame:
+def fold_patches(changes: DataFrame, *order: str) -> DataFrame:
+    """Several patches of one card, in the given order, to one: per field the last value that was set, null if that was
+    null, and ``now`` of the last that sets anything. Maxima over (order, value) commute, so a card with very many patches
+    is combined before the shuffle; patches of equal order go by their value."""
+    fields = [x for x in PATCH if f"set_{x}" in changes.columns]
+    at = [F.col(c) for c in (order or ("now",))]
+    is_set = {x: F.coalesce(f"set_{x}", F.lit(False)) for x in fields}
+    last = [F.max(F.when(is_set[x], F.struct(*[c.alias(f"o{i}") for i, c in enumerate(at)], F.col(x).alias("value")))).alias(x) for x in fields]
+    any_ = reduce(lambda a, b: a | b, is_set.values(), F.lit(False))
+    now = F.max(F.when(any_, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(at)], F.col("now").alias("value")))).alias("now")
+    folded = changes.groupBy("card_id").agg(*last, now)
+    return folded.select("card_id", F.col("now.value").alias("now"), *[F.col(x).isNotNull().alias(f"set_{x}") for x in fields], *[F.col(f"{x}.value").alias(x) for x in fields])
+
+
+def update_cards(library: DataFrame, changes: DataFrame, *order: str) -> DataFrame:
     """changes: card_id, now, and set_x, x for fields of ``PATCH``. A field changes where its flag is there and set, to null
-    as well; a change without flags does nothing; otherwise updated_at becomes ``now``."""
+    as well; a change without flags does nothing; otherwise updated_at becomes ``now``. Several changes of one card are
+    applied in the order of the columns ``order`` (of ``now``, where none are given); card_id stays unique."""
     fields = [x for x in PATCH if f"set_{x}" in changes.columns]
-    c = changes.select("card_id", "now", *[F.col(f"set_{x}").alias(f"_set_{x}") for x in fields], *[F.col(x).alias(f"_{x}") for x in fields])
+    c = fold_patches(changes, *order)
+    c = c.select("card_id", "now", *[F.col(f"set_{x}").alias(f"_set_{x}") for x in fields], *[F.col(x).alias(f"_{x}") for x in fields])
     rows = library.join(c, "card_id", "left")
     flags = [F.coalesce(f"_set_{x}", F.lit(False)) for x in fields]
     new = {x: F.when(f, F.col(f"_{x}")).otherwise(F.col(x)) for x, f in zip(fields, flags, strict=True)}
@@ -168,9 +184,10 @@ def merge_cards(library: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select(*[new.get(c, F.col(c)).alias(c) for c in FIELDS])
 
 
-def change_cards(library: DataFrame, changes: DataFrame) -> DataFrame:
-    """``update_cards``; where a changed row lands on the (scryfall_id, foil) of an unchanged one, it goes into that row."""
-    updated = update_cards(library, changes)
+def change_cards(library: DataFrame, changes: DataFrame, *order: str) -> DataFrame:
+    """``update_cards``; where a changed row lands on the (scryfall_id, foil) of an unchanged one, it goes into that row. Of
+    several changes of one card, in their order, it is the last state that lands."""
+    updated = update_cards(library, changes, *order)
     touched = changes.select("card_id").distinct().withColumn("_touched", F.lit(1))
     rows = updated.join(touched, "card_id", "left").withColumn("_touched", F.coalesce("_touched", F.lit(0)))
     first = Window.partitionBy(*KEY).orderBy("_touched", "ord")

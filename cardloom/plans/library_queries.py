@@ -98,6 +98,38 @@ def _changes(held):
     return held.select("card_id", later().alias("now"), *[flags.get(k, no).alias(f"set_{k}") for k in L.PATCH], *[values.get(k, text).alias(k) for k in L.PATCH])
 
 
+REPEATED = """, p AS (
+  SELECT card_id, n, CASE WHEN n = 1 THEN false WHEN n = 3 THEN true END AS foil, CASE WHEN n = 2 THEN 7 WHEN n = 4 THEN 9 END AS count, n % 2 = 0 AS set_count, n % 2 = 1 AND n < 5 AS set_foil, n = 5 AND ord % 2 = 0 AS set_scryfall_id
+  FROM held, range(1, 6) r(n) WHERE ord % 4 = 0 AND n <= 1 + ord % 5),
+f AS (SELECT card_id, arg_max(foil, n) FILTER (set_foil) AS foil, arg_max(count, n) FILTER (set_count) AS count, bool_or(set_scryfall_id) AS cleared, max(n) FILTER (set_foil OR set_count OR set_scryfall_id) AS last FROM p GROUP BY card_id),
+u AS (SELECT h.card_id, CASE WHEN f.cleared THEN NULL ELSE h.scryfall_id END AS scryfall_id, coalesce(f.foil, h.foil) AS foil, coalesce(f.count, h.count) AS count, h.ord, h.created_at,
+  CASE WHEN f.last IS NULL THEN h.updated_at ELSE TIMESTAMP '2002-01-01' + f.last * INTERVAL 1 DAY END AS updated_at, f.card_id IS NOT NULL AS touched FROM held h LEFT JOIN f USING (card_id))"""
+
+
+def _repeated(held):
+    """Up to five patches of every fourth card: the printing's foil, its count, and, by the last, no printing at all."""
+    n, no = F.col("n"), F.lit(None)
+    rows = held.filter("ord % 4 = 0").withColumn("n", F.explode(F.sequence(F.lit(1), (F.col("ord") % 5 + 1).cast("int"))))
+    values = {"foil": F.when(n == 1, False).when(n == 3, True), "count": F.when(n == 2, 7).when(n == 4, 9).cast("long"), "created_at": no.cast("timestamp")}
+    flags = {"foil": (n % 2 == 1) & (n < 5), "count": n % 2 == 0, "scryfall_id": (n == 5) & (F.col("ord") % 2 == 0)}
+    now = F.timestamp_add("DAY", n, later()).alias("now")
+    return rows.select("card_id", "n", now, *[flags.get(k, F.lit(False)).alias(f"set_{k}") for k in L.PATCH], *[values.get(k, no.cast("string")).alias(k) for k in L.PATCH])
+
+
+@query("update_cards_repeated", H + REPEATED + " SELECT card_id, scryfall_id, foil, count, updated_at FROM u")
+def update_cards_repeated(spark, sf):
+    held, _ = T.held_and_batch(spark, sf)
+    return L.update_cards(held, _repeated(held), "n").select("card_id", "scryfall_id", "foil", "count", "updated_at")
+
+
+@query("change_cards_repeated", H + REPEATED + """, t AS (SELECT *, CASE WHEN scryfall_id IS NOT NULL THEN first_value(card_id) OVER (PARTITION BY scryfall_id, foil ORDER BY touched, ord) END AS target FROM u),
+m AS (SELECT target AS card_id, sum(count) AS count FROM t WHERE touched AND target <> card_id GROUP BY target)
+SELECT t.card_id, scryfall_id, foil, CAST(t.count + coalesce(m.count, 0) AS BIGINT) AS count FROM t LEFT JOIN m USING (card_id) WHERE NOT (touched AND coalesce(target, card_id) <> card_id)""")
+def change_cards_repeated(spark, sf):
+    held, _ = T.held_and_batch(spark, sf)
+    return L.change_cards(held, _repeated(held), "n").select("card_id", "scryfall_id", "foil", "count")
+
+
 @query("delete_cards", H + " SELECT card_id FROM held WHERE count % 2 = 0")
 def delete_cards(spark, sf):
     held, _ = T.held_and_batch(spark, sf)
