@@ -1,14 +1,18 @@
 """Evaluation of identification results: per-query metrics and the reports over them.
 
 Results are rows of one query each; reports are single grouped aggregations, whatever the number of thresholds or
-dimensions: grids and rank limits are small theta joins, dimensions are unpivoted.
+dimensions: threshold grids are cumulative counts of cells, rank limits a small theta join, dimensions are unpivoted, and
+percentiles are selected exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.operators.selection import exact_quantiles
 from cardloom.operators.vectors import hit_ranks, name_gap
 
 SIMS, GAPS = (0.5, 0.6, 0.7, 0.8, 0.9), (0.0, 0.02, 0.05, 0.1)
@@ -42,17 +46,26 @@ def similarity_stats(results: DataFrame) -> DataFrame:
 
 
 def gap_stats(results: DataFrame) -> DataFrame:
-    return results.groupBy("top1_name").agg(F.avg("name_gap").alias("mean"), F.min("name_gap").alias("min"), F.median("name_gap").alias("median"))
+    each = results.groupBy("top1_name").agg(F.avg("name_gap").alias("mean"), F.min("name_gap").alias("min"))
+    middle = exact_quantiles(results, "name_gap", {"median": 0.5}, "top1_name")
+    right = F.col("top1_name").eqNullSafe(F.col("_of"))
+    return each.join(middle.withColumnRenamed("top1_name", "_of"), right, "left").select("top1_name", "mean", "min", "median")
+
 
+def threshold_grid(results: DataFrame, least_accuracy: float = 99.0, sims=SIMS, gaps=GAPS) -> DataFrame:
+    """For each (sim, gap): rows that reach both, their name accuracy, and their share; pairs with too low accuracy go.
 
-def threshold_grid(results: DataFrame, least_accuracy: float = 99.0) -> DataFrame:
-    """For each (sim, gap): rows that reach both, their name accuracy, and their share; pairs with too low accuracy go."""
-    spark = results.sparkSession
-    grid = spark.createDataFrame([(s, g) for s in SIMS for g in GAPS], "sim double, gap double")
-    total = results.agg(F.count("*").alias("total"))
-    hit = results.join(F.broadcast(grid), (F.col("top1_sim") >= F.col("sim")) & (F.col("name_gap") >= F.col("gap")))
-    each = hit.groupBy("sim", "gap").agg(F.count("*").alias("qualified"), _pct("top1_name").alias("accuracy"))
-    return each.join(F.broadcast(total)).filter(F.col("accuracy") >= least_accuracy).select("sim", "gap", "qualified", "accuracy", F.round(100 * F.col("qualified") / F.col("total"), 4).alias("coverage"))
+    Each row falls into one cell, by how many thresholds of either kind it reaches; the cells are counted in one
+    aggregation, and only these few are then added up to the grid's corners."""
+    sims, gaps = sorted(set(sims)), sorted(set(gaps))
+    reached = lambda c, limits: reduce(lambda a, b: a + b, [F.coalesce((F.col(c) >= x).cast("int"), F.lit(0)) for x in limits])
+    right, known = F.count_if(F.col("top1_name")).alias("right"), F.count("top1_name").alias("known")
+    cells = results.groupBy(reached("top1_sim", sims).alias("i"), reached("name_gap", gaps).alias("j")).agg(F.count("*").alias("n"), right, known)
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    below = lambda values, c: F.explode(F.slice(F.array(*[F.lit(float(x)) for x in values]), F.lit(1), F.col(c)))
+    corners = cells.withColumn("total", total).withColumn("sim", below(sims, "i")).withColumn("gap", below(gaps, "j"))
+    each = corners.groupBy("sim", "gap").agg(F.sum("n").alias("qualified"), F.round(100 * F.sum("right") / F.sum("known"), 4).alias("accuracy"), F.max("total").alias("total"))
+    return each.filter(F.col("accuracy") >= least_accuracy).select("sim", "gap", "qualified", "accuracy", F.round(100 * F.col("qualified") / F.col("total"), 4).alias("coverage"))
 
 
 def rank_distribution(results: DataFrame) -> DataFrame:
@@ -117,9 +130,9 @@ def failure_class(results: DataFrame, base: str, other: str) -> DataFrame:
 def similarity_percentiles(results: DataFrame) -> DataFrame:
     """Of correct matches: least, 5th, 50th, 95th percentile, largest similarity, and how many lie below 0.90 and 0.85."""
     right = results.filter("top1_name")
-    q = F.percentile("top1_sim", F.array(*[F.lit(x) for x in (0.0, 0.05, 0.5, 0.95, 1.0)]))
-    row = right.agg(q.alias("q"), F.count_if(F.col("top1_sim") < 0.9).alias("below_90"), F.count_if(F.col("top1_sim") < 0.85).alias("below_85"))
-    return row.select(*[F.col("q")[i].alias(n) for i, n in enumerate(("min", "p5", "median", "p95", "max"))], "below_90", "below_85")
+    row = right.agg(F.min("top1_sim").alias("min"), F.max("top1_sim").alias("max"), F.count_if(F.col("top1_sim") < 0.9).alias("below_90"), F.count_if(F.col("top1_sim") < 0.85).alias("below_85"))
+    inner = exact_quantiles(right, "top1_sim", {"p5": 0.05, "median": 0.5, "p95": 0.95})
+    return row.join(F.broadcast(inner), F.lit(True), "left").select("min", "p5", "median", "p95", "max", "below_90", "below_85")
 
 
 def real_summary(results: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.operators.selection import exact_quantiles
+
 PRINTINGS = (1, 2, 3, 5, 10, 20, 50)
 
 
@@ -81,7 +83,8 @@ def file_size_stats(names: DataFrame, files: DataFrame) -> DataFrame:
     """names (filename) against files (filename, length): how many exist, and their sizes."""
     rows = names.join(files, "filename", "left")
     size = F.col("length")
-    return rows.agg(F.count(size).alias("present"), F.count_if(size.isNull()).alias("missing"), F.min(size).alias("min"), F.max(size).alias("max"), F.round(F.avg(size), 4).alias("mean"), F.median(size).alias("median"))
+    each = rows.agg(F.count(size).alias("present"), F.count_if(size.isNull()).alias("missing"), F.min(size).alias("min"), F.max(size).alias("max"), F.round(F.avg(size), 4).alias("mean"))
+    return each.join(F.broadcast(exact_quantiles(rows, "length", {"median": 0.5})), F.lit(True), "left")
 
 
 def class_breakdown(rows: DataFrame, by: str = "set_code", most: int | None = 10) -> DataFrame:
