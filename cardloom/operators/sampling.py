@@ -32,9 +32,37 @@ def sample_set_diverse(rows: DataFrame, n: int, key: str, by: str = "set_code",
     return ranked.withColumn("_place", place).filter(F.col("_place") <= n).select(*rows.columns)
 
 
-def parity_sample(rows: DataFrame, files: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows that have a file."""
-    return rows.join(files.select("filename").distinct(), "filename", "left_semi").orderBy(hash_order("filename", seed=seed), "filename").limit(n)
+# The step of the generator's state, and the constants that mix it.
+STEP, MIX, SPREAD = 0x6D2B79F5, 1, 61
+_WORD = (1 << 32) - 1
+#: Draws for each row that is wanted, at most.
+DRAWS = 50
+
+
+def _times(x: Column, y: Column) -> Column:
+    """The low 32 bits of a product of two 32-bit numbers, without leaving 64 bits."""
+    high = F.shiftright(x, 16) * y
+    return (x.bitwiseAND(F.lit(0xFFFF)) * y + F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_WORD))
+
+
+def nth_draw(n: Column, seed: int) -> Column:
+    """The n-th number (from 0) in [0, 1) of the generator whose state grows by a constant with each draw: an expression over
+    n, so that draws need no order."""
+    state = (F.lit(seed & _WORD) + (n + 1) * F.lit(STEP)).bitwiseAND(F.lit(_WORD))
+    mixed = _times(state.bitwiseXOR(F.shiftright(state, 15)), state.bitwiseOR(F.lit(MIX)))
+    spread = _times(mixed.bitwiseXOR(F.shiftright(mixed, 7)), mixed.bitwiseOR(F.lit(SPREAD)))
+    mixed = mixed.bitwiseXOR((mixed + spread).bitwiseAND(F.lit(_WORD)))
+    return mixed.bitwiseXOR(F.shiftright(mixed, 14)).cast("double") / F.lit(float(1 << 32))
+
+
+def parity_sample(rows: DataFrame, files: DataFrame, n: int, seed: int = 1, pos: str = "pos") -> DataFrame:
+    """rows (pos: 0, 1, 2 ...; filename) that the seeded generator draws, of those with a file, until there are ``n`` or so
+    many draws were made: one row per draw, in ``draw`` its number. A row can be drawn again."""
+    total = rows.agg(F.count("*").alias("_total"))
+    draws = rows.sparkSession.range(DRAWS * n).select(F.col("id").alias("draw")).join(F.broadcast(total))
+    drawn = draws.select("draw", F.floor(nth_draw(F.col("draw"), seed) * F.col("_total")).alias(pos))
+    held = rows.join(files.select("filename").distinct(), "filename", "left_semi")
+    return held.join(F.broadcast(drawn), pos).orderBy("draw").limit(n)
 
 
 # What the test set's categories are made of.
