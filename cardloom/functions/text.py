@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,28 +125,121 @@ def new_card_id(*key: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u0001", *[F.coalesce(k.cast("string"), F.lit("")) for k in key]), 256), 1, 32)
 
 
+#: Cells of the comparison tables that are held at once.
+TABLE = 1 << 18
+#: No character.
+_NONE = np.uint32(0xFFFFFFFF)
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as rows of code points, filled up with zeros, and their lengths."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), int(sizes.max(initial=0))), np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, sizes
+
+
+def _popular(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Characters of long second texts that occur too often to begin a block: more than one in a hundred, in 200 or more."""
+    out = np.zeros(codes.shape, bool)
+    for k in np.flatnonzero(sizes >= 200).tolist():
+        kinds, at, times = np.unique(codes[k, : sizes[k]], return_inverse=True, return_counts=True)
+        out[k, : sizes[k]] = (times > sizes[k] // 100 + 1)[at]
+    return out
+
+
+def _longest(a: np.ndarray, b: np.ndarray, usable: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For parts (row, a from, a to, b from, b to), the longest in the first text first: where the longest equal run begins in both, the first of equals, and its
+    length.  One step compares a character of every part's first text with all of its second."""
+    row, a0, a1, b0, b1 = parts.T
+    width = int((b1 - b0).max())
+    at = b0[:, None] + np.arange(width)
+    ok = at < b1[:, None]
+    at = np.minimum(at, b.shape[1] - 1)
+    ok &= usable[row[:, None], at]
+    other = np.where(ok, b[row[:, None], at], _NONE)
+    run = np.zeros((len(parts), width + 1), np.int32)
+    size, end_a, end_b = np.zeros(len(parts), np.int64), a0.copy(), b0.copy()
+    lengths = a1 - a0
+    live = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")  # parts with a character at each step
+    for k, n in enumerate(live.tolist()):
+        own = run[:n]
+        grown = own[:, :-1] + 1
+        grown *= other[:n] == a[row[:n], a0[:n] + k][:, None]
+        own[:, 1:] = grown
+        best = grown.argmax(axis=1)
+        length = grown[np.arange(n), best]
+        better = np.flatnonzero(length > size[:n])
+        size[better], end_a[better], end_b[better] = length[better], a0[better] + k + 1, (b0[:n] + best + 1)[better]
+    begin_a, begin_b = end_a - size, end_b - size
+    while True:  # characters that can't begin a block still lengthen one
+        can = (begin_a > a0) & (begin_b > b0)
+        can[can] = a[row[can], begin_a[can] - 1] == b[row[can], begin_b[can] - 1]
+        begin_a, begin_b, size = begin_a - can, begin_b - can, size + can
+        more = (begin_a + size < a1) & (begin_b + size < b1)
+        more[more] = a[row[more], (begin_a + size)[more]] == b[row[more], (begin_b + size)[more]]
+        size = size + more
+        if not (can | more).any():
+            return begin_a, begin_b, size
+
+
+def matching_share(first: list[str], second: list[str]) -> np.ndarray:
+    """For each pair of texts, twice the characters in matching blocks over those of both: the longest equal run, then the
+    longest left and right of it, and so on.  All pairs advance together, a table of steps at a time."""
+    a, la = _codes(first)
+    b, lb = _codes(second)
+    usable = ~_popular(b, lb)
+    matched = np.zeros(len(first), np.int64)
+    parts = np.stack([np.arange(len(first)), np.zeros_like(la), la, np.zeros_like(lb), lb], axis=1)
+    while True:
+        parts = parts[(parts[:, 2] > parts[:, 1]) & (parts[:, 4] > parts[:, 3])]
+        if not len(parts):
+            break
+        # Tables of parts about as wide, the longest first, so that steps get narrower as parts end.
+        wide = np.ceil(np.log2(parts[:, 4] - parts[:, 3])).astype(np.int64)
+        parts = parts[np.lexsort((parts[:, 1] - parts[:, 2], wide))]
+        edges = np.flatnonzero(np.diff(np.sort(wide))) + 1
+        rest = []
+        for own in np.split(parts, edges):
+            most = max(1, TABLE // int((own[:, 4] - own[:, 3]).max()))
+            for block in (own[k : k + most] for k in range(0, len(own), most)):
+                i, j, n = _longest(a, b, usable, block)
+                np.add.at(matched, block[:, 0], n)
+                found, i, j, n = block[n > 0], i[n > 0], j[n > 0], n[n > 0]
+                rest += [np.stack([found[:, 0], found[:, 1], i, found[:, 3], j], axis=1), np.stack([found[:, 0], i + n, found[:, 2], j + n, found[:, 4]], axis=1)]
+        parts = np.concatenate(rest)
+    both = la + lb
+    return np.where(both > 0, 2.0 * matched / np.where(both > 0, both, 1), 1.0)
+
+
 @F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """Each pair of a batch once; the second text's index is kept while it stays the same."""
-    from difflib import SequenceMatcher
-
-    match = SequenceMatcher(None)
-    known: dict[tuple[str, str], float] = {}
-    out = []
-    for x, y, limit in zip(a, b, least, strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        if (x, y) not in known:
-            if y is not match.b and y != match.b:
-                match.set_seq2(y)
-            match.set_seq1(x)
-            possible = match.real_quick_ratio() >= limit and match.quick_ratio() >= limit
-            known[x, y] = match.ratio() if possible else 0.0
-        out.append(known[x, y])
-    return pd.Series(out, dtype="float64")
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Each different pair of a batch once; pairs with a null stay open."""
+    pairs = pd.DataFrame({"a": a, "b": b}).dropna()
+    out = pd.Series(np.nan, index=a.index, dtype="float64")
+    if len(pairs):
+        each = pairs.drop_duplicates()
+        known = each.assign(r=matching_share(each["a"].tolist(), each["b"].tolist()))
+        out[pairs.index] = pairs.merge(known, on=["a", "b"], how="left")["r"].to_numpy()
+    return out
+
+
+def _most(a: Column, b: Column) -> Column:
+    """The largest ratio that two texts' lengths and letters allow."""
+    n = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.filter(F.split(a, ""), lambda c: c != "")), F.lit(0), lambda s, c: s + F.least(n(a, c), n(b, c)))
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, 1.0).when(F.least(F.length(a), F.length(b)) == 0, 0.0).otherwise(2.0 * common / both)
 
 
 def fuzzy_ratio(a: Column | str, b: Column | str, least: Column | None = None) -> Column:
-    """How much of two texts is in matching blocks; null where either is. With ``least``, a ratio that can't reach it is 0."""
-    return _ratio(a, b, F.lit(0.0) if least is None else least)
+    """How much of two texts is in matching blocks; null where either is. With ``least``, a ratio that can't reach it is 0.
+    Lengths and letters, counted in the JVM, decide about most pairs then, and equal texts; only the others' texts are
+    looked at, whole batches at a time."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    null = a.isNull() | b.isNull()
+    decided = F.when(null, F.lit(None).cast("double")).when(a == b, 1.0)
+    if least is not None:
+        decided = decided.when(_most(a, b) < least, 0.0)
+    open_ = ~null & (a != b) if least is None else ~null & (a != b) & (_most(a, b) >= least)
+    return F.coalesce(decided, _ratio(F.when(open_, a), F.when(open_, b)))
