@@ -108,12 +108,26 @@ def format_corners(points: Column) -> Column:
     return F.array_join(F.transform(points, lambda p: F.concat(F.format_string("%.1f", p["x"]), F.lit(","), F.format_string("%.1f", p["y"]))), ";")
 
 
-def natural_key(text: Column) -> Column:
-    """Sorts like a reader does: runs of digits by value, however long, letters without case or accents by the caller's
-    collation."""
+def _by_value(text: Column, other) -> Column:
+    """Text with its runs of digits in a form that sorts by value, however long."""
     by_value = lambda digits: F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), by_value(F.regexp_replace(p, "^0+(?=[0-9])", ""))).otherwise(F.lower(p))), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), by_value(F.regexp_replace(p, "^0+(?=[0-9])", ""))).otherwise(other(p))), "")
+
+
+def natural_key(text: Column) -> Column:
+    """Equal where texts differ in case alone, and sorts runs of digits by value; other characters by their code."""
+    return _by_value(text, F.lower)
+
+
+def locale_order(text: Column) -> Column:
+    """Sorts as a reader's language does: letters before their case and accents, punctuation and digits before letters."""
+    return F.collate(text, "UNICODE")
+
+
+def natural_order(text: Column) -> Column:
+    """As ``locale_order``, without case and accents, and with runs of digits by value."""
+    return F.collate(_by_value(text, lambda p: p), "UNICODE_CI_AI")
 
 
 def valid_card_id(card_id: Column) -> Column:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.functions.text import LOOSE_SET_NUMBER, mana_bucket
+from cardloom.functions.text import LOOSE_SET_NUMBER, locale_order, mana_bucket
 from cardloom.operators.vectors import places
 
 RARITIES = ("mythic", "rare", "uncommon", "common")
@@ -86,12 +86,12 @@ def match_query(query: str) -> Column:
 
 
 def sort_keys(sort: str) -> list[Column]:
-    """Names and labels compare without regard to engine locale: lower case first, then as they are."""
-    name = [F.lower("name").asc(), F.col("name").asc()]
+    """Names and codes compare as a reader's language has them; what is equal in the order stays newest first."""
+    name = [locale_order(F.col("name")).asc()]
     newest = [F.desc("created_at"), F.desc("ord")]
     rank = reduce(lambda acc, r: F.when(F.col("rarity") == r[1], r[0]).otherwise(acc), list(enumerate(RARITIES)), F.lit(len(RARITIES)))
     first = {
-        "date": [], "name": name, "set": [F.coalesce("set_code", F.lit("")).asc(), *name], "release": [F.col("released_at").desc_nulls_last(), *name],
+        "date": [], "name": name, "set": [locale_order(F.coalesce("set_code", F.lit(""))).asc(), *name], "release": [F.col("released_at").desc_nulls_last(), *name],
         "mana": [F.col("mana_value").asc_nulls_last(), *name], "rarity": [rank.asc(), *name],
     }
     return first[sort if sort in first else "date"] + newest
@@ -109,9 +109,18 @@ def visible_total(cards: DataFrame, view: View) -> DataFrame:
 
 def facet_sets(cards: DataFrame) -> DataFrame:
     """Rows per set code, with the first row's set name, or the code in capitals, as label."""
+    return _sets(cards).drop("first")
+
+
+def _sets(cards: DataFrame) -> DataFrame:
     rows = cards.filter(F.coalesce("set_code", F.lit("")) != "")
-    each = rows.groupBy(F.col("set_code").alias("value")).agg(F.count("*").alias("n"), F.min_by("set_name", "ord").alias("label"))
-    return each.select("value", F.coalesce("label", F.upper("value")).alias("label"), "n")
+    each = rows.groupBy(F.col("set_code").alias("value")).agg(F.count("*").alias("n"), F.min_by("set_name", "ord").alias("label"), F.min("ord").alias("first"))
+    return each.select("value", F.coalesce("label", F.upper("value")).alias("label"), "n", "first")
+
+
+def set_options(cards: DataFrame) -> DataFrame:
+    """``facet_sets`` in order of label, with their place; of equal labels the one whose row came first."""
+    return places(_sets(cards), locale_order(F.col("label")), "first").drop("first")
 
 
 def facet_artists(cards: DataFrame) -> DataFrame:
@@ -119,6 +128,13 @@ def facet_artists(cards: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("artist").alias("value")).agg(F.count("*").alias("n"))
 
 
+def artist_options(cards: DataFrame) -> DataFrame:
+    """``facet_artists``, the most frequent first, then in order of name, with their place."""
+    rows = cards.filter(F.coalesce("artist", F.lit("")) != "")
+    each = rows.groupBy(F.col("artist").alias("value")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return places(each, F.desc("n"), locale_order(F.col("value")), "first").drop("first")
+
+
 def filter_options(options: DataFrame, text: str) -> DataFrame:
     """Options whose value or label holds the text; blank text keeps all."""
     t = text.strip().lower()
