@@ -11,7 +11,7 @@ from cardloom.operators import views as V
 from cardloom.operators.vectors import places
 from cardloom.plans import tables as T
 from cardloom.plans.registry import query
-from cardloom.sources.shared import kept
+from cardloom.sources.shared import kept, new_path, passing
 
 CARDS = "WITH " + T.LIBRARY_SQL + ", " + T.CATALOG_SQL + """, cards AS (SELECT h.*, c.artist, c.type_line, c.rarity, c.set_name, c.colors, c.mana_value, c.released_at, h.photo IS NOT NULL AS has_photo
   FROM held h LEFT JOIN cat c ON c.scryfall_id = h.scryfall_id)"""
@@ -76,9 +76,10 @@ def visible_total(spark, sf):
 
 
 RANK = "CASE rarity WHEN 'mythic' THEN 0 WHEN 'rare' THEN 1 WHEN 'uncommon' THEN 2 WHEN 'common' THEN 3 ELSE 4 END"
+KEY = "icu_sort_key(name, 'en')"
 ORDERS = {
-    "date": "", "name": "lower(name), name, ", "set": "coalesce(set_code, ''), lower(name), name, ", "release": "released_at DESC NULLS LAST, lower(name), name, ",
-    "mana": "mana_value NULLS LAST, lower(name), name, ", "rarity": f"{RANK}, lower(name), name, ",
+    "date": "", "name": f"{KEY}, ", "set": f"icu_sort_key(coalesce(set_code, ''), 'en'), {KEY}, ", "release": f"released_at DESC NULLS LAST, {KEY}, ",
+    "mana": f"mana_value NULLS LAST, {KEY}, ", "rarity": f"{RANK}, {KEY}, ",
 }
 
 
@@ -92,6 +93,48 @@ def sort_view(spark, sf):
     return out
 
 
+# Names and labels with accents, capitals, punctuation and numbers, in Spark and in SQL.
+ACCENTED = """CASE {k} % 6 WHEN 0 THEN replace({c}, 'e', 'é') WHEN 1 THEN upper({c}) WHEN 2 THEN replace({c}, 'o', 'ö') WHEN 3 THEN replace({c}, ' ', '-') WHEN 4 THEN {c} ELSE replace({c}, 'a', 'Å') END || ' ' || ({k} % 30)"""
+
+
+def accented(column, key):
+    c = F.col(column)
+    e = lambda a, b: F.replace(c, F.lit(a), F.lit(b))
+    turned = F.when(key % 6 == 0, e("e", "é")).when(key % 6 == 1, F.upper(c)).when(key % 6 == 2, e("o", "ö")).when(key % 6 == 3, e(" ", "-")).when(key % 6 == 4, c).otherwise(e("a", "Å"))
+    return F.concat(turned, F.lit(" "), (key % 30).cast("string"))
+
+
+def accented_cards(spark, sf):
+    """Cards under their part's name, with labels and artists made of names too."""
+    part = F.col("scryfall_id").cast("long")
+    names = T.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("scryfall_id"), F.col("p_name").alias("part_name"))
+    rows = cards(spark, sf).filter("scryfall_id is not null").join(names, "scryfall_id")
+    word = F.substring_index("part_name", " ", 1)
+    rows = rows.withColumns({"name": accented("part_name", part), "word": word}).withColumns({"set_name": accented("word", F.substring("set_code", 2, 9).cast("long") % 6), "artist": accented("word", part % 6)})
+    return rows.drop("part_name", "word")
+
+
+ACCENTED_SQL = CARDS.replace("cards AS (", "cards0 AS (", 1) + f""", a0 AS (SELECT c.*, p_name, split_part(p_name, ' ', 1) AS word, p_partkey AS part FROM cards0 c JOIN part ON CAST(p_partkey AS VARCHAR) = c.scryfall_id),
+cards AS (SELECT * EXCLUDE (name, set_name, artist), {ACCENTED.format(c='p_name', k='part')} AS name, {ACCENTED.format(c='word', k='(part % 6)')} AS artist, {ACCENTED.format(c='word', k="(CAST(substr(set_code, 2) AS BIGINT) % 6)")} AS set_name FROM a0)"""
+
+
+@query("sort_view_accented", ACCENTED_SQL + " SELECT card_id, row_number() OVER (ORDER BY icu_sort_key(name, 'en'), created_at DESC, ord DESC) AS place FROM cards")
+def sort_view_accented(spark, sf):
+    return places(accented_cards(spark, sf), *V.sort_keys("name")).select("card_id", "place")
+
+
+@query("set_options", ACCENTED_SQL + """, o AS (SELECT set_code AS value, arg_min(set_name, ord) AS label, count(*) AS n, min(ord) AS first FROM cards GROUP BY set_code)
+SELECT value, label, n, row_number() OVER (ORDER BY icu_sort_key(label, 'en'), first) AS place FROM o""")
+def set_options(spark, sf):
+    return V.set_options(accented_cards(spark, sf))
+
+
+@query("artist_options", ACCENTED_SQL + """, o AS (SELECT artist AS value, count(*) AS n, min(ord) AS first FROM cards GROUP BY artist)
+SELECT value, n, row_number() OVER (ORDER BY n DESC, icu_sort_key(value, 'en'), first) AS place FROM o""")
+def artist_options(spark, sf):
+    return V.artist_options(accented_cards(spark, sf))
+
+
 @query("facet_sets", CARDS + " SELECT set_code AS value, coalesce(arg_min_null(set_name, ord), upper(set_code)) AS label, count(*) AS n FROM cards WHERE coalesce(set_code, '') <> '' GROUP BY set_code")
 def facet_sets(spark, sf):
     return V.facet_sets(cards(spark, sf))
@@ -130,14 +173,45 @@ def searches(spark, sf):
     return names.unionByName(cat.select((F.col("pos") + 1000000).alias("query_id"), F.concat("set_code", F.lit(" "), "collector_number").alias("query")))
 
 
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def name_index(spark, sf, kind="plain", catalog=T.catalog):
+    """The index of a catalogue, which the application builds once."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _INDEXES:
+        path = new_path(spark, "names")
+        S.build_name_index(catalog(spark, sf), path)
+        _INDEXES[key] = passing(spark, path)
+    return S.open_name_index(spark, _INDEXES[key])
+
+
 @query("name_search", "WITH " + T.CATALOG_SQL + FOUND + " SELECT query_id, place, pos FROM z WHERE place <= 50")
 def name_search(spark, sf):
-    return S.name_search(searches(spark, sf), T.catalog(spark, sf)).select("query_id", "place", "pos")
+    return S.search_names(searches(spark, sf), name_index(spark, sf)).select("query_id", "place", "pos")
+
+
+NATURAL = "icu_sort_key(regexp_replace(strip_accents(lower({})), ' ([0-9])$', ' 0\\1'), 'en')"
+ACCENTED_CATALOG = "WITH " + T.CATALOG_SQL.replace("cat AS (", "cat0 AS (", 1) + f", cat AS (SELECT * EXCLUDE (name), {ACCENTED.format(c='name', k='pos')} AS name FROM cat0)"
+
+
+def accented_catalog(spark, sf):
+    return T.catalog(spark, sf).withColumn("name", accented("name", F.col("pos")))
+
+
+@query("name_search_accented", ACCENTED_CATALOG + FOUND.replace("CASE WHEN match >= 0 THEN lower(name) END", "CASE WHEN match >= 0 THEN " + NATURAL.format("name") + " END") + " SELECT query_id, place, pos FROM z WHERE place <= 50")
+def name_search_accented(spark, sf):
+    """Searches among names with accents, capitals and numbers, which come in a reader's order."""
+    index = name_index(spark, sf, "accented", accented_catalog)
+    cat = accented_catalog(spark, sf).filter("pos % 50 = 0")
+    names = cat.select(F.col("pos").alias("query_id"), F.substring("name", 1, 4).alias("query"))
+    asked = names.unionByName(cat.select((F.col("pos") + 1000000).alias("query_id"), F.concat("set_code", F.lit(" "), "collector_number").alias("query")))
+    return S.search_names(asked, index).select("query_id", "place", "pos")
 
 
 @query("number_then_name", "WITH " + T.CATALOG_SQL + FOUND + " SELECT query_id, count(*) AS n FROM z GROUP BY query_id")
 def number_then_name(spark, sf):
-    return S.name_search(searches(spark, sf), T.catalog(spark, sf), 1 << 30).groupBy("query_id").agg(F.count("*").alias("n"))
+    return S.count_found(searches(spark, sf), name_index(spark, sf))
 
 
 @query("search_order", "WITH " + T.CATALOG_SQL + " SELECT pos, row_number() OVER (PARTITION BY set_code ORDER BY lower(name), lpad(collector_number, 18, '0'), pos) AS place FROM cat")
