@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import new_card_id, placeholder_key
 from cardloom.operators.catalog import with_printing
 from cardloom.operators.library import FIELDS, upsert_add, upsert_set
+from cardloom.sources.snapshots import Snapshot, read_snapshot, snapshot, write_snapshot
 
 REPORTED = 50
 
@@ -63,6 +64,15 @@ def import_collection(library: DataFrame, rows: DataFrame, catalog: DataFrame, m
     return upsert_placeholders(folded, rest, mode)
 
 
+def import_snapshot(spark: SparkSession, path: str, rows: DataFrame, catalog: DataFrame, mode: str = "set") -> Snapshot:
+    """``import_collection`` over the collection that is in force in ``path``, put in force as its next snapshot: all rows or
+    none, and only if no other writer came between."""
+    held = snapshot(spark, path)
+    if held is None:
+        raise FileNotFoundError(f"no snapshot in {path}")
+    return write_snapshot(import_collection(read_snapshot(spark, path, held.number), rows, catalog, mode), path, held.number)
+
+
 def distinct_unmatched(matched: DataFrame) -> DataFrame:
     """Names without a printing, with their first line."""
     return matched.filter("scryfall_id is null").groupBy("name").agg(F.min("line").alias("line"))

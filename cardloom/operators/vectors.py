@@ -9,11 +9,12 @@ scores, and of a tile only rows are put out that can be among a query's best k s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +124,124 @@ def topk(queries: DataFrame, index: DataFrame, k: int, leave_out: bool = False)
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "pos", "score")
 
 
+#: Blocks that a blocked index has at most, rows of a task's part of one, and sampled rows that their centres are taken from.
+BLOCKS, PART_ROWS, CENTRE_SAMPLE = 256, 1 << 15, 1 << 14
+_SLACK = 1e-9
+
+
+class BlockedIndex(NamedTuple):
+    """rows: an index's pos and embedding with their block and part; blocks: centre, reach (the largest angle between the
+    centre and a row), how many rows, and parts."""
+
+    rows: DataFrame
+    blocks: DataFrame
+
+
+def _centres(index: DataFrame, blocks: int) -> np.ndarray:
+    """Directions that are far from each other, out of a sample of bounded size: each the one farthest from those before."""
+    sample = index.select("embedding").orderBy(F.xxhash64("pos")).limit(CENTRE_SAMPLE).toArrow().column("embedding").combine_chunks()
+    if not len(sample):
+        return np.zeros((0, 0))
+    x = _matrix(sample, len(sample[0]))
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    chosen, nearest = [0], x @ x[0]
+    while len(chosen) < min(blocks, len(x)) and nearest.min() < 1 - _SLACK:
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def block_index(index: DataFrame, path: str, blocks: int | None = None) -> BlockedIndex:
+    """Writes an index (pos, embedding of norm one) under ``path``, each row with the nearest of at most ``BLOCKS`` centres
+    (the square root of the rows, if that is less). A block's rows lie in parts of some ``PART_ROWS``."""
+    spark = index.sparkSession
+    n = index.count()
+    centres = _centres(index, blocks or max(1, min(BLOCKS, int(n**0.5))))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("embedding"), centres.shape[1]) if batch.num_rows else np.zeros((0, centres.shape[1]))
+            near = x @ centres.T
+            best = near.argmax(axis=1)
+            cosines = near[np.arange(len(x)), best]
+            norms = np.linalg.norm(x, axis=1)
+            angle = np.arccos(np.clip(np.divide(cosines, norms, out=np.ones_like(norms), where=norms > 0), -1, 1))
+            columns = [batch.column("pos"), batch.column("embedding"), pa.array(best.astype(np.int32)), pa.array(angle), pa.array(norms)]
+            yield pa.RecordBatch.from_arrays(columns, ["pos", "embedding", "block", "angle", "norm"])
+
+    rows = index.select(F.col("pos").cast("long").alias("pos"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows.mapInArrow(assign, "pos long, embedding array<float>, block int, angle double, norm double").write.parquet(f"{path}/assigned")
+    assigned = spark.read.parquet(f"{path}/assigned")
+    sizes = assigned.groupBy("block").agg(F.count("*").alias("n"), F.max("angle").alias("reach"), F.max("norm").alias("norm"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int"))
+    centre = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "block int, centre array<double>")
+    sizes.join(F.broadcast(centre), "block").coalesce(1).write.parquet(f"{path}/blocks")  # BLOCKS rows at most
+    parts = assigned.join(F.broadcast(spark.read.parquet(f"{path}/blocks").select("block", "parts")), "block")
+    parts = parts.select("pos", "embedding", "block", F.pmod(F.xxhash64("pos"), F.col("parts")).cast("int").alias("part"))
+    parts.repartition("block", "part").sortWithinPartitions("block", "part").write.parquet(f"{path}/rows")
+    return open_blocked_index(spark, path)
+
+
+def open_blocked_index(spark: SparkSession, path: str) -> BlockedIndex:
+    return BlockedIndex(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/blocks"))
+
+
+def block_bounds(queries: DataFrame, index: BlockedIndex) -> DataFrame:
+    """(query_id, block, n, parts, bound, near): the largest score that a row of a block can have with a query, and the cosine
+    of query and centre. A query's few hundred blocks are a stated set, so this is no join of rows with rows."""
+    from cardloom.functions.vectors import inner_product, norm
+
+    pairs = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).join(F.broadcast(index.blocks))
+    near = F.coalesce(F.try_divide(inner_product("q", "centre"), F.col("_qn")), F.lit(0.0))
+    pairs = pairs.withColumn("_qn", norm("q")).withColumn("near", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), near)))
+    least = F.greatest(F.lit(0.0), F.acos("near") - F.col("reach"))  # the least angle between the query and a row
+    most = F.cos(least) * F.col("_qn")
+    bound = F.when(most > 0, most * F.col("norm")).otherwise(F.lit(0.0)) + F.lit(_SLACK)  # shorter rows only come nearer to zero
+    return pairs.select("query_id", "block", "n", "parts", bound.alias("bound"), "near")
+
+
+def _scored(pairs: DataFrame, queries: DataFrame, index: BlockedIndex, k: int) -> DataFrame:
+    """The best k rows of each (query_id, block) asked for, part by part."""
+    each = pairs.select("query_id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asked = each.join(queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")), "query_id")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left.column("query_id").to_numpy()
+        pos = right.column("pos").to_numpy()
+        out = []
+        if len(ids) and len(pos):
+            dim = pc.list_value_length(right.column("embedding"))[0].as_py()
+            best = Best(ids, _matrix(left.column("q"), dim), k, False)
+            out = list(best.of(pos, _matrix(right.column("embedding"), dim)))
+        return pa.Table.from_batches(out, pa.schema([("query_id", pa.int64()), ("pos", pa.int64()), ("score", pa.float64())]))
+
+    return asked.groupBy("block", "part").cogroup(index.rows.groupBy("block", "part")).applyInArrow(run, HITS)
+
+
+def topk_pruned(queries: DataFrame, index: BlockedIndex, k: int) -> DataFrame:
+    """``topk`` over a blocked index, exactly: first each query's nearest blocks, until they hold k rows; their k-th score is
+    one that the result reaches. Then only blocks whose bound isn't below it are read."""
+    bounds = kept(block_bounds(queries, index), "bounds")
+    near = Window.partitionBy("query_id").orderBy(F.desc("near"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    first = bounds.withColumn("_before", F.coalesce(F.sum("n").over(near), F.lit(0))).filter(F.col("_before") < k)
+    hits = kept(_scored(first, queries, index, k), "hits")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos"))
+    reached = hits.withColumn("place", place).filter(F.col("place") == k).select("query_id", F.col("score").alias("least"))
+    rest = bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(reached, "query_id", "left")
+    rest = rest.filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    every = hits.unionByName(_scored(rest, queries, index, k))
+    return every.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "pos", "score")
+
+
+def blocks_read(queries: DataFrame, index: BlockedIndex, k: int) -> DataFrame:
+    """One row: pairs of query and block, and how many of them a search for the best k looks at."""
+    bounds = block_bounds(queries, index)
+    found = topk_pruned(queries, index, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    met = bounds.join(found, "query_id", "left")
+    return met.agg(F.count("*").alias("pairs"), F.count_if(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).alias("needed"), F.sum("n").alias("rows"), F.sum(F.when(F.col("least").isNull() | (F.col("bound") >= F.col("least")), F.col("n"))).alias("needed_rows"))
+
+
 def with_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
     """hits joined with metadata by pos; negative positions, and those without a row, are left out."""
     return hits.filter("pos >= 0").join(metadata, "pos")

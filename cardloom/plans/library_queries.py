@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from cardloom.operators import imports as I
 from cardloom.operators import library as L
 from cardloom.plans import tables as T
-from cardloom.plans.registry import query
+from cardloom.plans.registry import SQL, query
+from cardloom.sources.shared import new_path, passing
+from cardloom.sources.snapshots import read_snapshot, write_snapshot
 
 H = "WITH " + T.LIBRARY_SQL
 ALL = ", ".join(L.FIELDS)
@@ -290,3 +292,14 @@ def import_collection(spark, sf):
     held, batch = T.held_and_batch(spark, sf)
     out = I.import_collection(held, _lines(batch), T.catalog(spark, sf), "set")
     return out.groupBy("scryfall_id", "foil").agg(F.sum("count").alias("count"))
+
+
+@query("import_snapshot", SQL["import_collection"])
+def import_snapshot(spark, sf):
+    """The same import between two snapshots of a stored collection."""
+    held, batch = T.held_and_batch(spark, sf)
+    path = new_path(spark, "collection")
+    write_snapshot(held, path, None)
+    passing(spark, path)
+    I.import_snapshot(spark, path, _lines(batch), T.catalog(spark, sf), "set")
+    return read_snapshot(spark, path).groupBy("scryfall_id", "foil").agg(F.sum("count").alias("count"))

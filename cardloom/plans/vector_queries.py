@@ -9,6 +9,7 @@ from cardloom.operators import evaluate as E
 from cardloom.operators import vectors as O
 from cardloom.plans import tables as T
 from cardloom.plans.registry import query
+from cardloom.sources.shared import new_path, passing
 
 H = "WITH " + T.VECTORS_SQL
 R = "WITH " + T.RESULTS_SQL
@@ -24,6 +25,25 @@ def topk(spark, sf):
     return O.topk(T.queries(spark, sf), T.index(spark, sf), 5).select("query_id", "rank", "pos", *r4("score"))
 
 
+_BLOCKED: dict[tuple[str, str], str] = {}
+
+
+def blocked_index(spark, sf):
+    """The vectors in blocks, which the application builds once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BLOCKED:
+        path = new_path(spark, "blocked")
+        O.block_index(T.index(spark, sf), path)
+        _BLOCKED[key] = passing(spark, path)
+    return O.open_blocked_index(spark, _BLOCKED[key])
+
+
+@query("topk_pruned", H + "SELECT query_id, rank, pos, round(score, 4) AS score FROM hits WHERE mode = 'base' AND rank <= 5")
+def topk_pruned(spark, sf):
+    """The same search, which leaves out blocks of the index that can't hold a better row."""
+    return O.topk_pruned(T.queries(spark, sf), blocked_index(spark, sf), 5).select("query_id", "rank", "pos", *r4("score"))
+
+
 @query("topk_batch", H + "SELECT mode, query_id, rank, pos, round(score, 4) AS score FROM hits WHERE rank <= 10")
 def topk_batch(spark, sf):
     parts = [O.topk(T.queries(spark, sf, m), T.index(spark, sf), 10).select(F.lit(m).alias("mode"), "query_id", "rank", "pos", *r4("score")) for m in ("base", "half")]

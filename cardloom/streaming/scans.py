@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cardloom.operators.vectors import identify, topk
 
@@ -34,3 +35,64 @@ def stream_identify(queries: DataFrame, index: DataFrame, k: int, write: Callabl
         write(identify(rows, topk(rows, index, k)), number)
 
     return queries.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
+
+
+#: How long a scan's id is remembered after it last came, in milliseconds.
+REMEMBERED = 24 * 3600 * 1000
+HELD = "scryfall_id string, foil boolean, count long, created_at timestamp, card_id string, ord long"
+
+
+class HeldScans(StatefulProcessor):
+    """The collection as state: for each (scryfall_id, foil) its row, and the ids of scans that it has counted, each of which
+    goes some time after it last came. Puts out the rows that a batch changed, and those alone."""
+
+    def __init__(self, remembered: int = REMEMBERED):
+        self.remembered = remembered
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.row = handle.getValueState("row", "count long, created_at timestamp, card_id string, ord long")
+        self.ids = handle.getMapState("ids", "card_id string", "seen boolean", self.remembered)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        """The row of the collection that was held before; its own id is counted already."""
+        for r in initialState.itertuples(index=False):
+            self.row.update((int(r.count_), r.created_at, r.card_id, int(r.ord)))
+            self.ids.updateValue((r.card_id,), (True,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.row.get() if self.row.exists() else None
+        before = held
+        for frame in rows:
+            frame = frame.sort_values("ord", kind="stable").drop_duplicates("card_id")
+            new = [not self.ids.containsKey((x,)) for x in frame["card_id"]]
+            for x in frame["card_id"]:
+                self.ids.updateValue((x,), (True,))
+            frame = frame[new]
+            if not len(frame):
+                continue
+            first, count, newest = frame.iloc[0], int(frame["count_"].sum()), frame["created_at"].max()
+            if held is None:
+                held = (count, newest, first["card_id"], int(first["ord"]))
+            else:
+                mine = (first["card_id"], int(first["ord"])) if first["ord"] < held[3] else (held[2], held[3])
+                held = (held[0] + count, max(held[1], newest), *mine)
+        if held is not None and held != before:
+            self.row.update(held)
+            yield pd.DataFrame({"scryfall_id": [key[0]], "foil": [key[1]], "count": [held[0]], "created_at": [held[1]], "card_id": [held[2]], "ord": [held[3]]})
+
+    def close(self) -> None:
+        pass
+
+
+def held_scans(scans: DataFrame, library: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+    """A stream of scans (card_id, scryfall_id, foil, count, created_at, ord) folded into a collection that is held already
+    (the same columns, one row per (scryfall_id, foil)): rows that changed, as they change. A scan that comes again within
+    ``remembered`` milliseconds counts once. Scans without an item are left out. The session's state store must be one that
+    keeps several columns of state (RocksDB)."""
+    # Ids go when their time is over; batches without scans, which a clock would otherwise bring forth without end, aren't needed.
+    scans.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    columns = ["card_id", "scryfall_id", "foil", F.col("count").cast("long").alias("count_"), "created_at", F.col("ord").cast("long").alias("ord")]
+    state = library.filter("scryfall_id is not null").select(*columns).groupBy("scryfall_id", "foil")
+    return scans.filter("scryfall_id is not null").select(*columns).groupBy("scryfall_id", "foil").transformWithStateInPandas(
+        statefulProcessor=HeldScans(remembered), outputStructType=HELD, outputMode="Update", timeMode="ProcessingTime", initialState=state
+    )
