@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -42,6 +43,26 @@ REMEMBERED = 24 * 3600 * 1000
 HELD = "scryfall_id string, foil boolean, count long, created_at timestamp, card_id string, ord long"
 
 
+#: What a session needs for state of several columns; and no batches without scans, which a clock brings forth without end.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB."""
+    before = {k: spark.conf.get(k) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class HeldScans(StatefulProcessor):
     """The collection as state: for each (scryfall_id, foil) its row, and the ids of scans that it has counted, each of which
     goes some time after it last came. Puts out the rows that a batch changed, and those alone."""
@@ -88,9 +109,7 @@ def held_scans(scans: DataFrame, library: DataFrame, remembered: int = REMEMBERE
     """A stream of scans (card_id, scryfall_id, foil, count, created_at, ord) folded into a collection that is held already
     (the same columns, one row per (scryfall_id, foil)): rows that changed, as they change. A scan that comes again within
     ``remembered`` milliseconds counts once. Scans without an item are left out. The session's state store must be one that
-    keeps several columns of state (RocksDB)."""
-    # Ids go when their time is over; batches without scans, which a clock would otherwise bring forth without end, aren't needed.
-    scans.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    keeps several columns of state, as within ``rocksdb_state``."""
     columns = ["card_id", "scryfall_id", "foil", F.col("count").cast("long").alias("count_"), "created_at", F.col("ord").cast("long").alias("ord")]
     state = library.filter("scryfall_id is not null").select(*columns).groupBy("scryfall_id", "foil")
     return scans.filter("scryfall_id is not null").select(*columns).groupBy("scryfall_id", "foil").transformWithStateInPandas(
