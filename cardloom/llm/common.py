@@ -50,6 +50,13 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def passing(spark: SparkSession, path: str) -> str:
+    """Marks a folder that is there as one that goes when the application ends, if it isn't deleted before."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[None]:
     """What is materialized inside goes when the block ends: its result must have been written elsewhere by then."""
@@ -63,11 +70,12 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes ``df`` to the shared folder (or to ``path``) and reads it back: cuts lineage, and survives lost executors."""
+    """Writes ``df`` to the shared folder (or to ``path``) and reads it back: cuts lineage, and survives lost executors. The
+    table goes with its ``scratch`` block, with ``discard``, or else when the application ends."""
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(passing(spark, path))
     _PLACES[out] = path
     return out
 

@@ -35,7 +35,7 @@ from cardloom.llm.common import documents
 from cardloom.llm.words import mix
 
 SAMPLE_DOCS = 20_000
-SAMPLE_BYTES = 64 << 20
+SAMPLE_BYTES = 4 << 20
 ORDERS = (5, 4, 3, 2, 1)
 KINDS = max(ORDERS) + 1
 EVIDENCE_WORDS = 20

@@ -145,6 +145,8 @@ class Lattice:
             beta[i] = _log_sum(np.stack([self.score[k - 1][i] + beta[i + k] for k in range(1, most + 1)], axis=1))
         total = np.zeros(self.v.size)
         whole = alpha[self.length]
+        #: The log probability of all the words, each so many times.
+        self.likelihood = float(whole @ weights)
         for k in range(1, self.longest + 1):
             share = np.exp(alpha[: self.length - k + 1] + self.score[k - 1] + beta[k:] - whole) * weights
             known = self.arc[k - 1] >= 0
@@ -180,8 +182,15 @@ def log_probabilities(vocabulary: Pieces, log_p: np.ndarray, words: list[str]) -
     return out
 
 
-def expected_counts(vocabulary: Pieces, log_p: np.ndarray, words: list[str], weights: np.ndarray) -> np.ndarray:
-    out = np.zeros(vocabulary.size)
+def expectation(vocabulary: Pieces, log_p: np.ndarray, words: list[str], weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """The expected number of each piece and byte in words that occur so many times, and the words' log probability."""
+    out, likelihood = np.zeros(vocabulary.size), 0.0
     for some, points in by_length(words):
-        out += Lattice(vocabulary, points, log_p).expected(weights[some])
-    return out
+        lattice = Lattice(vocabulary, points, log_p)
+        out += lattice.expected(weights[some])
+        likelihood += lattice.likelihood
+    return out, likelihood
+
+
+def expected_counts(vocabulary: Pieces, log_p: np.ndarray, words: list[str], weights: np.ndarray) -> np.ndarray:
+    return expectation(vocabulary, log_p, words, weights)[0]

@@ -1,9 +1,9 @@
 """Language-model scores of documents: a subword lattice's marginal likelihood, beside a smoothed word unigram.
 
 The pieces are an existing vocabulary's, and its scores (their ranks) the first estimate of their probabilities.  Under it
-all segmentations of the training words are weighed, and one step of expectation maximisation over the words' counts makes
-a unigram model of the corpus; the first estimate stays as the prior, with the weight of ``PRIOR_COUNT`` pieces.  Without
-the step (``steps=0``) the vocabulary's scores alone decide.  A document's
+all segmentations of the training words are weighed, and expectation maximisation over the words' counts, to rest, makes a
+unigram model of the corpus; the vocabulary's estimate stays as the prior, with the weight of ``PRIOR_COUNT`` pieces.  A
+step is one pass over distinct words.  Without any (``steps=0``) the vocabulary's scores alone decide.  A document's
 probability is that of all its words' segmentations and an end: pieces never cross words, so it is the product of the
 words' marginals, and each distinct word's lattice is run once.
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.common import documents, materialize, text_views
-from cardloom.llm.lattice import expected_counts, log_probabilities, pieces
+from cardloom.llm.lattice import expectation, log_probabilities, pieces
 from cardloom.llm.words import LOWERED, slices, word_hashes, word_spans
 
 BLOCK_BYTES = 4 << 20
@@ -42,6 +42,8 @@ FOLDS = 10
 MOST_TASKS = 100_000
 #: Weight of the prior against the corpus' expected counts.
 PRIOR_COUNT = 1000.0
+#: Steps end where the words' log probability grows by no more than this share, or after so many.
+REST, MOST_STEPS = 0.002, 12
 _BLOCKS = "block long, place int, word string, n_train long, doc_id long, held_out boolean, n_tokens long, places binary, numbers binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -118,33 +120,43 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _block(number, ids, np.concatenate(parts), np.array(ends))
 
 
-def _expectations(path: str):
+def _expectations(path: str, log_p: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(path)
-        log_p = np.log(vocabulary.prior)
-        total = np.zeros(vocabulary.size)
+        total, likelihood = np.zeros(vocabulary.size), 0.0
         for batch in batches:
-            total += expected_counts(vocabulary, log_p, batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
+            counts, own = expectation(vocabulary, log_p, batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
+            total += counts
+            likelihood += own
         there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["piece", "expected"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(total[there], likelihood))], ["piece", "expected"])
 
     return run
 
 
-def piece_model(counts: DataFrame, n_documents: int, path: str, steps: int = 1) -> tuple[np.ndarray, float]:
-    """Log probabilities of the vocabulary's pieces and bytes, and of the end, from the training words' counts; without a
-    step the counts only tell how often a document ends."""
+def piece_model(counts: DataFrame, n_documents: int, path: str, steps: int | None = None) -> tuple[np.ndarray, float]:
+    """Log probabilities of the vocabulary's pieces and bytes, and of the end, from the training words' counts. ``steps`` of
+    expectation maximisation, or as many as bring the words' log probability to rest; without one the counts only tell how
+    often a document ends."""
     vocabulary = pieces(path)
-    if not steps:
+    if steps == 0:
         words = counts.agg(F.sum("c")).first()[0] or 0
         ends = (n_documents + 1.0) / (n_documents + words + 1.0)
         return np.log(vocabulary.prior * (1 - ends)), math.log(ends)
-    summed = counts.filter("c > 0").select("word", "c").mapInArrow(_expectations(path), "piece long, expected double")
-    rows = summed.groupBy("piece").agg(F.sum("expected").alias("expected")).toPandas()  # as many rows as the vocabulary has pieces
-    expected = PRIOR_COUNT * vocabulary.prior
-    expected[rows["piece"].to_numpy(np.int64)] += rows["expected"].to_numpy()
-    ends = n_documents + 1.0
-    return np.log(expected / (expected.sum() + ends)), math.log(ends / (expected.sum() + ends))
+    prior, ends = PRIOR_COUNT * vocabulary.prior, n_documents + 1.0
+    log_p, total, before = np.log(vocabulary.prior), 0.0, -math.inf
+    for step in range(MOST_STEPS if steps is None else steps):
+        summed = counts.filter("c > 0").select("word", "c").mapInArrow(_expectations(path, log_p), "piece long, expected double")
+        rows = summed.groupBy("piece").agg(F.sum("expected").alias("expected")).toPandas()  # as many rows as the vocabulary has pieces
+        found = rows[rows["piece"] >= 0]
+        expected = prior.copy()
+        expected[found["piece"].to_numpy(np.int64)] += found["expected"].to_numpy()
+        likelihood = float(rows.loc[rows["piece"] < 0, "expected"].sum())
+        if steps is None and step and likelihood - before <= REST * abs(likelihood):
+            break  # the estimate that these words were weighed under is kept
+        total = float(expected.sum())
+        log_p, before = np.log(expected / total), likelihood
+    return log_p + math.log(total / (total + ends)), math.log(ends / (total + ends))
 
 
 def _word_scores(path: str, log_p: np.ndarray):
@@ -185,7 +197,7 @@ def _summed(low: float, training: int, end_score: float):
     return run
 
 
-def score_documents(docs: DataFrame, piece_model_path: str, steps: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, piece_model_path: str, steps: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     blocks = materialize(documents(docs).mapInArrow(_blocks, _BLOCKS), "blocks")
     words = blocks.filter(F.col("word").isNotNull()).select("block", "place", "word", "n_train")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.llm.chunk_encoding import DIGESTS, digests, encode_with_reuse
-from cardloom.llm.common import scratch_path
+from cardloom.llm.common import passing, scratch_path
 from cardloom.llm.exact_dedup import exact_groups, normalized
 from cardloom.llm.fill_middle import fill_in_middle, restore_texts
 from cardloom.llm.language_id import identify_languages, train
@@ -38,6 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "records")
     write_token_records(table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
+    passing(spark, path)
     return read_token_records(spark, path, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -133,7 +134,8 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP12_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents),
 s AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
 f AS (SELECT w, min({'d': doc_id, 'i': i}) AS p FROM s GROUP BY w HAVING count(*) > 1),
 g AS (SELECT DISTINCT s.doc_id, s.i + k AS i FROM s JOIN f USING (w), range(20) r(k) WHERE {'d': s.doc_id, 'i': s.i} > f.p),
