@@ -2,8 +2,9 @@
 
 Learned from a sample of labelled rows, chosen by a hash of doc_id and text: at most about ``SAMPLE_DOCS`` of them and, where their
 texts are long, as few as have about ``SAMPLE_BYTES`` of text together.  Every word and n-gram of the sample counts, however
-rare.  The two bounds are what bounds the model: it has at most one entry for each word and n-gram of so many bytes in each
-language that they occur in, some 20 bytes each, and is broadcast.  Counts are made in Spark.  Prediction is one scan.
+rare.  The two bounds are what bounds the model, which the driver gathers and broadcasts: a letter of the sample begins one
+n-gram of each order at most, and an entry has 22 bytes.  Of random letters the whole sample makes 5 million entries, 88 MB,
+and takes the driver's Python to 0.7 GB while it sorts them; of prose, 0.2 million.  Counts are made in Spark.  Prediction is one scan.
 
 Words are runs of letters (Unicode's categories L), lower-cased.  A word that no language knows backs off to the longest
 order of character n-grams (of the word between boundary marks) of which any is known, and the known ones' mean log
