@@ -254,6 +254,9 @@ def encode_with_reuse(docs: DataFrame, tokenizer: str, then: Callable = ids_and_
     once = owners.join(owned.hint("merge"), ["doc", *TEXT]).select("doc", "text", "prints")
     once = materialize(once.mapInArrow(_shared_encoder(tokenizer), "print binary, inner_ids binary, first int, last int"), "chunks")
     known = held.join(once.hint("merge"), "print").groupBy(*TEXT).agg(F.collect_list(F.struct("print", "inner_ids", "first", "last")).alias("known"))
+    # Keys made anew have a shuffle of their own, so that the rows of a text that very many documents have can be split.
+    again = [F.col(c).bitwiseOR(F.lit(0)).alias(c) for c in TEXT]
+    known = known.select(*again, "known")
     run = _document_encoder(tokenizer, then, kinds)
     joined = sharing.join(known.hint("merge"), list(TEXT), "left").select("doc_id", "text", "known").mapInArrow(run, _ddl(kinds))
     return alone.mapInArrow(_whole_encoder(tokenizer, then, kinds), _ddl(kinds)).unionByName(joined)
