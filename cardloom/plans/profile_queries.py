@@ -14,7 +14,7 @@ W = "WITH " + T.CATALOG_SQL
 
 
 FRAME, BORDER = ("2015", "2003", "1997", "1993", "future", "2015", "other"), ("black", "white", "borderless", "gold", "silver", "yellow", "black", "black")
-LAYOUT = ("transform", "modal_dfc", "adventure", "split", "flip", "saga", "class", "meld", "leveler", "case", "mutate", "prototype", "reversible_card", "host", "augment", "prepare", "battle")
+LAYOUT = (*S.LAYOUTS, "battle")
 #: An effect stands where the number is divisible by its divisor.
 EFFECT = {"legendary": 2, "showcase": 13, "extendedart": 17, "etched": 19, "inverted": 29, "snow": 31, "companion": 37, "enchantment": 41, "colorshifted": 43}
 
