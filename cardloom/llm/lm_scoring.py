@@ -197,8 +197,9 @@ def _summed(low: float, training: int, end_score: float):
     return run
 
 
-def score_documents(docs: DataFrame, piece_model_path: str, steps: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def score_documents(docs: DataFrame, piece_model_path: str, steps: int | None = 1) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10); with so many steps, or (None) as many as
+    bring the model to rest."""
     blocks = materialize(documents(docs).mapInArrow(_blocks, _BLOCKS), "blocks")
     words = blocks.filter(F.col("word").isNotNull()).select("block", "place", "word", "n_train")
     own = blocks.filter(F.col("n_tokens").isNotNull()).select("block", "doc_id", "held_out", "n_tokens", "places", "numbers")
