@@ -72,9 +72,11 @@ def rank_distribution(results: DataFrame) -> DataFrame:
     """Within each rank limit, exact and name counts and percentages; limit -1 counts what isn't among the hits at all."""
     limits = results.sparkSession.createDataFrame([(r,) for r in (-1, *RANKS)], "top int")
     inside = lambda c: F.when(F.col("top") == -1, F.col(c) == -1).otherwise((F.col(c) > 0) & (F.col(c) <= F.col("top")))
-    rows = results.select("exact_rank", "name_rank").join(F.broadcast(limits))
-    pct = lambda c: F.round(100 * F.count_if(inside(c)) / F.count("*"), 4)
-    return rows.groupBy("top").agg(F.count_if(inside("exact_rank")).alias("exacts"), F.count_if(inside("name_rank")).alias("names"), pct("exact_rank").alias("exact_pct"), pct("name_rank").alias("name_pct"))
+    pairs = results.groupBy("exact_rank", "name_rank").agg(F.count("*").alias("n"))  # as few as there are ranks
+    rows = pairs.join(F.broadcast(limits))
+    hits = lambda c: F.coalesce(F.sum(F.when(inside(c), F.col("n"))), F.lit(0))
+    pct = lambda c: F.round(100 * hits(c) / F.sum("n"), 4)
+    return rows.groupBy("top").agg(hits("exact_rank").alias("exacts"), hits("name_rank").alias("names"), pct("exact_rank").alias("exact_pct"), pct("name_rank").alias("name_pct"))
 
 
 def breakdown(results: DataFrame, dimensions=DIMENSIONS) -> DataFrame:

@@ -8,8 +8,9 @@ from cardloom.functions import vectors as V
 from cardloom.operators import evaluate as E
 from cardloom.operators import vectors as O
 from cardloom.plans import tables as T
-from cardloom.plans.registry import query
-from cardloom.sources.shared import new_path, passing
+from cardloom.plans.registry import SQL, query
+from cardloom.sources.shared import new_path, passing, scratch
+from cardloom.sources.snapshots import read_snapshot, write_snapshot
 
 H = "WITH " + T.VECTORS_SQL
 R = "WITH " + T.RESULTS_SQL
@@ -334,6 +335,18 @@ def append_index(spark, sf):
     return O.append_index(O.numbered(rows.filter("part = 'old'"), "vec_id"), rows.filter("part = 'new'"), "vec_id").select("vec_id", "part", "pos")
 
 
+@query("append_index_snapshot", SQL["append_index"])
+def append_index_snapshot(spark, sf):
+    """The same between two snapshots of a stored index: readers see the old positions or all of the new ones."""
+    rows = T.index(spark, sf).select(F.col("pos").alias("vec_id"), F.when(F.col("pos") % 2 == 0, "old").otherwise("new").alias("part"))
+    path = new_path(spark, "index")
+    with scratch(spark, "append"):
+        first = write_snapshot(O.numbered(rows.filter("part = 'old'"), "vec_id"), path, None)
+        write_snapshot(O.append_index(read_snapshot(spark, path), rows.filter("part = 'new'"), "vec_id"), path, first.number)
+    passing(spark, path)
+    return read_snapshot(spark, path).select("vec_id", "part", "pos")
+
+
 def _double():
     def predict(inputs):
         return inputs * 2.0
