@@ -9,7 +9,7 @@ from cardloom.operators import evaluate as E
 from cardloom.operators import vectors as O
 from cardloom.plans import tables as T
 from cardloom.plans.registry import SQL, query
-from cardloom.sources.shared import new_path, passing, scratch
+from cardloom.sources.shared import made_once, new_path, passing, scratch
 from cardloom.sources.snapshots import read_snapshot, write_snapshot
 
 H = "WITH " + T.VECTORS_SQL
@@ -26,17 +26,9 @@ def topk(spark, sf):
     return O.topk(T.queries(spark, sf), T.index(spark, sf), 5).select("query_id", "rank", "pos", *r4("score"))
 
 
-_BLOCKED: dict[tuple[str, str], str] = {}
-
-
 def blocked_index(spark, sf):
     """The vectors in blocks, which the application builds once."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _BLOCKED:
-        path = new_path(spark, "blocked")
-        O.block_index(T.index(spark, sf), path)
-        _BLOCKED[key] = passing(spark, path)
-    return O.open_blocked_index(spark, _BLOCKED[key])
+    return O.open_blocked_index(spark, made_once(spark, "blocked", (sf,), lambda path: O.block_index(T.index(spark, sf), path)))
 
 
 @query("topk_pruned", H + "SELECT query_id, rank, pos, round(score, 4) AS score FROM hits WHERE mode = 'base' AND rank <= 5")

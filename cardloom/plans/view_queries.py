@@ -11,7 +11,7 @@ from cardloom.operators import views as V
 from cardloom.operators.vectors import places
 from cardloom.plans import tables as T
 from cardloom.plans.registry import query
-from cardloom.sources.shared import kept, new_path, passing
+from cardloom.sources.shared import kept, made_once
 
 CARDS = "WITH " + T.LIBRARY_SQL + ", " + T.CATALOG_SQL + """, cards AS (SELECT h.*, c.artist, c.type_line, c.rarity, c.set_name, c.colors, c.mana_value, c.released_at, h.photo IS NOT NULL AS has_photo
   FROM held h LEFT JOIN cat c ON c.scryfall_id = h.scryfall_id)"""
@@ -173,17 +173,9 @@ def searches(spark, sf):
     return names.unionByName(cat.select((F.col("pos") + 1000000).alias("query_id"), F.concat("set_code", F.lit(" "), "collector_number").alias("query")))
 
 
-_INDEXES: dict[tuple[str, str, str], str] = {}
-
-
 def name_index(spark, sf, kind="plain", catalog=T.catalog):
     """The index of a catalogue, which the application builds once."""
-    key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _INDEXES:
-        path = new_path(spark, "names")
-        S.build_name_index(catalog(spark, sf), path)
-        _INDEXES[key] = passing(spark, path)
-    return S.open_name_index(spark, _INDEXES[key])
+    return S.open_name_index(spark, made_once(spark, "names", (sf, kind), lambda path: S.build_name_index(catalog(spark, sf), path)))
 
 
 @query("name_search", "WITH " + T.CATALOG_SQL + FOUND + " SELECT query_id, place, pos FROM z WHERE place <= 50")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from weakref import WeakKeyDictionary
@@ -48,6 +48,24 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(place, True)
 
 
+#: Folders of tables that are made once per application, by what they were made of.
+_MADE: dict[tuple, str] = {}
+
+
+def made_once(spark: SparkSession, name: str, key: tuple, make: Callable[[str], object]) -> str:
+    """The folder that ``make`` has filled for this key in this application; it is filled again if it is gone."""
+    key = (spark.sparkContext.applicationId, name, *key)
+    path = _MADE.get(key)
+    if path is not None:
+        place, store = _place(spark, path)
+        if store.exists(place):
+            return path
+    path = f"{shared_dir(spark)}/cardloom-{name}-{uuid.uuid4().hex}"
+    make(path)
+    _MADE[key] = passing(spark, path)
+    return path
+
+
 def passing(spark: SparkSession, path: str) -> str:
     """Marks a folder that is there as one that goes when the application ends, if not before."""
     place, store = _place(spark, path)

@@ -286,6 +286,21 @@ def test_scratch_holds_only_results(spark, tmp_path):
     assert set(os.listdir(base)) == before
 
 
+def test_a_table_is_made_once_and_again_if_it_is_gone(spark):
+    made = []
+
+    def make(path):
+        made.append(path)
+        spark.range(2).write.parquet(path)
+
+    first = shared.made_once(spark, "thing", ("k",), make)
+    assert shared.made_once(spark, "thing", ("k",), make) == first and len(made) == 1
+    assert shared.made_once(spark, "thing", ("other",), make) != first
+    shared.delete(spark, first)
+    again = shared.made_once(spark, "thing", ("k",), make)
+    assert again != first and spark.read.parquet(again).count() == 2 and len(made) == 3
+
+
 # --- pruned search
 
 
