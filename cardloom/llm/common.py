@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -128,6 +129,14 @@ def lower_ascii(column) -> "F.Column":
     return F.translate(column, UPPER, LOWER)
 
 
+def release() -> None:
+    """Gives the memory that a worker has freed back to the system: workers live on, and their next task is of another kind."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def text_views(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """A batch's texts as one byte array and the n + 1 places where they begin and end, without copies. Nulls are empty."""
     column = batch.column(batch.schema.get_field_index(name))

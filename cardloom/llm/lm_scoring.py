@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import documents, materialize, text_views
+from cardloom.llm.common import documents, materialize, release, text_views
 from cardloom.llm.lattice import expectation, log_probabilities, pieces
 from cardloom.llm.words import LOWERED, slices, word_hashes, word_spans
 
@@ -118,6 +118,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number, ids, parts, size, ends = number + 1, [], [], 0, [0]
     if ids:
         yield from _block(number, ids, np.concatenate(parts), np.array(ends))
+    del ids, parts, ends
+    release()
 
 
 def _expectations(path: str, log_p: np.ndarray):
@@ -128,6 +130,7 @@ def _expectations(path: str, log_p: np.ndarray):
             counts, own = expectation(vocabulary, log_p, batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
             total += counts
             likelihood += own
+        release()
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(total[there], likelihood))], ["piece", "expected"])
 
@@ -165,6 +168,7 @@ def _word_scores(path: str, log_p: np.ndarray):
         for batch in batches:
             score = log_probabilities(vocabulary, log_p, batch.column(0).to_pylist()) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["word", "c", "lattice"])
+        release()
 
     return run
 
