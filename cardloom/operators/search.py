@@ -73,7 +73,10 @@ def _by_name(asked: DataFrame, index: NameIndex) -> DataFrame:
     wanted = asked.select("query_id", "q", F.explode(F.when(F.length("q") > 2, _grams(F.col("q"), 3)).otherwise(F.array("q"))).alias("gram"))
     often = wanted.join(index.counts, "gram", "left")
     rarest = often.groupBy("query_id", "q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    hits = rarest.join(index.postings, "gram").select("query_id", "q", F.explode("positions").alias("pos"))
+    # What is looked at next is far more than these few rows, so they are dealt to all tasks, one query's chunks too.
+    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = rarest.join(index.postings, "gram").select("query_id", "q", "chunk", "positions").repartition(n, "query_id", "chunk")
+    hits = lists.select("query_id", "q", F.explode("positions").alias("pos"))
     named = hits.join(index.names.select("pos", "scryfall_id", "lower", "sorted"), "pos").filter(F.contains("lower", F.col("q")))
     return named.select("query_id", "scryfall_id", "pos", search_rank(F.col("lower"), F.col("q")).alias("match"), "sorted")
 
@@ -81,8 +84,9 @@ def _by_name(asked: DataFrame, index: NameIndex) -> DataFrame:
 def _found(queries: DataFrame, index: NameIndex) -> DataFrame:
     asked = _asked(queries)
     number = _by_number(asked, index)
-    names = _by_name(asked, index).join(number.select("query_id", "scryfall_id"), ["query_id", "scryfall_id"], "left_anti")
-    return number.unionByName(names)
+    # Only queries that name a set and number can have found a row by these already; hits of the others aren't compared.
+    coded = _by_name(asked.filter("sn is not null"), index).join(number.select("query_id", "scryfall_id"), ["query_id", "scryfall_id"], "left_anti")
+    return number.unionByName(coded).unionByName(_by_name(asked.filter("sn is null"), index))
 
 
 def search_names(queries: DataFrame, index: NameIndex, limit: int = LIMIT) -> DataFrame:

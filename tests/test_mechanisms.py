@@ -207,7 +207,7 @@ def test_search_over_a_stored_index(spark, tmp_path):
         assert got.get(i, []) == ([p for _, p in sorted(first.values())] + [h[2] for h in hits])[:20]
     # The plan of a query reads postings, and makes no runs of the catalogue's names.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Generate explode") == 2 and "positions" in plan and "substring(lower" not in plan
+    assert plan.count("Generate explode") == 4 and "positions" in plan and "substring(lower" not in plan
     assert {x.query_id: x.n for x in search.count_found(queries, index).collect()} == {x.query_id: x.n for x in search.search_names(queries, index, 10_000).groupBy("query_id").agg(F.count("*").alias("n")).collect()}
 
 
