@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.operators import catalog
+from cardloom.operators import catalog, search
 
 
 def plan_of(df) -> str:
@@ -28,3 +28,19 @@ def test_printings_are_ranked_before_they_meet(spark):
     assert used(found) > 1
     above = plan_of(found).split("Join Inner")[0]
     assert "Window" not in above and "Aggregate" not in above
+
+
+def test_queries_of_one_text_are_looked_for_once(spark, tmp_path, monkeypatch):
+    rows = [(p, f"s{p}", n, "neo", str(p), None) for p, n in enumerate(["Bolt", "Firebolt", "Bolt Bend", "Elf"])]
+    index = search.build_name_index(spark.createDataFrame(rows, "pos long, scryfall_id string, name string, set_code string, collector_number string, lang string"), f"file://{tmp_path}/index")
+    queries = spark.createDataFrame([(k, ["bolt", " BOLT", "neo 3", "zz"][k % 4]) for k in range(400)], "query_id long, query string")
+    looked_for = []
+    whole = search._found
+    monkeypatch.setattr(search, "_found", lambda texts, held: looked_for.append(texts) or whole(texts, held))
+    got = {}
+    for r in search.search_names(queries, index).collect():
+        got.setdefault(r.query_id, []).append((r.place, r.pos))
+    want = [[(1, 0), (2, 2), (3, 1)]] * 2 + [[(1, 3)]]
+    assert {k: sorted(v) for k, v in got.items()} == {k: want[k % 4] for k in range(400) if k % 4 < 3}
+    assert {r.query_id: r.n for r in search.count_found(queries, index).collect()} == {k: len(v) for k, v in got.items()}
+    assert [t.count() for t in looked_for] == [3, 3]
