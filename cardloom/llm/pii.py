@@ -9,7 +9,8 @@ candidates each family gets the least threshold at which ``PRECISION`` of what i
 such a threshold adds nothing.  Selected spans that overlap no base span and no earlier selected one are added.
 
 One scan finds all spans; only spans, not texts, are shuffled.  Candidates meet the base spans that they overlap by blocks of
-the text, not each with each.  The trees are fitted on at most about ``SAMPLE`` candidates, chosen by hash.
+the text, not each with each.  The trees learn from all candidates outside the held-out fifth, and the thresholds from all
+inside it; candidates are few beside texts, and a pass over them is one of Spark's own.
 
 Null texts are empty and have no spans; an empty table gives no rows; rows that repeat get the same spans each; other
 columns are not read. Very long texts, and texts of nothing but matches, take time in proportion to their length: what a
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from cardloom.llm.common import documents, flagged, materialize, row_key
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 40_000
 PRECISION = 0.9
 #: Held-out candidates that a threshold must select for its precision to count.
 LEAST_HELD = 20
@@ -204,18 +204,17 @@ def candidates(found: DataFrame) -> DataFrame:
 
 def _selected(rows: DataFrame) -> DataFrame | None:
     """The candidates that the trees select; None where there is nothing to learn from."""
-    part = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 20))
     n, positive = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or not positive or positive == n:
         return None
     assembled = VectorAssembler(inputCols=[f"f_{x}" for x in FEATURES], outputCol="features").transform(rows)
-    sample = assembled.filter(part < int(min(1.0, SAMPLE / n) * (1 << 20))).withColumn("fold", F.pmod(F.xxhash64("key", F.lit(4)), F.lit(5)))
-    learned = sample.filter("fold > 0")
+    parts = assembled.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(4)), F.lit(5)))
+    learned = parts.filter("fold > 0")
     if learned.agg(F.countDistinct("label")).first()[0] < 2:
         return None
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=5).fit(learned.select("features", "label"))
     score = vector_to_array("probability")[1]
-    held = model.transform(sample.filter("fold = 0")).groupBy("family", F.floor(score * 100).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("good"))
+    held = model.transform(parts.filter("fold = 0")).groupBy("family", F.floor(score * 100).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("good"))
     bins: dict[str, dict[int, tuple[int, float]]] = {}
     for family, b, count, good in held.collect():  # at most 101 bins a family
         bins.setdefault(family, {})[b] = (count, good)
