@@ -15,8 +15,9 @@ from cardloom.llm.common import discard, materialize
 
 def _least(pairs: DataFrame) -> DataFrame:
     """x and its smallest y. The key is computed anew, so that it is shuffled anew in a join, where both sides of a plain
-    shuffle can be split if one node has very many neighbours."""
-    return pairs.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").bitwiseOR(F.lit(0)).alias("x"), F.least("x", "m").alias("m"))
+    shuffle can be split if one node has very many neighbours. Merged: rounds are many, and a broadcast for each join of
+    each would pile up in the driver."""
+    return pairs.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").bitwiseOR(F.lit(0)).alias("x"), F.least("x", "m").alias("m")).hint("merge")
 
 
 def _round(edges: DataFrame) -> DataFrame:

@@ -156,17 +156,17 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame
     """Of pairs (pivot, id) of classes, the links (a, b). reps (id, row) and texts (row, text): only texts of documents in
     pairs are shuffled (and a few others)."""
     ids = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
-    wanted = materialize(ids.join(reps, "id").select("id", "row"), "wanted")
+    wanted = materialize(ids.join(reps.hint("merge"), "id").select("id", "row"), "wanted")
     some = with_filter(texts, bit_filter(wanted, "row"), "row", flag="_in").filter("_in")
     # Rows that repeat are one text, and meet before the shuffle.
-    some = wanted.join(some.select("row", "text").dropDuplicates(["row"]), "row").select("id", "text")
+    some = wanted.join(some.select("row", "text").dropDuplicates(["row"]).hint("merge"), "row").select("id", "text")
     size = pairs.groupBy("pivot").agg(F.count("*").alias("n")).select(F.col("pivot").bitwiseOR(F.lit(0)).alias("pivot"), "n")
     salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / RUN)).cast("int")
-    salted = materialize(pairs.join(size, "pivot").select("pivot", salt.alias("salt"), "id"), "salted")
+    salted = materialize(pairs.join(size.hint("merge"), "pivot").select("pivot", salt.alias("salt"), "id"), "salted")
     members = salted.select("pivot", "salt", F.lit(1).alias("role"), "id")
     heads = salted.select("pivot", "salt").distinct().select("pivot", "salt", F.lit(0).alias("role"), F.col("pivot").bitwiseOR(F.lit(0)).alias("id"))
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = members.unionByName(heads).join(some, "id").repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
+    runs = members.unionByName(heads).join(some.hint("merge"), "id").repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
     links = materialize(runs.mapInArrow(_confirm, "a long, b long").distinct(), "links")
     discard(salted, wanted)
     return links
@@ -180,7 +180,7 @@ def _by_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Of pairs (pivot, id), those whose sketches leave the similarity possible."""
     one = sketches.select(F.col("id").alias("pivot"), F.col("sketch").alias("x"))
     two = sketches.select("id", F.col("sketch").alias("y"))
-    return pairs.join(one, "pivot").join(two, "id").filter(_differing_bits("x", "y") <= SKETCH_LIMIT).select("pivot", "id").distinct()
+    return pairs.join(one.hint("merge"), "pivot").join(two.hint("merge"), "id").filter(_differing_bits("x", "y") <= SKETCH_LIMIT).select("pivot", "id").distinct()
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -255,13 +255,13 @@ def _tile(beyond: int) -> Callable[[pa.Table], pa.Table]:
 def _open_pairs(rows: DataFrame, known: DataFrame, sketches: DataFrame, beyond: int) -> DataFrame:
     """rows (key, id) to (key, pivot, id, more): pairs of one bucket in different components. The members outside a
     bucket's largest component (n of m) meet all: n * m / TILE rows each way, and no more pairs than those."""
-    held = rows.join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    held = rows.join(known.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     held = materialize(held.select("key", "id", "comp"), "held")
     sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
     tiles = lambda n: F.ceil(n / TILE).cast("int")
     buckets = buckets.select(F.col("key").bitwiseOR(F.lit(0)).alias("key"), F.col("top.comp").alias("largest"), tiles(F.col("m") - F.col("top.n")).alias("down"), tiles(F.col("m")).alias("across"))
-    dealt = held.join(buckets, "key").withColumn("minor", F.col("comp") != F.col("largest")).join(sketches, "id")
+    dealt = held.join(buckets.hint("merge"), "key").withColumn("minor", F.col("comp") != F.col("largest")).join(sketches.hint("merge"), "id")
     places = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     as_one = F.transform(places("across"), lambda j: F.struct(place("down").alias("i"), j.alias("j"), F.lit(0).alias("side")))
@@ -281,19 +281,21 @@ def _components(rows: DataFrame, sketches: DataFrame, reps: DataFrame, texts: Da
     rows = rows.select("key", "id")
     for turn in count():
         found = _open_pairs(rows, known, sketches, 0 if turn == 0 else 1 << turn)
-        fresh = materialize(found.select("pivot", "id").distinct().join(tried, ["pivot", "id"], "left_anti"), "tried")
+        fresh = materialize(found.select("pivot", "id").distinct().join(tried.hint("merge"), ["pivot", "id"], "left_anti"), "tried")
         new = _confirmed(fresh, reps, texts)
-        stars = known.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        merged = materialize(components(stars.unionByName(new)), "components")
-        discard(known)
-        known, tried = merged, tried.unionByName(fresh)
+        tried = tried.unionByName(fresh)
+        if not new.isEmpty():  # else the components are what they were
+            stars = known.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            merged = materialize(components(stars.unionByName(new)), "components")
+            discard(known)
+            known = merged
         # Only where pairs are left, and one that a forest rests on isn't a link, can there be more to find.
-        failed = found.filter("more").join(new.select(F.col("a").alias("pivot"), F.col("b").alias("id")), ["pivot", "id"], "left_anti")
+        failed = found.filter("more").join(new.select(F.col("a").alias("pivot"), F.col("b").alias("id")).hint("merge"), ["pivot", "id"], "left_anti")
         failed = materialize(failed.select(F.col("key").bitwiseOR(F.lit(0)).alias("key")).distinct(), "failed")
         discard(found)
         if failed.isEmpty():
             return known
-        rows = rows.join(failed, "key", "left_semi")
+        rows = rows.join(failed.hint("merge"), "key", "left_semi")
     raise AssertionError
 
 
@@ -306,29 +308,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = own.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     shared = classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("of"))
     hashed = -F.pmod(F.xxhash64("content"), F.lit(1 << 62)) - 1
-    classes = classes.join(shared, F.col("doc_id") == F.col("of"), "left")
+    classes = classes.join(shared.hint("merge"), F.col("doc_id") == F.col("of"), "left")
     classes = materialize(classes.select("content", "doc_id", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(hashed).alias("id")), "classes")
-    reps = own.join(classes, ["content", "doc_id"]).dropDuplicates(["content", "doc_id"])
+    reps = own.join(classes.hint("merge"), ["content", "doc_id"]).dropDuplicates(["content", "doc_id"])
     reps = materialize(reps.select("id", "row", "n_shingles", "bands", "sketch", "parity"), "classes-signed")
     sketches = reps.select("id", "n_shingles", "sketch", "parity")
     # The pivot of a bucket is the member with most others in all its buckets.
     rows = reps.select(F.explode("bands").alias("key"), "id")
     buckets = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("key").bitwiseOR(F.lit(0)).alias("key"), "m")
-    met = materialize(rows.join(buckets, "key"), "met")
+    met = materialize(rows.join(buckets.hint("merge"), "key"), "met")
     weights = met.groupBy("id").agg(F.sum("m").alias("w")).select(F.col("id").bitwiseOR(F.lit(0)).alias("id"), "w")
-    pivots = met.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("pivot"))
-    rows = materialize(met.select("key", "id").join(pivots.select(F.col("key").bitwiseOR(F.lit(0)).alias("key"), "pivot"), "key"), "buckets")
+    pivots = met.join(weights.hint("merge"), "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("pivot"))
+    rows = materialize(met.select("key", "id").join(pivots.select(F.col("key").bitwiseOR(F.lit(0)).alias("key"), "pivot").hint("merge"), "key"), "buckets")
     discard(met)
     known = _components(rows, sketches, reps.select("id", "row"), texts.filter(F.col("doc_id").isNotNull()).select("row", "text"))
-    named = known.join(classes.select(F.col("id").alias("node"), "doc_id"), "node")
+    named = known.join(classes.select(F.col("id").alias("node"), "doc_id").hint("merge"), "node")
     tops = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("top")).select(F.col("component").bitwiseOR(F.lit(0)).alias("component"), "top")
-    tops = known.join(tops, "component").select(F.col("node").bitwiseOR(F.lit(0)).alias("id"), "top")
-    found = classes.join(tops, "id", "left").select(
+    tops = known.join(tops.hint("merge"), "component").select(F.col("node").bitwiseOR(F.lit(0)).alias("id"), "top")
+    found = classes.join(tops.hint("merge"), "id", "left").select(
         F.concat("content", F.lit(b"")).alias("at"), F.coalesce("top.doc_id", "doc_id").alias("component_id"), F.coalesce(F.col("top.node") == F.col("id"), F.lit(True)).alias("first")
     )
     # Rows without a class have a place of their own, so that they don't meet in one task.
     held = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = signed.withColumn("at", F.when(held, F.col("content")).otherwise(F.encode("row", "utf-8"))).join(found, "at", "left")
+    out = signed.withColumn("at", F.when(held, F.col("content")).otherwise(F.encode("row", "utf-8"))).join(found.hint("merge"), "at", "left")
     component = F.coalesce("component_id", "doc_id")
     kept = F.col("doc_id").eqNullSafe(component) & F.coalesce("first", F.lit(True))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "row")
