@@ -10,7 +10,9 @@ such a threshold adds nothing.  Selected spans that overlap no base span and no
 
 One scan finds all spans; only spans, not texts, are shuffled.  Candidates meet the base spans that they overlap by blocks of
 the text, not each with each.  The trees learn from all candidates outside the held-out fifth, and the thresholds from all
-inside it; candidates are few beside texts, and a pass over them is one of Spark's own.
+inside it; candidates are few beside texts, and a pass over them is one of Spark's own.  Where a tree may split a feature is
+fixed beforehand (``SPLITS``), each place being a feature of its own that is 0 or 1: for numbers MLlib would choose places
+from a sample of the rows.
 
 Null texts are empty and have no spans; an empty table gives no rows; rows that repeat get the same spans each; other
 columns are not read. Very long texts, and texts of nothing but matches, take time in proportion to their length: what a
@@ -23,8 +25,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,10 @@ FEATURES = (
     "spelled", "number", "token", "length", "digits", "letters", "upper", "separators", "groups", "dots", "plus", "parens", "at", "distinct",
     "before_letter", "before_space", "before_quote", "before_equals", "after_letter", "after_space", "after_quote", "after_end",
 )
+_SHARES = tuple(k / 32 for k in range(1, 32))
+_LENGTHS = (8, 10, 12, 14, 16, 18, 20, 22, 24, 26, 28, 30, 32, 34, 36, 38, 40, 44, 48, 52, 56, 60, 64, 80, 96, 128, 192, 256, 512, 1024)
+#: A feature lies above one of these, or doesn't; features that aren't named are 0 or 1 by themselves.
+SPLITS = {"length": _LENGTHS, "groups": tuple(range(1, 17)), "dots": tuple(range(8)), **dict.fromkeys(("digits", "letters", "upper", "separators", "distinct"), _SHARES)}
 
 
 def _octets(hit: Column) -> Column:
@@ -202,12 +207,22 @@ def candidates(found: DataFrame) -> DataFrame:
     return rows.select("key", "start", "end", "family", "hit", touched.alias("touched"), label.cast("double").alias("label"), *[values[n].cast("double").alias(f"f_{n}") for n in FEATURES])
 
 
+def with_features(rows: DataFrame) -> DataFrame:
+    """Adds the vector ``features``: for each feature and each place where it may be split, whether it lies above. Marked
+    as binary, so that MLlib has no places to choose."""
+    above = lambda x: F.transform(F.array(*[F.lit(float(t)) for t in SPLITS.get(x, (0.5,))]), lambda t: (F.col(f"f_{x}") > t).cast("double"))
+    names = [f"{x}>{t:g}" for x in FEATURES for t in SPLITS.get(x, (0.5,))]
+    marks = {"ml_attr": {"attrs": {"binary": [{"idx": i, "name": n} for i, n in enumerate(names)]}, "num_attrs": len(names)}}
+    vector = array_to_vector(F.concat(*[above(x) for x in FEATURES]))
+    return rows.select("*", vector.alias("features", metadata=marks))
+
+
 def _selected(rows: DataFrame) -> DataFrame | None:
     """The candidates that the trees select; None where there is nothing to learn from."""
     n, positive = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or not positive or positive == n:
         return None
-    assembled = VectorAssembler(inputCols=[f"f_{x}" for x in FEATURES], outputCol="features").transform(rows)
+    assembled = with_features(rows)
     parts = assembled.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(4)), F.lit(5)))
     learned = parts.filter("fold > 0")
     if learned.agg(F.countDistinct("label")).first()[0] < 2:

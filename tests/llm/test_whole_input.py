@@ -30,3 +30,18 @@ def test_trees_learn_from_every_candidate(spark, monkeypatch):
     with pytest.raises(Stop):
         pii._selected(rows)
     assert seen == [rows.filter(F.pmod(F.xxhash64("key", F.lit(4)), F.lit(5)) > 0).count()]
+
+
+def test_places_of_splits_are_fixed(spark):
+    """One row in 60,000 differs in its length; MLlib would choose places from some 10,000 rows, if it had any to choose."""
+    from pyspark.ml.classification import GBTClassifier
+
+    odd = F.col("id") == 12_345
+    values = {x: F.lit(0.0) for x in pii.FEATURES} | {"length": F.when(odd, 50.0).otherwise(20.0)}
+    rows = spark.range(60_000).select(odd.cast("double").alias("label"), *[v.alias(f"f_{x}") for x, v in values.items()])
+    featured = pii.with_features(rows)
+    attrs = featured.schema["features"].metadata["ml_attr"]
+    assert set(attrs["attrs"]) == {"binary"} and attrs["num_attrs"] == len(featured.first()["features"])
+    model = GBTClassifier(maxIter=1, maxDepth=1, seed=7).fit(featured.select("features", "label"))
+    found = model.transform(featured).filter("prediction = 1").select("label").collect()
+    assert [x.label for x in found] == [1.0]
