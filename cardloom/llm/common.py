@@ -168,3 +168,15 @@ def with_filter(df: DataFrame, held: DataFrame, *key, flag: str, bits: int = FIL
     joined = df.withColumns({"_bit": bit, "_bucket": F.bitmap_bucket_number(place)}).join(F.broadcast(held.withColumnRenamed("bucket", "_bucket")), "_bucket", "left")
     hit = F.coalesce(byte.bitwiseAND(F.expr("int(shiftleft(1, int(_bit % 8)))")) != 0, F.lit(False))
     return joined.withColumn(flag, hit).drop("_bit", "_bucket", "bitmap")
+
+
+def in_filter(keys: DataFrame, *key, bits: int = FILTER_BITS) -> Column:
+    """For rows of any table: whether their key is among ``keys`` (and for a few others). The filter, 2 MB whatever its
+    number of keys, is one value that the plan asks for, so no row is joined."""
+    rows = bit_filter(keys, *key, bits=bits).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("of"))
+    held = rows.select(F.transform(F.sequence(F.lit(0), F.lit(bits // 32768)), lambda b: F.element_at("of", b)).alias("rows"))
+    place = F.pmod(F.xxhash64(*key), F.lit(bits))
+    bit = F.bitmap_bit_position(place)
+    byte = F.substring(F.get(held.scalar(), F.bitmap_bucket_number(place).cast("int")), F.floor(bit / 8).cast("int") + 1, F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    return F.coalesce(F.pmod(F.floor(value / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1, F.lit(False))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import bit_filter, discard, documents, materialize, text_views, with_filter
+from cardloom.llm.common import bit_filter, discard, documents, in_filter, materialize, text_views, with_filter
 from cardloom.llm.words import mix, random_numbers, slices, word_hashes, word_spans
 
 WINDOW, GRAM = 20, 10
@@ -286,7 +286,8 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     found = texts.mapInArrow(_segments(window, gram, held), "anchor long, words string, doc_id long, row long, start int, n int")
     found = materialize(found, "segments")
     many = found.select("anchor", F.xxhash64("words").alias("h")).distinct().groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
-    found = with_filter(found, bit_filter(many, "anchor"), "anchor", flag="cut")
+    many = materialize(many.select("anchor"), "hot")
+    found = found.withColumn("cut", in_filter(many, "anchor"))
     parts = F.split("words", " ")
     single = F.transform(F.sequence(F.lit(0), F.col("n") - window), lambda k: F.struct(F.array_join(F.slice(parts, k + 1, window), " ").alias("words"), k.alias("k")))
     whole = found.filter("not cut").select(F.col("anchor").alias("grp"), "words", "doc_id", "row", "start", "n")
@@ -304,7 +305,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     met = every.select("grp", F.xxhash64("words").alias("h"), "doc_id", "row", "start", "n").join(judged.hint("merge"), ["grp", "h"])
     gone = met.select("doc_id", "row", F.explode(F.when(first, here).otherwise(all_)).alias("span"))
     spans = materialize(gone.groupBy("doc_id", "row").agg(F.collect_set("span").alias("spans")), "spans")
-    discard(found, judged)
+    discard(found, judged, many)
     return spans
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.llm import pii
+from cardloom.llm import common, pii
 
 
 def test_trees_learn_from_every_candidate(spark, monkeypatch):
@@ -45,3 +45,13 @@ def test_places_of_splits_are_fixed(spark):
     model = GBTClassifier(maxIter=1, maxDepth=1, seed=7).fit(featured.select("features", "label"))
     found = model.transform(featured).filter("prediction = 1").select("label").collect()
     assert [x.label for x in found] == [1.0]
+
+
+def test_a_filter_is_asked_without_a_join(spark):
+    rows = spark.range(20_000).select((F.col("id") * 7919).alias("k"))
+    for n in (0, 1, 3000):
+        keys = rows.filter(F.col("k") < 7919 * n)
+        asked = rows.withColumn("in", common.in_filter(keys, "k"))
+        joined = common.with_filter(rows, common.bit_filter(keys, "k"), "k", flag="in")
+        assert sorted(asked.filter("in").collect()) == sorted(joined.filter("in").collect())
+        assert "Join" not in asked._jdf.queryExecution().optimizedPlan().toString()
