@@ -45,7 +45,7 @@ def topk_batch(spark, sf):
 
 @query("query_x_index", H + "SELECT query_id, count(*) AS n, round(avg(score), 4) AS mean_score FROM scored WHERE mode = 'base' GROUP BY query_id")
 def query_x_index(spark, sf):
-    every = O.topk(T.queries(spark, sf), T.index(spark, sf), 1 << 30)
+    every = O.every_score(T.queries(spark, sf), T.index(spark, sf))
     return every.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.operators import catalog, search
+from cardloom.operators import catalog, search, vectors
 
 
 def plan_of(df) -> str:
@@ -44,3 +44,12 @@ def test_queries_of_one_text_are_looked_for_once(spark, tmp_path, monkeypatch):
     assert {k: sorted(v) for k, v in got.items()} == {k: want[k % 4] for k in range(400) if k % 4 < 3}
     assert {r.query_id: r.n for r in search.count_found(queries, index).collect()} == {k: len(v) for k, v in got.items()}
     assert [t.count() for t in looked_for] == [3, 3]
+
+
+def test_every_score_is_not_ranked(spark):
+    index = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(50)], "pos long, embedding array<float>")
+    queries = index.filter("pos % 10 = 0").select(F.col("pos").alias("query_id"), "embedding")
+    found = vectors.every_score(queries, index)
+    assert "Window" not in plan_of(found)
+    got = sorted((r.query_id, r.pos, r.score) for r in found.collect())
+    assert got == sorted((q, p, (q % 7) * (p % 7) + 1.0) for q in range(0, 50, 10) for p in range(50))
