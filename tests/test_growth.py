@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.operators import catalog, search, vectors
+from cardloom.operators import catalog, library, search, vectors
 
 
 def plan_of(df) -> str:
@@ -53,3 +53,12 @@ def test_every_score_is_not_ranked(spark):
     assert "Window" not in plan_of(found)
     got = sorted((r.query_id, r.pos, r.score) for r in found.collect())
     assert got == sorted((q, p, (q % 7) * (p % 7) + 1.0) for q in range(0, 50, 10) for p in range(50))
+
+
+def test_inserts_make_their_library_once(spark):
+    """What the library and the cards are made of is read for each of them once; the result reads tables that are kept."""
+    made = spark.range(20).filter("id >= 0")
+    rows = made.select(F.col("id").cast("string").alias("card_id"), F.concat(F.lit("p"), F.col("id") % 15).alias("scryfall_id"), *[F.lit("x").alias(c) for c in ("name", "set_code", "collector_number")], F.lit(False).alias("foil"), F.lit(1).cast("long").alias("count"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"), F.col("id").alias("ord"), F.lit("y").alias("photo"))
+    out = library.insert_cards(rows.filter("ord < 5"), rows.filter("ord >= 5"))
+    assert "Range (" not in plan_of(out)
+    assert sorted(int(r.card_id) for r in out.collect()) == list(range(15))
