@@ -8,6 +8,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,26 +205,57 @@ def corner_errors(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"mean_error": total / F.size("errors"), "max_error": F.array_max("errors"), "inside": inside}).drop("_x", "_y")
 
 
+def _clamp(v: Column) -> Column:
+    return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+
+
+def _six(shares: Column) -> Column:
+    """An array of numbers in [0, 1] as text with six decimals, half up as ``%.6f`` has it, without a formatter for each."""
+    return shares.cast("array<decimal(7,6)>").cast("array<string>")
+
+
+def _six_texts(shares: np.ndarray) -> pa.Array:
+    """``_six`` of a batch: up goes what isn't below the double that stands for the middle."""
+    n = np.floor(shares * 1e6)
+    n = (n + (shares >= (2 * n + 1) / 2e6)).astype(np.int64)
+    digits = pc.utf8_slice_codeunits(pa.array(n + 1_000_000).cast(pa.string()), 1)
+    return pc.binary_join_element_wise(pc.if_else(pa.array(n < 1_000_000), "0.", "1."), digits, "")
+
+
+def _keypoints(lines: pa.Array) -> pa.Array:
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(lines))
+    wrong = pc.fill_null(pc.not_equal(pc.list_value_length(parts), 9), True)
+    if pc.any(wrong).as_py():
+        raise ValueError(f"not nine fields: {lines.filter(wrong)[0].as_py()}")
+    rows, fields = len(lines), parts.flatten()
+    field = lambda i: fields.take(pa.array(np.arange(i, 9 * rows, 9)))
+    at = np.array([field(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(1, 9)]).reshape(4, 2, rows)
+    at = np.where(np.isnan(at), np.inf, at)  # the largest of numbers, as Spark orders them
+    x, y = at[:, 0], at[:, 1]
+    with np.errstate(invalid="ignore"):
+        keys = [np.where(np.isnan(k), np.inf, k).argmin(axis=0) for k in (x + y, y - x, -(x + y), x - y)]
+    low, high = np.clip(at.min(axis=0), 0, 1), np.clip(at.max(axis=0), 0, 1)
+    numbers = np.concatenate([(low + high) / 2, high - low, np.clip(at, 0, 1).reshape(8, rows)])
+    texts = _six_texts(numbers.reshape(-1))
+    row, two = np.arange(rows), pa.scalar("2")
+    text = lambda place: texts.take(pa.array(place * rows + row))
+    marks = [c for k in keys for c in (text(4 + 2 * k), text(5 + 2 * k), two)]
+    return pc.binary_join_element_wise(field(0), *[text(i) for i in range(4)], *marks, " ")
+
+
 def obb_to_keypoint(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Adds ``keypoints``: a label line of class and four corners as class, clamped box, and the corners in order with
-    visibility 2; another number of fields raises."""
-    parts = F.split(F.trim(line), r"\s+")
-    ok = F.when(F.size(parts) == 9, parts).otherwise(F.raise_error(F.concat(F.lit("not nine fields: "), F.col(line))).cast("array<string>"))
-    points = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(F.element_at("_p", 2 * i + 2).cast("double").alias("x"), F.element_at("_p", 2 * i + 3).cast("double").alias("y")))
-    rows = lines.withColumn("_p", ok).withColumn("_c", points)
-    clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-    edge = lambda f, axis: clamp(f(F.transform("_c", lambda p: p[axis])))
-    rows = rows.withColumns({"_x0": edge(F.array_min, "x"), "_x1": edge(F.array_max, "x"), "_y0": edge(F.array_min, "y"), "_y1": edge(F.array_max, "y"), "_o": order_corners(F.col("_c"))})
-    six = lambda v: F.format_string("%.6f", v)
-    box = [six((F.col("_x0") + F.col("_x1")) / 2), six((F.col("_y0") + F.col("_y1")) / 2), six(F.col("_x1") - F.col("_x0")), six(F.col("_y1") - F.col("_y0"))]
-    marks = F.array_join(F.transform("_o", lambda p: F.concat_ws(" ", six(clamp(p["x"])), six(clamp(p["y"])), F.lit("2"))), " ")
-    return rows.withColumn("keypoints", F.concat_ws(" ", F.element_at("_p", 1), *box, marks)).drop("_p", "_c", "_x0", "_x1", "_y0", "_y1", "_o")
+    """Adds ``keypoints``: a label line of class and four corners as class, clamped box, and the corners in order (that of
+    ``order_corners``) with visibility 2; another number of fields raises. Lines are taken apart and written by the batch:
+    as columns, a line's twenty numbers make a method that is too long for the JVM to compile."""
+    return lines.withColumn("keypoints", F.arrow_udf(_keypoints, "string")(F.col(line)))
 
 
 def corners_to_obb(corners: Column, width: Column, height: Column, cls: int = 0) -> Column:
     """A label line from corners in pixels."""
-    part = lambda v, most: F.format_string("%.6f", F.least(F.greatest(v / most, F.lit(0.0)), F.lit(1.0)))
-    return F.concat_ws(" ", F.lit(str(cls)), F.array_join(F.transform(corners, lambda p: F.concat_ws(" ", part(p["x"], width), part(p["y"], height))), " "))
+    shares = lambda p: [_clamp(p["x"] / width), _clamp(p["y"] / height)]
+    four = F.array(*[v for i in range(4) for v in shares(F.get(corners, F.lit(i)))])
+    more = F.flatten(F.transform(corners, lambda p: F.array(*shares(p))))
+    return F.concat_ws(" ", F.lit(str(cls)), _six(F.when(F.size(corners) == 4, four).otherwise(more)))
 
 
 def best_per_image(dets: DataFrame, most: int = MOST) -> DataFrame:

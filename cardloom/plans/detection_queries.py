@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cardloom.operators import detections as D
@@ -15,8 +16,10 @@ W = "WITH " + BOXES
 
 
 def boxes(spark, sf):
+    """Lines are dealt by image, which is how boxes meet each other, and the first of a key is taken where they lie."""
     key = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    rows = T.table(spark, sf, "lineitem").groupBy(*key).agg(F.min(F.struct("l_quantity", "l_discount")).alias("r")).select(*key, "r.*")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("l_quantity", "l_discount"))
+    rows = T.table(spark, sf, "lineitem").select(*key, "l_quantity", "l_discount").repartition("l_orderkey").withColumn("place", place).filter("place = 1")
     p = F.col("l_partkey")
     return rows.select(
         F.col("l_orderkey").alias("image_id"), ((p * 1000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("det_id"), (p % 200).cast("double").alias("cx"), (F.col("l_suppkey") % 200).cast("double").alias("cy"),
@@ -113,8 +116,9 @@ def corners_to_obb(spark, sf):
 @query("obb_to_keypoint", W + """ SELECT image_id, det_id, '0' AS cls, 17 AS fields, CAST(round(2 * cx + w) AS BIGINT) AS x, CAST(round(h) AS BIGINT) AS h FROM b""")
 def obb_to_keypoint(spark, sf):
     lines = pixel_corners(spark, sf).select("image_id", "det_id", D.corners_to_obb(F.col("corners"), F.lit(400), F.lit(400)).alias("value"))
-    parts = F.split("keypoints", " ")
-    return D.obb_to_keypoint(lines).select("image_id", "det_id", parts[0].alias("cls"), F.size(parts).alias("fields"), F.round(parts[1].cast("double") * 800).cast("long").alias("x"), F.round(parts[4].cast("double") * 400).cast("long").alias("h"))
+    rows = D.obb_to_keypoint(lines).select("image_id", "det_id", F.split("keypoints", " ").alias("parts"))
+    at = lambda i: F.col("parts")[i]
+    return rows.select("image_id", "det_id", at(0).alias("cls"), F.size("parts").alias("fields"), F.round(at(1).cast("double") * 800).cast("long").alias("x"), F.round(at(4).cast("double") * 400).cast("long").alias("h"))
 
 
 @query("detect_postprocess", """WITH e AS (SELECT vec_id, vec_id % 7 AS m, CASE WHEN vec_id % 2 = 0 THEN 1e0 ELSE 5e-1 END AS s FROM embeddings)

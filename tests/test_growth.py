@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from cardloom.operators import catalog, library, search, vectors
+from cardloom.operators import catalog, detections, library, search, vectors
 
 
 def plan_of(df) -> str:
@@ -62,3 +65,29 @@ def test_inserts_make_their_library_once(spark):
     out = library.insert_cards(rows.filter("ord < 5"), rows.filter("ord >= 5"))
     assert "Range (" not in plan_of(out)
     assert sorted(int(r.card_id) for r in out.collect()) == list(range(15))
+
+
+def test_label_lines_are_turned_by_the_batch(spark):
+    """Numbers are what the formatter writes, halves between two of six decimals too, and no column formats one by one."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    k = F.col("id")
+    point = lambda a, b: F.struct((k * a % 1001 - 100).cast("double").alias("x"), (k * b % 997 - 50).cast("double").alias("y"))
+    rows = spark.range(3000).withColumn("corners", F.array(point(7, 3), point(11, 5), point(13, 17), point(19, 23)))
+    rows = rows.withColumn("value", detections.corners_to_obb(F.col("corners"), F.lit(640), F.lit(777))).withColumn("value", F.when(k % 5 == 0, F.concat(F.lit(" \t"), F.replace("value", F.lit(" "), F.lit("  ")))).otherwise(F.col("value")))
+    out = detections.obb_to_keypoint(rows)
+    assert "format_string" not in plan(out)
+    for r in out.collect():
+        c = [(min(max(p.x / 640, 0.0), 1.0), min(max(p.y / 777, 0.0), 1.0)) for p in r.corners]
+        assert [abs(float(t) - v) <= 5.000001e-7 for t, v in zip(r.value.split()[1:], [v for p in c for v in p], strict=True)] == [True] * 8
+        c = [tuple(map(Decimal, r.value.split()[i : i + 2])) for i in (1, 3, 5, 7)]
+        six = lambda v: f"{v.quantize(Decimal('0.000001'), ROUND_HALF_UP):f}"
+        x, y = zip(*c, strict=True)
+        box = [(min(x) + max(x)) / 2, (min(y) + max(y)) / 2, max(x) - min(x), max(y) - min(y)]
+        f = [(float(a), float(b)) for a, b in c]
+        order = [min(range(4), key=lambda i: key(*f[i])) for key in (lambda a, b: a + b, lambda a, b: b - a, lambda a, b: -(a + b), lambda a, b: a - b)]
+        got = r.keypoints.split(" ")
+        assert got[0] == "0" and got[5:] == [t for i in order for t in (six(c[i][0]), six(c[i][1]), "2")]
+        assert all(abs(Decimal(g) - v) <= Decimal("0.0000006") for g, v in zip(got[1:5], box, strict=True))
+    shares = np.array([0.0, 1.0, 0.0000005, 0.0000015, 0.9999995, 0.9999994, 0.1234565, 0.12345649999, 1e-9, 0.3 + 0.0000005])
+    want = [r.t for r in spark.createDataFrame([(float(v),) for v in shares], "v double").select(F.format_string("%.6f", "v").alias("t")).collect()]
+    assert detections._six_texts(shares).to_pylist() == want
