@@ -91,3 +91,26 @@ def test_label_lines_are_turned_by_the_batch(spark):
     shares = np.array([0.0, 1.0, 0.0000005, 0.0000015, 0.9999995, 0.9999994, 0.1234565, 0.12345649999, 1e-9, 0.3 + 0.0000005])
     want = [r.t for r in spark.createDataFrame([(float(v),) for v in shares], "v double").select(F.format_string("%.6f", "v").alias("t")).collect()]
     assert detections._six_texts(shares).to_pylist() == want
+
+
+def test_small_images_are_judged_together(spark, monkeypatch):
+    """Many images of few boxes, and one of many: the same boxes stay as one by one, and only the large image goes alone."""
+    r = np.random.default_rng(3)
+    n = [*r.integers(1, detections.FEW + 1, 300), detections.FEW + 1]
+    rows = [(i, d, *map(float, r.uniform(0, 60, 2)), *map(float, r.uniform(5, 30, 2)), float(r.choice([0.0, 0.7])), float(r.integers(0, 9)) / 10) for i, k in enumerate(n) for d in range(k)]
+    boxes = []
+    for k in np.cumsum([0, *n[:-1]]):
+        own = sorted(rows[k : k + n[len(boxes)]], key=lambda x: (-x[7], x[1]))
+        c, s = (np.abs(f([x[6] for x in own])) for f in (np.cos, np.sin))
+        x, y, w, h = np.array([x[2:6] for x in own]).T
+        hw, hh = (w * c + h * s) / 2, (w * s + h * c) / 2
+        boxes.append((own, np.stack([x - hw, y - hh, x + hw, y + hh], axis=1)))
+    dets = spark.createDataFrame(rows, "image_id long, det_id long, cx double, cy double, w double, h double, angle double, conf double")
+    for most in (None, 3):
+        want = {own[i][:2] for own, b in boxes for i in detections._greedy(b, 0.3, most)}
+        got = [(x.image_id, x.det_id) for x in detections.nms(dets, 0.3, most).collect()]
+        assert len(got) == len(want) and set(got) == want
+    alone = []
+    monkeypatch.setattr(detections, "_greedy", lambda b, *_: alone.append(len(b)) or [0])
+    flags = detections._greedy_together(np.concatenate([b for _, b in boxes[:-1]]), np.cumsum([0, *n[:-2]]), np.array(n[:-1]), 0.3, None)
+    assert flags.sum() and not alone
