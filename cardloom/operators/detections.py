@@ -139,37 +139,55 @@ def _cells(level: Column) -> Column:
     return F.flatten(F.transform(span("x0", "x1"), lambda x: F.transform(span("y0", "y1"), lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
-def pairwise_iou(dets: DataFrame) -> DataFrame:
-    """All pairs of one image's boxes that overlap: image_id, a, b, iou.
+def _iou_of(met: DataFrame) -> DataFrame:
+    """Pairs (the second box's columns begin with ``_``) whose boxes overlap: image_id, a, b, iou."""
+    both = (F.least("_x1", "x1") - F.greatest("_x0", "x0")) * (F.least("_y1", "y1") - F.greatest("_y0", "y0"))
+    area = lambda t: (F.col(f"{t}x1") - F.col(f"{t}x0")) * (F.col(f"{t}y1") - F.col(f"{t}y0"))
+    ids = F.least("_det_id", "det_id").alias("a"), F.greatest("_det_id", "det_id").alias("b")
+    rows = met.select("image_id", *ids, both.alias("_i"), (area("") + area("_") - both).alias("_u")).filter("_i > 0")
+    return rows.select("image_id", "a", "b", F.when(F.col("_u") > 0, F.col("_i") / F.col("_u")).otherwise(0.0).alias("iou"))
 
-    A spatial join on a grid with a level for each size of box: a box lies in the cells of its own level that it touches, and
-    asks in those of its level and of each coarser one that the table has, so boxes of any sizes meet in an equi-join on
-    (image, level, cell), a pair where both overlap, and only in the cell that holds the corner where their overlap begins.
-    Rows per box: four a level at most, whatever the number of boxes. Boxes that aren't finite, or have no area, overlap none."""
+
+def _overlap() -> Column:
+    return (F.col("_x0") < F.col("x1")) & (F.col("x0") < F.col("_x1")) & (F.col("_y0") < F.col("y1")) & (F.col("y0") < F.col("_y1"))
+
+
+SIDES = ("x0", "y0", "x1", "y1")
+
+
+def pairwise_iou(dets: DataFrame) -> DataFrame:
+    """All pairs of one image's boxes that overlap: image_id, a, b, iou. Boxes that aren't finite, or have no area, overlap
+    none. Boxes of an image of ``FEW`` or fewer meet each other, dealt by image; those of larger ones meet on a grid."""
     half_w, half_h = envelope(F.col("w"), F.col("h"), F.col("angle"))
     box = dets.select("image_id", "det_id", (F.col("cx") - half_w).alias("x0"), (F.col("cy") - half_h).alias("y0"), (F.col("cx") + half_w).alias("x1"), (F.col("cy") + half_h).alias("y1"))
-    finite = reduce(lambda p, q: p & q, [F.abs(c) < 1e300 for c in ("x0", "y0", "x1", "y1")])  # not so for NaN either
+    finite = reduce(lambda p, q: p & q, [F.abs(c) < 1e300 for c in SIDES])  # not so for NaN either
     box = box.filter(finite & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    box = box.withColumn("_n", F.count("*").over(Window.partitionBy("image_id")))
+    few, many = box.filter(F.col("_n") <= FEW).drop("_n"), box.filter(F.col("_n") > FEW).drop("_n")
+    other = few.withColumnsRenamed({c: f"_{c}" for c in ("det_id", *SIDES)})
+    direct = few.join(other.hint("merge"), "image_id").filter((F.col("_det_id") < F.col("det_id")) & _overlap())
+    return _iou_of(direct).unionByName(_iou_by_grid(many.repartition("image_id", "det_id")))
+
+
+def _iou_by_grid(box: DataFrame) -> DataFrame:
+    """A spatial join on a grid with a level for each size of box: a box lies in the cells of its own level that it touches, and
+    asks in those of its level and of each coarser one that the table has, so boxes of any sizes meet in an equi-join on
+    (image, level, cell), a pair where both overlap, and only in the cell that holds the corner where their overlap begins.
+    Rows per box: four a level at most, whatever the number of boxes."""
     power = lambda v: F.ceil(F.log2(v)).cast("int")
     level = power(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
-    out = power(F.greatest(*[F.abs(c) for c in ("x0", "y0", "x1", "y1")])) - FAR
+    out = power(F.greatest(*[F.abs(c) for c in SIDES])) - FAR
     box = box.withColumn("level", F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[1]), F.greatest(level, out))))
     levels = box.groupBy("image_id").agg(F.array_sort(F.collect_set("level")).alias("levels"))  # as many as LEVELS has, at most
     held = box.select("*", F.explode(_cells(F.col("level"))).alias("cell"))
     asks = box.join(levels, "image_id").withColumn("at", F.explode(F.filter("levels", lambda x: x >= F.col("level")))).drop("levels")
-    asks = asks.select("*", F.explode(_cells(F.col("at"))).alias("cell")).withColumnsRenamed({c: f"_{c}" for c in ("det_id", "x0", "y0", "x1", "y1", "level")})
+    asks = asks.select("*", F.explode(_cells(F.col("at"))).alias("cell")).withColumnsRenamed({c: f"_{c}" for c in ("det_id", *SIDES, "level")})
     met = asks.withColumnRenamed("at", "level").join(held, ["image_id", "level", "cell"])
     # Of boxes of one level each meets the other; of others the finer one asks.
     met = met.filter((F.col("_level") < F.col("level")) & (F.col("_det_id") != F.col("det_id")) | (F.col("_det_id") < F.col("det_id")))
-    met = met.filter((F.col("_x0") < F.col("x1")) & (F.col("x0") < F.col("_x1")) & (F.col("_y0") < F.col("y1")) & (F.col("y0") < F.col("_y1")))
     side = F.pow(F.lit(2.0), F.col("level"))
     begin = lambda axis: F.floor(F.greatest(f"_{axis}0", f"{axis}0") / side)
-    met = met.filter((F.col("cell.x") == begin("x")) & (F.col("cell.y") == begin("y")))
-    both = (F.least("_x1", "x1") - F.greatest("_x0", "x0")) * (F.least("_y1", "y1") - F.greatest("_y0", "y0"))
-    area = lambda t: (F.col(f"{t}x1") - F.col(f"{t}x0")) * (F.col(f"{t}y1") - F.col(f"{t}y0"))
-    ids = F.least("_det_id", "det_id").alias("a"), F.greatest("_det_id", "det_id").alias("b")
-    rows = met.select("image_id", *ids, both.alias("_i"), (area("") + area("_") - both).alias("_u")).filter("_i > 0")
-    return rows.select("image_id", "a", "b", F.when(F.col("_u") > 0, F.col("_i") / F.col("_u")).otherwise(0.0).alias("iou"))
+    return _iou_of(met.filter(_overlap()).filter((F.col("cell.x") == begin("x")) & (F.col("cell.y") == begin("y"))))
 
 
 def unletterbox(dets: DataFrame) -> DataFrame:

@@ -114,3 +114,23 @@ def test_small_images_are_judged_together(spark, monkeypatch):
     monkeypatch.setattr(detections, "_greedy", lambda b, *_: alone.append(len(b)) or [0])
     flags = detections._greedy_together(np.concatenate([b for _, b in boxes[:-1]]), np.cumsum([0, *n[:-2]]), np.array(n[:-1]), 0.3, None)
     assert flags.sum() and not alone
+
+
+def test_boxes_of_small_images_meet_without_a_grid(spark, monkeypatch):
+    """A small image's pairs are found by image, a large one's on the grid, and both equal the nested loop."""
+    r = np.random.default_rng(5)
+    rows = [(i, d, *map(float, r.integers(0, 40, 2)), *map(float, r.integers(1, 20, 2)), 0.0, 0.5) for i, k in enumerate((1, 2, 7, detections.FEW, detections.FEW + 1, 60)) for d in range(k)]
+    rows.append((7, 1, float("nan"), 0.0, 1.0, 1.0, 0.0, 0.5))
+    dets = spark.createDataFrame(rows, "image_id long, det_id long, cx double, cy double, w double, h double, angle double, conf double")
+    want = {}
+    for p in rows:
+        for q in rows:
+            wide, high = (min(p[c] + p[s] / 2, q[c] + q[s] / 2) - max(p[c] - p[s] / 2, q[c] - q[s] / 2) for c, s in ((2, 4), (3, 5)))
+            if p[0] == q[0] and p[1] < q[1] and wide > 0 and high > 0:
+                want[p[0], p[1], q[1]] = wide * high / (p[4] * p[5] + q[4] * q[5] - wide * high)
+    got = {(x.image_id, x.a, x.b): x.iou for x in detections.pairwise_iou(dets).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    handed, grid = [], detections._iou_by_grid
+    monkeypatch.setattr(detections, "_iou_by_grid", lambda box: handed.append(box) or grid(box))
+    detections.pairwise_iou(dets)
+    assert {x.image_id for x in handed[0].select("image_id").distinct().collect()} == {4, 5}
