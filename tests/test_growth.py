@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cardloom.operators import catalog, detections, library, search, vectors
+from cardloom.plans import tables
+from cardloom.streaming import scans
 
 
 def plan_of(df) -> str:
@@ -134,3 +136,33 @@ def test_boxes_of_small_images_meet_without_a_grid(spark, monkeypatch):
     monkeypatch.setattr(detections, "_iou_by_grid", lambda box: handed.append(box) or grid(box))
     detections.pairwise_iou(dets)
     assert {x.image_id for x in handed[0].select("image_id").distinct().collect()} == {4, 5}
+
+
+def test_lines_are_dealt_by_part_once(spark):
+    """The first line of a key is taken where it lies, after one shuffle by part and without an aggregation before it."""
+    plan = tables.library_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_partkey") == plan.count("Exchange") == 1 and "Aggregate" not in plan
+
+
+def test_a_key_is_asked_once_for_its_ids():
+    """Ids of few scans are one message each way; of many, those of a part; and each is forgotten when its own time is up."""
+    calls = []
+
+    class State(dict):
+        def getValue(self, key):  # noqa: N802
+            calls.append(key)
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append(key)
+            self[key] = value
+
+    held = scans.HeldScans(remembered=100)
+    held.ids = State()
+    few = [f"s{i}" for i in range(50)]
+    assert held._new(few, 50, now=0) == set(few) and len(calls) == 2
+    assert held._new([*few[:20], "t"], 51, now=60) == {"t"}
+    assert held._new(few, 51, now=130) == set(few[20:])  # the first twenty came again at 60
+    calls.clear()
+    assert held._new(["t", "s7", "u"], 300, now=140) == {"u"} and len(calls) <= 1 + 2 * 3
+    assert held._new(["t", "s7", "u"], 20_000, now=150) == set() and held._new(["u"], 20_000, now=251) == {"u"}
