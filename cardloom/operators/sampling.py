@@ -15,17 +15,27 @@ def sample_set_diverse(rows: DataFrame, n: int, key: str, by: str = "set_code",
     five or less, the first n by hash; else ``max(1, n // (2 * sets))`` of each set, in hashed order of sets, until n,
     and the rest from what is left, by hash.
 
-    A set gives n rows at most, so only those go on; a single pool then ends in a top-n, several in a window per pool.
+    A set gives n rows at most. Rows are counted by set and length of their hash as a number: the shortest ones that make up n
+    are about 2 n at most, however many rows a set has, and only those are sorted. A single pool then ends in a top-n, several
+    in a window per pool.
     """
-    pool = rows.withColumn("_w", F.col(within) if within else F.lit(0))
-    shape = pool.groupBy("_w", by).agg(F.count("*").alias("_n"))
-    shape = shape.groupBy("_w").agg(F.sum("_n").alias("_pool"), F.count("*").alias("_sets"))
-    inside = F.row_number().over(Window.partitionBy("_w", by).orderBy(hash_order(key, seed=seed), key))
-    ranked = pool.withColumn("_r", inside).filter(F.col("_r") <= n).join(shape, "_w")
+    pool = rows.withColumn("_w", F.col(within) if within else F.lit(0)).withColumn("_h", hash_order(key, seed=seed))
+    length = F.length(F.bin(F.conv(F.substring("_h", 1, 15), 16, 10).cast("long")))  # never falls as the hash grows
+    pool = pool.withColumn("_l", length)
+    counts = pool.groupBy("_w", by, "_l").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_w", by).orderBy("_l"))
+    sets = counts.withColumn("_upto", upto).groupBy("_w", by).agg(
+        F.sum("_c").alias("_n"), F.coalesce(F.min(F.when(F.col("_upto") >= n, F.col("_l"))), F.max("_l")).alias("_most")
+    )
+    shape = sets.groupBy("_w").agg(F.sum("_n").alias("_pool"), F.count("*").alias("_sets"))
+    most = sets.select(F.col("_w").alias("_w2"), F.col(by).alias("_by2"), "_most")
+    first = pool.join(most, (F.col("_w") == F.col("_w2")) & F.col(by).eqNullSafe(F.col("_by2"))).filter(F.col("_l") <= F.col("_most"))
+    inside = F.row_number().over(Window.partitionBy("_w", by).orderBy("_h", key))
+    ranked = first.withColumn("_r", inside).filter(F.col("_r") <= n).join(shape, "_w")
     plain = (F.col("_pool") <= n) | (F.col("_sets") < 5) | F.lit(n <= 5)
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) / (2 * F.col("_sets"))))
     ranked = ranked.withColumn("_first", ~plain & (F.col("_r") <= quota))
-    order = [F.desc("_first"), F.when(F.col("_first"), hash_order(by, seed=seed + 1)), F.when(F.col("_first"), F.col("_r")), hash_order(key, seed=seed), F.col(key)]
+    order = [F.desc("_first"), F.when(F.col("_first"), hash_order(by, seed=seed + 1)), F.when(F.col("_first"), F.col("_r")), F.col("_h"), F.col(key)]
     if within is None:
         return ranked.orderBy(*order).limit(n).select(*rows.columns)
     place = F.row_number().over(Window.partitionBy("_w").orderBy(*order))
