@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from cardloom.operators import catalog, detections, library, search, vectors
+from cardloom.operators import catalog, detections, library, sampling, search, vectors
 from cardloom.plans import tables
 from cardloom.streaming import scans
 
@@ -144,6 +145,57 @@ def test_lines_are_dealt_by_part_once(spark):
     assert plan.count("Exchange hashpartitioning(l_partkey") == plan.count("Exchange") == 1 and "Aggregate" not in plan
 
 
+def sorted_rows(df) -> list[int]:
+    """Rows that reach each sort of a plan that has run."""
+    found, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        nodes += children
+        if node.nodeName() == "Sort":
+            below = children[0]
+            while below.metrics().get("numOutputRows").isEmpty():
+                below = below.children().apply(0)
+            found.append(below.metrics().apply("numOutputRows").value())
+    return found
+
+
+def test_a_sample_sorts_few_rows(spark, tmp_path):
+    """Of sets with very many rows only some beyond the wanted ones are sorted, and the sample is that of all rows: sets that
+    are null, keys that repeat and pools that are taken whole among them."""
+    rows = [(k, f"f{k}", None if k % 7 == 6 else f"s{k % 7}", "large") for k in range(7000)] + [(k, "same", "s0", "copies") for k in range(300)] + [(k, f"g{k}", "s1", "small") for k in range(9)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.createDataFrame(rows, "pos long, filename string, set_code string, category string").write.parquet(f"{tmp_path}/rows")
+        found = sampling.sample_set_diverse(spark.read.parquet(f"{tmp_path}/rows"), 20, "filename", within="category")
+        got = found.collect()
+        assert 0 < max(sorted_rows(found)) < 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    md5 = lambda x, seed: hashlib.md5(f"{x}|{seed}".encode()).hexdigest()
+    large, ranked = [r for r in rows if r[3] == "large"], []
+    for code in {r[2] for r in large}:
+        order = sorted((r for r in large if r[2] == code), key=lambda r: md5(r[1], 0))
+        # md5 of a null set is that of the seed alone.
+        first = hashlib.md5(b"1").hexdigest() if code is None else md5(code, 1)
+        ranked += [((0, first, k) if k < 20 // (2 * 7) else (1, md5(r[1], 0), 0), r) for k, r in enumerate(order)]
+    assert {r.pos for r in got if r.category == "large"} == {r[0] for _, r in sorted(ranked)[:20]}
+    assert len([r for r in got if r.category == "copies"]) == 20 and {r.pos for r in got if r.category == "small"} == set(range(9))
+
+
+def test_orders_are_numbered_after_one_shuffle(spark, monkeypatch):
+    """Rows of an order are shuffled once, and only what is asked for is kept."""
+    handed, kept = [], vectors.kept
+    monkeypatch.setattr(vectors, "kept", lambda df, name: handed.append(df) or kept(df, name))
+    rows = spark.range(500).select(F.col("id").alias("card"), (F.col("id") % 9).alias("of"), F.lit("x").alias("more"))
+    got = vectors.places(rows, F.desc("of"), "card", columns=("card",))
+    want = sorted(range(500), key=lambda k: (-(k % 9), k))
+    assert {(r.card, r.place) for r in got.collect()} == {(k, i + 1) for i, k in enumerate(want)}
+    assert handed[0].columns == ["card", "_part", "_n"]
+    assert handed[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert vectors.numbered(rows, "card").columns == ["card", "of", "more", "pos"]
+
+
 def test_a_key_is_asked_once_for_its_ids():
     """Ids of few scans are one message each way; of many, those of a part; and each is forgotten when its own time is up."""
     calls = []
