@@ -7,7 +7,7 @@ shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.common import discard, materialize
@@ -20,11 +20,18 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").bitwiseOR(F.lit(0)).alias("x"), F.least("x", "m").alias("m")).hint("merge")
 
 
+def _each(rows: DataFrame, *pairs: tuple[Column, Column], names: tuple[str, str]) -> DataFrame:
+    """Every row gives all the pairs. Exploded and not united, so that a plan has what the rows come from once."""
+    x, y = names
+    both = F.array(*[F.struct(p.alias(x), q.alias(y)) for p, q in pairs])
+    return rows.select(F.explode(both).alias("p")).select(f"p.{x}", f"p.{y}")
+
+
 def _round(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    both = _each(edges, (F.col("a"), F.col("b")), (F.col("b"), F.col("a")), names=("x", "y"))
     large = both.join(_least(both), "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
     small = large.join(_least(large), "x")
-    hung = small.select(F.least("y", "m").alias("a"), F.greatest("y", "m").alias("b")).unionByName(small.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")))
+    hung = _each(small, (F.least("y", "m"), F.greatest("y", "m")), (F.least("x", "m"), F.greatest("x", "m")), names=("a", "b"))
     return hung.filter("a < b").distinct()
 
 

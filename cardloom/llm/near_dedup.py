@@ -339,5 +339,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component stays, with all its columns: the one with the smallest doc_id, in all its rows. Rows
     without a doc_id stay."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("row").alias("key"))
+    # Written, as it is read three times below: its plan has many joins, which would be planned and compiled for each.
+    gone = materialize(near_duplicates(docs).filter("not kept").select(F.col("row").alias("key")), "gone")
     return without(docs, row_key(docs["doc_id"], docs["text"]), gone)

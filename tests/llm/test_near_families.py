@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from cardloom.llm import components as stars
 from cardloom.llm import near_dedup
 from cardloom.llm.components import components
 
@@ -94,3 +95,14 @@ def test_rows_of_one_doc_id(spark):
     kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     kept = sorted(map(tuple, kept), key=str)
     assert kept in [sorted([(3, a), (5, b), (5, b), (None, a), (None, b), (7, None), (6, x)], key=str) for x in (c, c + " end")]
+
+
+def test_plans_of_joins_are_made_once(spark, monkeypatch):
+    """A round of stars, and what drops copies, have each join once: plans that double with each use fill the driver."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
+    step = stars._round(edges)
+    assert {(r.a, r.b) for r in step.collect()} == {(1, 2), (1, 3), (5, 6)}
+    assert step._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    left = near_dedup.drop_near_duplicates(spark.createDataFrame([(k, f"a b c d e f g h {k % 2 and 'x'}") for k in range(4)], "doc_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == {0, 1}
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
